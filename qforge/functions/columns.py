@@ -58,6 +58,40 @@ def mixed_date(c: str | Column, formats=DEFAULT_DATE_FORMATS,
     return F.coalesce(*tries)
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def epoch_micros(c: str | Column, dtype: T.DataType | None = None) -> Column:
+    """Microseconds since 1970-01-01 of a date-time column.
+
+    TIMESTAMP_NTZ values count their wall-clock fields as UTC, so the result
+    does not depend on the session time zone; TIMESTAMP values are instants.
+    """
+    c = col_of(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), c)
+    return F.unix_micros(mixed_date(c, dtype=dtype))
+
+
+def date_epoch_micros(c: str | Column, dtype: T.DataType | None = None) -> Column:
+    """C2 + epoch: parse mixed strings, then microseconds since epoch."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return epoch_micros(c, dtype)
+    return F.unix_micros(mixed_date(c, dtype=dtype))
+
+
+def literal_epoch_micros(value) -> int:
+    """Epoch micros of a literal date (naive values are taken as UTC)."""
+    import datetime as dt
+    if isinstance(value, str):
+        value = dt.datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
+    if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
+        value = dt.datetime(value.year, value.month, value.day)
+    if value.tzinfo is None:
+        value = value.replace(tzinfo=dt.timezone.utc)
+    return int(round(value.timestamp() * 1_000_000))
+
+
 def coerce_number(c: str | Column, fill: float = 0.0) -> Column:
     """To double, unparsable or missing -> fill."""
     return F.coalesce(nan_to_null(col_of(c).try_cast("double")), F.lit(float(fill)))

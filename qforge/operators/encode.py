@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import mixed_date
+from ..functions.columns import date_epoch_micros, literal_epoch_micros, mixed_date
 from . import geo
 
 UNKNOWN_CODE = -1
@@ -186,8 +186,8 @@ class DateNormalizer(Estimator, _JsonParams, DefaultParamsReadable, DefaultParam
         col = self._in()
         lo = hi = None
         if col in df.columns:
-            d = mixed_date(F.col(col), dtype=df.schema[col].dataType)
-            row = df.agg(F.min(F.unix_micros(d)).alias("lo"), F.max(F.unix_micros(d)).alias("hi")).collect()[0]
+            d = date_epoch_micros(F.col(col), df.schema[col].dataType)
+            row = df.agg(F.min(d).alias("lo"), F.max(d).alias("hi")).collect()[0]
             lo, hi = row["lo"], row["hi"]
         return DateNormalizerModel(inputCol=col, outputCol=self._out(),
                                    spec=json.dumps({**self._spec(), "min": lo, "max": hi}))
@@ -215,19 +215,21 @@ class DateNormalizerModel(Model, _JsonParams, DefaultParamsReadable, DefaultPara
             return df.withColumn(self._out(), F.lit(0.0))
         if hi == lo:
             return df.withColumn(self._out(), F.lit(1.0))
-        x = F.unix_micros(mixed_date(F.col(col), dtype=df.schema[col].dataType))
+        x = date_epoch_micros(F.col(col), df.schema[col].dataType)
         v = (x - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
         return df.withColumn(self._out(), F.coalesce(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
 
 
 # -- E7 ----------------------------------------------------------------------
-def recency_weight(date: Column, ref_date: str | dt.datetime, k: float = 1.0) -> Column:
-    """(1 + max(floor(days)/365.25, 0)) ** -k; NULL date -> NULL (T5)."""
-    ref = ref_date if isinstance(ref_date, str) else ref_date.isoformat(sep=" ")
-    ref_us = F.unix_micros(F.to_timestamp(F.lit(ref)))
-    days = F.floor((ref_us - F.unix_micros(date)) / F.lit(86_400_000_000))
+def recency_weight(date_us: Column, ref_date: str | dt.datetime, k: float = 1.0) -> Column:
+    """(1 + max(floor(days)/365.25, 0)) ** -k; NULL date -> NULL (T5).
+
+    ``date_us`` is the date as epoch microseconds (``date_epoch_micros``).
+    """
+    ref_us = F.lit(literal_epoch_micros(ref_date))
+    days = F.floor((ref_us - date_us) / F.lit(86_400_000_000))
     age = F.greatest(days / F.lit(365.25), F.lit(0.0))
-    return F.when(date.isNotNull(), F.pow(F.lit(1.0) + age, F.lit(-float(k))))
+    return F.when(date_us.isNotNull(), F.pow(F.lit(1.0) + age, F.lit(-float(k))))
 
 
 class SampleWeighter(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -250,11 +252,11 @@ class SampleWeighter(Estimator, _JsonParams, DefaultParamsReadable, DefaultParam
         spec = self._spec()
         any_valid = False
         if col in df.columns:
-            d = mixed_date(F.col(col), dtype=df.schema[col].dataType)
+            d = date_epoch_micros(F.col(col), df.schema[col].dataType)
             row = df.agg(F.count(d).alias("n"), F.max(d).alias("mx")).collect()[0]
             any_valid = row["n"] > 0
             if spec.get("ref_date") is None and row["mx"] is not None:
-                spec["ref_date"] = row["mx"].isoformat(sep=" ")
+                spec["ref_date"] = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=row["mx"])).isoformat(sep=" ")
         return SampleWeighterModel(inputCol=col, outputCol=self._out(),
                                    spec=json.dumps({**spec, "any_valid": any_valid}))
 
@@ -270,7 +272,7 @@ class SampleWeighterModel(Model, _JsonParams, DefaultParamsReadable, DefaultPara
         col = self._in()
         if col not in df.columns or not s.get("any_valid"):  # T5: absent / all invalid -> 1.0
             return df.withColumn(self._out(), F.lit(1.0))
-        d = mixed_date(F.col(col), dtype=df.schema[col].dataType)
+        d = date_epoch_micros(F.col(col), df.schema[col].dataType)
         return df.withColumn(self._out(), recency_weight(d, s["ref_date"], s.get("k", 1.0)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profile_queries  # noqa: F401
+from . import feature_queries, profile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
