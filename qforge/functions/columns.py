@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd  # noqa: F401  (pandas_udf annotations)
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +118,28 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+@F.pandas_udf(T.StringType())
+def _format_cost_udf(c: "pd.Series") -> "pd.Series":
+    def fmt(x):
+        if x is None or x != x:
+            return None
+        if x < 0.01:
+            return f"${x * 1000:.2f} (millicents)"
+        if x < 1.0:
+            return f"${x:.4f}"
+        return f"${x:.2f}"
+    return c.map(fmt)
+
+
 def format_cost(c: str | Column) -> Column:
-    """M6: '<$0.01' shown in millicents, '<$1' with 4 dp, else 2 dp."""
-    c = col_of(c)
-    return (F.when(c < 0.01, F.concat(F.lit("$"), F.format_string("%.2f", c * 1000),
-                                      F.lit(" (millicents)")))
-            .when(c < 1.0, F.concat(F.lit("$"), F.format_string("%.4f", c)))
-            .otherwise(F.concat(F.lit("$"), F.format_string("%.2f", c))))
+    """M6: below $0.01 in millicents, below $1 with 4 dp, else 2 dp.
+
+    Formatting is a display step on small usage tables; it runs as an
+    Arrow-batched helper because JVM ``format_string`` rounds the shortest
+    decimal form half-up (2.335 -> 2.34) while the reference rounds the
+    binary value (2.33).
+    """
+    return _format_cost_udf(col_of(c).cast("double"))
 
 
 def estimate_tokens(text: str | Column) -> Column:

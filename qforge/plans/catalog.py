@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries, model_queries, profile_queries  # noqa: F401
+from . import feature_queries, model_queries, ops_queries, profile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
