@@ -13,13 +13,14 @@ import random
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.columns import nan_to_null
 from .binning import bin_columns, compute_cuts, n_bins
-from .grower import Grower, GrowParams, make_specs
+from .grower import Grower, GrowParams, binary_array, bins_dtype, make_specs
 from .model import ModelSet, QuantileModel
 
 
@@ -56,6 +57,7 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     binned = bin_columns(base, features, cuts)
     binned = binned.select("_rk", "_fold", "_w", *[f"_y{t}" for t in range(len(targets))],
                            *[f"_b{j}" for j in range(len(features))])
+    binned = _pack_bins(binned, len(features), len(targets), bins_dtype(n_bins(cuts)))
     n_part = partitions or max(spark.sparkContext.defaultParallelism, binned.rdd.getNumPartitions())
     if binned.rdd.getNumPartitions() != n_part:
         binned = binned.repartition(n_part, "_rk")
@@ -67,6 +69,24 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     return binned, cuts, int(stats["n"]), scales
 
 
+def _pack_bins(frame: DataFrame, n_feat: int, n_targets: int, bdt) -> DataFrame:
+    """Pack the per-feature bin columns into one binary value per row."""
+    keep = ["_rk", "_fold", "_w"] + [f"_y{t}" for t in range(n_targets)]
+    schema = ("_rk long, _fold int, _w double, " + "".join(f"_y{t} double, " for t in range(n_targets))
+              + "_bins binary")
+
+    def fn(it):
+        for batch in it:
+            names = batch.schema.names
+            n = batch.num_rows
+            mat = (np.stack([batch.column(names.index(f"_b{j}")).to_numpy(zero_copy_only=False).astype(bdt)
+                             for j in range(n_feat)], axis=1) if n_feat else np.zeros((n, 0), bdt))
+            cols = [batch.column(names.index(c)) for c in keep] + [binary_array(mat)]
+            yield pa.RecordBatch.from_arrays(cols, names=keep + ["_bins"])
+
+    return frame.mapInArrow(fn, schema)
+
+
 def fit_models(df: DataFrame, targets: list[str], features: list[str], quantiles: list[float],
                constraints: list[int] | None = None, params: GrowParams | list[GrowParams] | None = None,
                nfold: int = 5, num_boost_round: int = 100, early_stopping_rounds: int | None = 10,

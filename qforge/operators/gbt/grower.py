@@ -3,13 +3,17 @@
 Rows live in one persisted frame::
 
     _rk long (row key: a real key or a content hash), _fold int, _w double,
-    _y0.._yT double (labels), _b0.._bF int (bins, 0 = missing),
-    _pred array<double> (current prediction of every model)
+    _y0.._yT double (labels), _bins binary (one byte per feature bin, 0 = missing),
+    _pred binary (float64 prediction of every model)
+
+Bins and predictions travel as one binary value per row: the Arrow
+transfer to Python costs per value, and NumPy views the buffers without
+copying (``mapInArrow``).
 
 A *model* is (target, quantile, fold or full data, parameter set).  All
 active models share every pass over the rows:
 
-* level pass (one per tree level): ``mapInPandas`` routes each row through
+* level pass (one per tree level): ``mapInArrow`` routes each row through
   the model's partial tree, computes the pinball gradient and builds dense
   per-task histograms with ``np.bincount``; ``groupBy(cell).sum`` reduces
   them across tasks; the driver receives models x nodes x features x bins
@@ -17,7 +21,7 @@ active models share every pass over the rows:
   pinball loss of the current predictions on each model's held-out fold.
 * leaf pass: residual bucket summaries per (model, leaf) -> weighted
   residual quantile per leaf -> leaf value = eta * quantile.
-* update: a lazy ``mapInPandas`` adds the new trees to ``_pred``; the frame
+* update: a lazy ``mapInArrow`` adds the new trees to ``_pred``; the frame
   is persisted and materialised by the next level pass, and cut from its
   lineage by a reliable ``checkpoint`` every few rounds.
 
@@ -32,7 +36,8 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pandas as pd  # noqa: F401
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,10 +112,13 @@ class GroupResult:
     curve: list
 
 
-def _combine(df: pd.DataFrame) -> pd.DataFrame:
-    g = df.groupby("cell", sort=False).agg(sw=("sw", "sum"), mn=("mn", "min"), mx=("mx", "max"),
-                                           swr=("swr", "sum"))
-    return g.reset_index()
+def _reduce_cells(cell, sw, mn, mx, swr):
+    """Sum / min / max per cell id with one sort (no per-cell Python)."""
+    order = np.argsort(cell, kind="stable")
+    c = cell[order]
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
+    return (c[starts], np.add.reduceat(sw[order], starts), np.minimum.reduceat(mn[order], starts),
+            np.maximum.reduceat(mx[order], starts), np.add.reduceat(swr[order], starts))
 
 
 def _split_models(models: list[ModelState], n_features: int, n_bins: int, slots: int) -> list[list[ModelState]]:
@@ -121,17 +129,52 @@ def _split_models(models: list[ModelState], n_features: int, n_bins: int, slots:
     return [models[i:i + k] for i in range(0, len(models), k)]
 
 
-def _batch_arrays(pdf: pd.DataFrame, n_feat: int, n_targets: int):
-    bins = np.stack([pdf[f"_b{j}"].to_numpy(np.int64) for j in range(n_feat)], axis=1) \
-        if n_feat else np.zeros((len(pdf), 0), np.int64)
-    ys = np.stack([pdf[f"_y{t}"].to_numpy(np.float64) for t in range(n_targets)], axis=1)
-    w = pdf["_w"].to_numpy(np.float64)
-    fold = pdf["_fold"].to_numpy(np.int64)
-    rk = pdf["_rk"].to_numpy(np.int64)
-    preds = np.stack(pdf["_pred"].to_numpy()) if "_pred" in pdf.columns else None
+def binary_matrix(col: pa.Array, dtype, ncols: int) -> np.ndarray:
+    """Zero-copy (n, ncols) view of a binary column whose values share one width."""
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, ncols), dtype)
+    bufs = col.buffers()
+    off_type = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    offs = np.frombuffer(bufs[1], off_type)[col.offset: col.offset + n + 1]
+    data = np.frombuffer(bufs[2], np.uint8)[offs[0]: offs[-1]]
+    return data.view(dtype).reshape(n, ncols)
+
+
+def binary_array(mat: np.ndarray) -> pa.Array:
+    """Binary column with one row of ``mat`` per value."""
+    mat = np.ascontiguousarray(mat)
+    n = mat.shape[0]
+    width = mat.dtype.itemsize * (mat.shape[1] if mat.ndim > 1 else 1)
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets),
+                                                  pa.py_buffer(mat.view(np.uint8).reshape(-1))])
+
+
+def bins_dtype(n_bins: int):
+    return np.uint8 if n_bins <= 256 else np.uint16
+
+
+def _np(batch: pa.RecordBatch, name: str, dtype):
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+
+def _batch_arrays(batch: pa.RecordBatch, n_feat: int, n_targets: int, bdt, n_models: int):
+    names = batch.schema.names
+    bins = binary_matrix(batch.column(names.index("_bins")), bdt, n_feat)
+    ys = np.stack([_np(batch, f"_y{t}", np.float64) for t in range(n_targets)], axis=1)
+    w = _np(batch, "_w", np.float64)
+    fold = _np(batch, "_fold", np.int64)
+    rk = _np(batch, "_rk", np.int64) if "_rk" in names else np.zeros(batch.num_rows, np.int64)
+    preds = binary_matrix(batch.column(names.index("_pred")), np.float64, n_models) \
+        if "_pred" in names else None
     return bins, ys, w, fold, rk, preds
 
 
+def _record_batch(**cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], names=list(cols))
+
+
 def _train_mask(fold, rk, spec_fold, subsample, salt):
     mask = fold != spec_fold if spec_fold >= 0 else np.ones(len(fold), bool)
     if subsample < 1.0:
@@ -165,6 +208,10 @@ class Grower:
         self.jobs = 0
 
     # ------------------------------------------------------------------ passes
+    def _base_cols(self, models: list[ModelState]) -> list[str]:
+        rk = ["_rk"] if any(st.spec.params.subsample < 1.0 for st in models) else []
+        return rk + ["_fold", "_w"] + [f"_y{t}" for t in range(self.T)] + ["_bins"]
+
     def _level_pass(self, frame: DataFrame, chunk: list[ModelState], depth: int, rnd: int,
                     with_loss: bool, trees: dict[int, Tree]):
         F_, B1, T_ = self.F, self.B1, self.T
@@ -188,15 +235,16 @@ class Grower:
             off += max(p[8], 0) * F_ * B1
         index = {st.spec.model_id: i for i, st in enumerate(self.models)}
         pred_pos = [index[p[0]] for p in plan]
+        bdt, M = bins_dtype(B1), len(self.models)
 
         def fn(it):
             acc = [None] * len(plan)
             loss = np.zeros((len(plan), 2, 3))
-            for pdf in it:
-                if len(pdf) == 0:
+            for batch in it:
+                n = batch.num_rows
+                if n == 0:
                     continue
-                bins, ys, w, fold, rk, preds = _batch_arrays(pdf, F_, T_)
-                n = len(pdf)
+                bins, ys, w, fold, rk, preds = _batch_arrays(batch, F_, T_, bdt, M)
                 for k, (mid, t, q, mfold, sub, salt, arr, slot, nslots) in enumerate(plan):
                     y = ys[:, t]
                     pr = preds[:, pred_pos[k]]
@@ -232,24 +280,29 @@ class Grower:
                         acc[k][0] += G
                         acc[k][1] += H
                         acc[k][2] += N
-            parts = []
+            kinds, cells, a_, b_, c_ = [], [], [], [], []
             for k, a in enumerate(acc):
                 if a is not None:
                     nz = np.flatnonzero(a[2])
-                    parts.append(pd.DataFrame({"kind": KIND_HIST, "cell": nz + offsets[k],
-                                               "a": a[0][nz], "b": a[1][nz], "c": a[2][nz]}))
+                    kinds.append(np.full(len(nz), KIND_HIST, np.int32))
+                    cells.append(nz + offsets[k])
+                    a_.append(a[0][nz])
+                    b_.append(a[1][nz])
+                    c_.append(a[2][nz])
             if with_loss:
                 for k in range(len(plan)):
                     for j, kind in ((0, KIND_VALID), (1, KIND_TRAIN)):
-                        parts.append(pd.DataFrame({"kind": [kind], "cell": [k], "a": [loss[k, j, 0]],
-                                                   "b": [loss[k, j, 1]], "c": [loss[k, j, 2]]}))
-            if parts:
-                out = pd.concat(parts, ignore_index=True)
-                out["kind"] = out["kind"].astype("int32")
-                out["cell"] = out["cell"].astype("int64")
-                yield out
-
-        res = (frame.mapInPandas(fn, HIST_SCHEMA).groupBy("kind", "cell")
+                        kinds.append(np.array([kind], np.int32))
+                        cells.append(np.array([k], np.int64))
+                        a_.append(loss[k, j, :1])
+                        b_.append(loss[k, j, 1:2])
+                        c_.append(loss[k, j, 2:3])
+            if kinds:
+                yield _record_batch(kind=np.concatenate(kinds), cell=np.concatenate(cells).astype(np.int64),
+                                    a=np.concatenate(a_), b=np.concatenate(b_), c=np.concatenate(c_))
+
+        needed = self._base_cols(chunk) + ["_pred"]
+        res = (frame.select(*needed).mapInArrow(fn, HIST_SCHEMA).groupBy("kind", "cell")
                .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
                .toPandas())
         self.jobs += 1
@@ -289,12 +342,15 @@ class Grower:
             offsets.append(off)
             off += len(leaves) * RES_BUCKETS
 
+        bdt, M = bins_dtype(self.B1), len(self.models)
+
         def fn(it):
             parts = []
-            for pdf in it:
-                if len(pdf) == 0:
+            held = 0
+            for batch in it:
+                if batch.num_rows == 0:
                     continue
-                bins, ys, w, fold, rk, preds = _batch_arrays(pdf, F_, T_)
+                bins, ys, w, fold, rk, preds = _batch_arrays(batch, F_, T_, bdt, M)
                 for k, (mid, t, mfold, sub, salt, arr, slot, nl, depth, scale, pos) in enumerate(plan):
                     mask = _train_mask(fold, rk, mfold, sub, salt)
                     if not mask.any():
@@ -303,13 +359,17 @@ class Grower:
                     r = ys[mask, t] - (preds[mask, pos] if with_pred else 0.0)
                     cell = offsets[k] + slot[node] * RES_BUCKETS + residual_bucket(r, scale)
                     wm = w[mask]
-                    parts.append(pd.DataFrame({"cell": cell, "sw": wm, "mn": r, "mx": r, "swr": wm * r}))
-                if sum(len(x) for x in parts) > 2_000_000:  # keep the buffer bounded
-                    parts = [_combine(pd.concat(parts, ignore_index=True))]
+                    parts.append(_reduce_cells(cell, wm, r, r, wm * r))
+                    held += len(parts[-1][0])
+                if held > 4_000_000:  # keep the buffer bounded
+                    parts = [_reduce_cells(*[np.concatenate(x) for x in zip(*parts)])]
+                    held = len(parts[0][0])
             if parts:
-                yield _combine(pd.concat(parts, ignore_index=True))
+                c, sw, mn, mx, swr = _reduce_cells(*[np.concatenate(x) for x in zip(*parts)])
+                yield _record_batch(cell=c.astype(np.int64), sw=sw, mn=mn, mx=mx, swr=swr)
 
-        res = (frame.mapInPandas(fn, LEAF_SCHEMA).groupBy("cell")
+        needed = self._base_cols(chunk if rnd >= 0 else []) + (["_pred"] if with_pred else [])
+        res = (frame.select(*needed).mapInArrow(fn, LEAF_SCHEMA).groupBy("cell")
                .agg(F.sum("sw").alias("sw"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
                     F.sum("swr").alias("swr")).toPandas())
         self.jobs += 1
@@ -441,7 +501,8 @@ class Grower:
         ensure_checkpoint_dir(self.spark)
         self._base_scores(self.frame)
         base = [st.base_score for st in self.models]
-        frame = self.frame.withColumn("_pred", F.array(*[F.lit(float(b)) for b in base]))
+        frame = self.frame.withColumn(
+            "_pred", F.lit(bytearray(np.asarray(base, np.float64).tobytes())).cast("binary"))
         persisted = []
         for rnd in range(max_rounds + 1):
             active = [st for st in self.models if st.active]
@@ -479,23 +540,24 @@ class Grower:
         F_, T_ = self.F, self.T
         index = {st.spec.model_id: i for i, st in enumerate(self.models)}
         plan = [(index[mid], t.arrays(), max(t.depth)) for mid, t in trees.items()]
-        cols = frame.columns
         schema = frame.schema
+        bdt, M = bins_dtype(self.B1), len(self.models)
 
         def fn(it):
-            for pdf in it:
-                if len(pdf) == 0:
+            for batch in it:
+                if batch.num_rows == 0:
                     continue
-                bins = np.stack([pdf[f"_b{j}"].to_numpy(np.int64) for j in range(F_)], axis=1)
-                preds = np.stack(pdf["_pred"].to_numpy()).copy()
+                names = batch.schema.names
+                bins = binary_matrix(batch.column(names.index("_bins")), bdt, F_)
+                preds = binary_matrix(batch.column(names.index("_pred")), np.float64, M).copy()
                 for pos, arr, depth in plan:
-                    node = route(arr, bins, depth) if depth > 0 else np.zeros(len(pdf), np.int64)
+                    node = route(arr, bins, depth) if depth > 0 else np.zeros(batch.num_rows, np.int64)
                     preds[:, pos] += arr["value"][node]
-                out = pdf[cols].copy()
-                out["_pred"] = list(preds)
-                yield out
+                cols = [batch.column(i) for i in range(batch.num_columns)]
+                cols[names.index("_pred")] = binary_array(preds)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        return frame.mapInPandas(fn, schema)
+        return frame.mapInArrow(fn, schema)
 
     # ------------------------------------------------------------------ output
     def results(self):
