@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null
 
-DEFAULT_ACCURACY = 1_000_000
+DEFAULT_ACCURACY = 10_000
+# a bracket is resolved exactly once it holds at most this many rows;
+# larger ones are narrowed by another sketch pass over the bracket only
+MAX_BRACKET_ROWS = 1_000_000
+MAX_REFINE = 6
 # the bracket is widened by this many sketch error units on each side
 _MARGIN = 3.0
 
@@ -37,7 +41,8 @@ def interpolate(lo: float, hi: float, d: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+                    accuracy: int = DEFAULT_ACCURACY,
+                    max_bracket: int = MAX_BRACKET_ROWS) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns at once."""
     if not cols:
         return {}
@@ -58,7 +63,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                  F.percentile_approx(c, sketch_p, accuracy).alias(f"pa{i}")]
     first = data.agg(*aggs).collect()[0]
 
-    brackets = {}  # (i, j) -> (lo, hi)
+    brackets: dict[tuple[int, int], tuple[float, float]] = {}
+    ranks: dict[tuple[int, int], tuple[int, int, float]] = {}
     for i in range(len(cols)):
         n = first[f"n{i}"]
         if not n:
@@ -68,13 +74,47 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             lo = first[f"mn{i}"] if lo_p[j] <= 0.0 else approx[lo_p[j]]
             hi = first[f"mx{i}"] if hi_p[j] >= 1.0 else approx[hi_p[j]]
             brackets[(i, j)] = (lo, hi)
+            pos = p * (n - 1)
+            k = math.floor(pos)
+            d = pos - k
+            ranks[(i, j)] = (k, k + (1 if d > 0 else 0), d)
     if not brackets:
         return {c: [None] * len(probs) for c in cols}
 
-    below = data.agg(*[F.count_if(F.col(f"_q{i}") < F.lit(lo)).alias(f"b{i}_{j}")
-                       for (i, j), (lo, _) in brackets.items()]).collect()[0]
-    conds = {k: (F.col(f"_q{k[0]}") >= F.lit(lo)) & (F.col(f"_q{k[0]}") <= F.lit(hi))
-             for k, (lo, hi) in brackets.items()}
+    def inside(key, lo, hi):
+        v = F.col(f"_q{key[0]}")
+        return (v >= F.lit(lo)) & (v <= F.lit(hi))
+
+    for _ in range(MAX_REFINE):
+        row = data.agg(*[x for key, (lo, hi) in brackets.items() for x in (
+            F.count_if(F.col(f"_q{key[0]}") < F.lit(lo)).alias(f"b{key[0]}_{key[1]}"),
+            F.count_if(inside(key, lo, hi)).alias(f"c{key[0]}_{key[1]}"))]).collect()[0]
+        below = {key: row[f"b{key[0]}_{key[1]}"] for key in brackets}
+        count = {key: row[f"c{key[0]}_{key[1]}"] for key in brackets}
+        refine = {}
+        for key, (lo, hi) in brackets.items():
+            k_lo, k_hi, _ = ranks[key]
+            i = key[0]
+            if not (below[key] <= k_lo and k_hi < below[key] + count[key]):
+                # the sketch missed (should not happen): fall back to the full range
+                brackets[key] = (first[f"mn{i}"], first[f"mx{i}"])
+                refine[key] = None
+            elif count[key] > max_bracket:
+                local = (k_lo - below[key]) / max(count[key] - 1, 1)
+                refine[key] = (max(0.0, local - eps), min(1.0, local + eps))
+        if not refine:
+            break
+        todo = {k: v for k, v in refine.items() if v is not None}
+        if todo:
+            sk = data.agg(*[F.percentile_approx(F.when(inside(key, *brackets[key]), F.col(f"_q{key[0]}")),
+                                                list(pp), accuracy).alias(f"s{key[0]}_{key[1]}")
+                            for key, pp in todo.items()]).collect()[0]
+            for key, (plo, phi) in todo.items():
+                vals = sk[f"s{key[0]}_{key[1]}"]
+                lo, hi = brackets[key]
+                brackets[key] = (lo if plo <= 0.0 else vals[0], hi if phi >= 1.0 else vals[1])
+
+    conds = {key: inside(key, lo, hi) for key, (lo, hi) in brackets.items()}
     cells = F.array(*[F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
                                             F.col(f"_q{i}").alias("v")))
                       for (i, j), cond in conds.items()])
@@ -89,24 +129,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         values[(r["i"], r["j"])].append((r["v"], r["count"]))
 
     out = {c: [None] * len(probs) for c in cols}
-    fallback = set()
     for (i, j), vals in values.items():
         vals.sort()
-        n = first[f"n{i}"]
-        pos = probs[j] * (n - 1)
-        k = math.floor(pos)
-        d = pos - k
-        b = below[f"b{i}_{j}"]
-        lo_v = _nth(vals, k - b)
-        hi_v = lo_v if d == 0 else _nth(vals, k + 1 - b)
-        if lo_v is None or hi_v is None:
-            fallback.add(i)
-            continue
+        k_lo, k_hi, d = ranks[(i, j)]
+        b = below[(i, j)]
+        lo_v = _nth(vals, k_lo - b)
+        hi_v = lo_v if k_hi == k_lo else _nth(vals, k_hi - b)
         out[cols[i]][j] = interpolate(lo_v, hi_v, d) if d else lo_v
-    if fallback:  # the sketch missed its guarantee: retry with a finer sketch
-        redo = exact_quantiles(df, [cols[i] for i in sorted(fallback)], probs,
-                               accuracy=accuracy * 10) if accuracy < 10**9 else {}
-        out.update(redo)
     return out
 
 
