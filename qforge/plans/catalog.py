@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..config import FeatureSpec, ForecastConfig
 from ..operators import analysis as V
 from ..operators.forecast import QuantileForecaster
-from . import feature_queries, model_queries, ops_queries, profile_queries, stream_queries  # noqa: F401
+from . import (feature_queries, io_queries, model_queries, ops_queries, profile_queries,  # noqa: F401
+               stream_queries)
 from .registry import ORACLES, QUERIES, load, query
 
 

@@ -93,9 +93,9 @@ def _path_size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
-def read_json_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """S3: a JSON array of objects (or JSON lines) as a frame."""
-    reader = spark.read.option("multiLine", True)
+def read_json_records(spark: SparkSession, path: str, schema=None, lines: bool = False) -> DataFrame:
+    """S3: a JSON array of objects (``lines=False``) or JSON lines as a frame."""
+    reader = spark.read.option("multiLine", not lines)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
