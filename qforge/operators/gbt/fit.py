@@ -53,6 +53,9 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
         if len(targets) > 1 else base.filter(F.col("_y0").isNotNull())
     k = max(int(nfold or 1), 1)
     base = base.withColumn("_fold", F.pmod(F.xxhash64(F.col("_rk"), F.lit(seed)), F.lit(k)).cast("int"))
+    # the cut sketches and the binning both read the projected rows: keep
+    # them once instead of recomputing the upstream plan (joins, encoders)
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     cuts = compute_cuts(base, features, max_bin)
     binned = bin_columns(base, features, cuts)
     binned = binned.select("_rk", "_fold", "_w", *[f"_y{t}" for t in range(len(targets))],
@@ -65,6 +68,7 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     stats = binned.agg(F.count(F.lit(1)).alias("n"),
                        *[F.avg(F.abs(F.col(f"_y{t}"))).alias(f"s{t}") for t in range(len(targets))]
                        ).collect()[0]
+    base.unpersist()
     scales = [max(float(stats[f"s{t}"] or 1.0), 1e-9) * 1e-6 for t in range(len(targets))]
     return binned, cuts, int(stats["n"]), scales
 

@@ -49,6 +49,8 @@ from .trees import (RES_BUCKETS, Tree, best_split, child_bounds, leaf_quantiles,
 # per-task dense histogram budget (bytes) and cells collected per pass
 TASK_HIST_BYTES = 256 << 20
 DRIVER_CELLS = 20_000_000
+# parent histograms kept on the driver for sibling subtraction (cells)
+SUBTRACT_CELLS = 8_000_000
 HIST_SCHEMA = "kind int, cell long, a double, b double, c double"
 LEAF_SCHEMA = "cell long, sw double, mn double, mx double, swr double"
 KIND_HIST, KIND_VALID, KIND_TRAIN = 0, 1, 2
@@ -213,20 +215,25 @@ class Grower:
         return rk + ["_fold", "_w"] + [f"_y{t}" for t in range(self.T)] + ["_bins"]
 
     def _level_pass(self, frame: DataFrame, chunk: list[ModelState], depth: int, rnd: int,
-                    with_loss: bool, trees: dict[int, Tree]):
+                    with_loss: bool, trees: dict[int, Tree], build: dict[int, list[int]] | None = None):
+        """Histograms of the ``build`` nodes of each model (default: its whole
+        frontier at ``depth``) and, with ``with_loss``, the pinball losses of
+        the current predictions.  Returns ({model: {node: (3, F, B1)}}, losses)."""
         F_, B1, T_ = self.F, self.B1, self.T
         seed = self.seed
         plan = []
+        built_nodes = {}
         for st in chunk:
             sp = st.spec
             tree = trees.get(sp.model_id)
             if tree is not None:
-                frontier = tree.frontier(depth)
+                frontier = (build or {}).get(sp.model_id, tree.frontier(depth))
                 slot = np.full(tree.n_nodes, -1, np.int64)
                 slot[frontier] = np.arange(len(frontier))
                 arr = tree.arrays()
             else:
                 frontier, slot, arr = [], None, None
+            built_nodes[sp.model_id] = list(frontier)
             plan.append((sp.model_id, sp.target, sp.quantile, sp.fold, sp.params.subsample,
                          _salt(seed, sp.model_id, rnd), arr, slot, len(frontier)))
         offsets, off = [], 0
@@ -321,7 +328,8 @@ class Grower:
                 sel = (kinds == KIND_HIST) & (cells >= offsets[k]) & (cells < offsets[k] + size)
                 dense = np.zeros((3, size))
                 dense[:, cells[sel] - offsets[k]] = vals[sel].T
-                hists[p[0]] = dense.reshape(3, p[8], F_, B1)
+                dense = dense.reshape(3, p[8], F_, B1)
+                hists[p[0]] = {node: dense[:, i] for i, node in enumerate(built_nodes[p[0]])}
         return hists, losses
 
     def _leaf_pass(self, frame: DataFrame, chunk: list[ModelState], trees: dict[int, Tree], rnd: int,
@@ -405,19 +413,29 @@ class Grower:
                 allowed[:] = False
                 allowed[rng.choice(self.F, size=k, replace=False)] = True
             rng_cols[sp.model_id] = allowed
+        parent_hist: dict[int, dict[int, np.ndarray]] = {}
         for depth in range(max_depth):
             growing = [st for st in active
                        if depth < st.spec.params.max_depth and trees[st.spec.model_id].frontier(depth)]
             if not growing:
                 break
             with_loss = depth == 0  # every active model still has its root here
+            build, derive = self._plan_subtraction(growing, trees, depth, parent_hist)
+            level_hist: dict[int, dict[int, np.ndarray]] = {}
             for chunk in _split_models(growing, self.F, self.B1, 2 ** depth):
                 hists, ls = self._level_pass(frame, chunk, depth, rnd, with_loss,
-                                             {st.spec.model_id: trees[st.spec.model_id] for st in chunk})
+                                             {st.spec.model_id: trees[st.spec.model_id] for st in chunk},
+                                             build)
                 losses.update(ls)
                 for st in chunk:
-                    self._split_level(st, trees[st.spec.model_id], hists.get(st.spec.model_id),
-                                      depth, rng_cols[st.spec.model_id])
+                    mid = st.spec.model_id
+                    h = hists.get(mid, {})
+                    for node, (parent, sibling) in derive.get(mid, {}).items():
+                        h[node] = parent_hist[mid][parent] - h[sibling]
+                    level_hist[mid] = h
+                    self._split_level(st, trees[mid], h, depth, rng_cols[mid])
+            keep = sum(len(v) for v in level_hist.values()) * self.F * self.B1 <= SUBTRACT_CELLS
+            parent_hist = level_hist if keep else {}
         # leaf values
         for chunk in _split_models(active, 1, RES_BUCKETS, 2 ** max_depth):
             cells = self._leaf_pass(frame, chunk, trees, rnd)
@@ -429,12 +447,39 @@ class Grower:
                 project_monotone(tree, self.constraints)
         return trees, losses
 
-    def _split_level(self, st: ModelState, tree: Tree, hist, depth: int, allowed):
-        if hist is None:
+    def _plan_subtraction(self, growing, trees, depth, parent_hist):
+        """Per model: nodes to build from rows, and (parent, sibling) for nodes
+        derived as parent - sibling (the larger child of each split)."""
+        build, derive = {}, {}
+        for st in growing:
+            mid = st.spec.model_id
+            tree = trees[mid]
+            frontier = tree.frontier(depth)
+            if depth == 0 or mid not in parent_hist:
+                build[mid] = frontier
+                continue
+            fset = set(frontier)
+            b, d = [], {}
+            for parent, hist in parent_hist[mid].items():
+                l, r = tree.left[parent], tree.right[parent]
+                if l < 0 or l not in fset or r not in fset:
+                    continue
+                small, large = (l, r) if tree.cover[l] <= tree.cover[r] else (r, l)
+                b.append(small)
+                d[large] = (parent, small)
+            covered = set(b) | set(d)
+            b += [n for n in frontier if n not in covered]
+            build[mid], derive[mid] = sorted(b), d
+        return build, derive
+
+    def _split_level(self, st: ModelState, tree: Tree, hist: dict, depth: int, allowed):
+        if not hist:
             return
         p = st.spec.params
-        for s_idx, node in enumerate(tree.frontier(depth)):
-            G, H = hist[0, s_idx], hist[1, s_idx]
+        for node in tree.frontier(depth):
+            if node not in hist:
+                continue
+            G, H = hist[node][0], hist[node][1]
             if H[0].sum() <= 0:
                 continue
             tree.cover[node] = float(H[0].sum())

@@ -62,8 +62,8 @@ def validate_table(spark: SparkSession, path: str,
     try:
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
         if schema is not None:
-            reader = reader.schema(schema.add(CORRUPT_COL, T.StringType())) \
-                .option("columnNameOfCorruptRecord", CORRUPT_COL)
+            with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT_COL, T.StringType())])
+            reader = reader.schema(with_corrupt).option("columnNameOfCorruptRecord", CORRUPT_COL)
         else:
             reader = reader.option("inferSchema", True)
         df = reader.csv(path)

@@ -68,14 +68,14 @@ def test_histogram_pass_equals_numpy(spark):
     base = g.models[0].base_score
     fr = frame.withColumn("_pred", F.lit(bytearray(np.asarray([base]).tobytes())).cast("binary"))
     hists, _ = g._level_pass(fr, g.models, 0, 0, False, {0: Tree()})
-    H = hists[0]
+    H = hists[0][0]  # model 0, root node: (3, features, bins)
     pdf = df.toPandas()
     grad = np.where(base >= pdf.y.to_numpy(), 0.5, -0.5)
     for j, col in enumerate(["x", "z"]):
         b = np.searchsorted(cuts[j], pdf[col].to_numpy(), side="right") + 1
         ref = np.bincount(b, grad, minlength=H.shape[-1])
-        assert np.allclose(H[0, 0, j], ref)
-        assert np.allclose(H[2, 0, j], np.bincount(b, minlength=H.shape[-1]))
+        assert np.allclose(H[0, j], ref)
+        assert np.allclose(H[2, j], np.bincount(b, minlength=H.shape[-1]))
     ys = np.sort(pdf.y.to_numpy())
     m = len(ys) // 2
     assert ys[m - 1] - 1e-9 <= base <= ys[m] + 1e-9  # a weighted median of the labels
