@@ -9,7 +9,8 @@ Tables (Parquet, partitioned by ``run_id`` so a load prunes partitions)::
                best_score, constraint_list, features)
 
 Scoring (P1) ships the tree arrays to executors in a broadcast variable
-whose size is checked, and walks them with NumPy inside ``mapInPandas``.
+whose size is checked, and walks them with NumPy inside a scalar Arrow
+UDF that receives only the feature columns.
 """
 
 from __future__ import annotations
@@ -93,32 +94,36 @@ class ModelSet:
             raise ValueError(f"model set of ~{size} bytes exceeds the broadcast bound")
         bc = spark.sparkContext.broadcast(self._compiled())
         feats = list(self.features)
-        names = [f"__pred{i}" for i in range(len(self.models))]
-        keep = list(df.columns) if keep is None else list(keep)
-        staged = df.select(*keep, *[F.col(f).cast("double").alias(f"__f{j}") for j, f in enumerate(feats)])
-        schema = T.StructType(staged.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+        names = [f"p{i}" for i in range(len(self.models))]
+        out_type = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
-        def fn(it):
+        # Only the feature columns travel to Python (a scalar Arrow UDF);
+        # every other column stays in the JVM row.
+        @F.pandas_udf(out_type)
+        def score(*cols: pd.Series) -> pd.DataFrame:
             compiled = bc.value
-            for pdf in it:
-                x = np.stack([pdf[f"__f{j}"].to_numpy(np.float64, na_value=np.nan)
-                              for j in range(len(feats))], axis=1) if feats else np.zeros((len(pdf), 0))
-                out = pdf.copy()
-                for i, (_t, _q, base, trees) in enumerate(compiled):
-                    p = np.full(len(pdf), base, np.float64)
-                    for arr, sv, depth in trees:
-                        node = route_values(arr, x, sv, depth) if depth > 0 else np.zeros(len(pdf), np.int64)
-                        p += arr["value"][node]
-                    out[names[i]] = p
-                yield out
-
-        scored = staged.mapInPandas(fn, schema).drop(*[f"__f{j}" for j in range(len(feats))])
+            n = len(cols[0]) if cols else 0
+            x = np.stack([c.to_numpy(np.float64, na_value=np.nan) for c in cols], axis=1) \
+                if cols else np.zeros((n, 0))
+            out = {}
+            for i, (_t, _q, base, trees) in enumerate(compiled):
+                p = np.full(n, base, np.float64)
+                for arr, sv, depth in trees:
+                    node = route_values(arr, x, sv, depth) if depth > 0 else np.zeros(n, np.int64)
+                    p += arr["value"][node]
+                out[names[i]] = p
+            return pd.DataFrame(out, columns=names)
+
+        keep = list(df.columns) if keep is None else list(keep)
+        # a value that is not a number scores as missing (validation reports it)
+        args = [F.col(f).try_cast("double") for f in feats] or [F.lit(0.0)]
+        scored = df.select(*keep, score(*args).alias("__s"))
         labels = [_label(m) for m in self.models]
         if layout == "wide":
-            return scored.select(*keep, *[F.col(n).alias(lbl) for n, lbl in zip(names, labels)])
+            return scored.select(*keep, *[F.col(f"__s.{n}").alias(lbl) for n, lbl in zip(names, labels)])
         cells = F.explode(F.array(*[
             F.struct(F.lit(m.target).alias("target"), F.lit(m.quantile).alias("quantile"),
-                     F.col(n).alias("prediction"))
+                     F.col(f"__s.{n}").alias("prediction"))
             for m, n in zip(self.models, names)]))
         return scored.select(*keep, cells.alias("_c")).select(*keep, "_c.*")
 

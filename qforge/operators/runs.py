@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_cost
@@ -68,7 +68,7 @@ def performance_summary(metrics: DataFrame) -> DataFrame:
     plus the preprocessing total as a column (one aggregation pass)."""
     stats = metric_stats(metrics).withColumn("is_preprocessing", F.col("metric").isin(*PREPROCESSING_METRICS))
     total = F.sum(F.when(F.col("is_preprocessing"), F.col("total")).otherwise(F.lit(0.0))).over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(F.lit(1)))
+        Window.partitionBy(F.lit(1)))
     # the stats frame has one row per metric name: a small, bounded window
     return stats.withColumn("preprocessing_total", total)
 
@@ -127,15 +127,19 @@ def list_models(runs: DataFrame, tags: DataFrame, metrics: DataFrame, status: st
     r = runs.filter(F.col("run_id").isNotNull() & (F.col("status") == status))
     tag_keys = tag_keys or [x[0] for x in tags.select("key").distinct().orderBy("key").collect()]
     metric_keys = metric_keys or [x[0] for x in metrics.select("key").distinct().orderBy("key").collect()]
-    t = tags.groupBy("run_id").pivot("key", tag_keys).agg(F.first("value"))
-    for k in tag_keys:
-        t = t.withColumnRenamed(k, f"tags.{k}")
+    # tags and metrics in one shuffle: union them, then conditional aggregates
+    long = (tags.select("run_id", "key", F.col("value").alias("s"), F.lit(None).cast("double").alias("d"),
+                        F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("is_tag"))
+            .unionByName(metrics.select("run_id", "key", F.lit(None).cast("string").alias("s"),
+                                        F.col("value").alias("d"), F.col("ts").cast("timestamp").alias("ts"),
+                                        F.lit(False).alias("is_tag"))))
+    aggs = [F.max_by("s", F.when(F.col("is_tag") & (F.col("key") == k), F.lit(1))).alias(f"tags.{k}")
+            for k in tag_keys]
     # latest value of each metric
-    m = metrics.groupBy("run_id").pivot("key", metric_keys).agg(F.max_by("value", "ts"))
-    for k in metric_keys:
-        m = m.withColumnRenamed(k, f"metrics.{k}")
-    return (r.join(t, "run_id", "left").join(m, "run_id", "left")
-            .orderBy(F.desc("start_time"), F.asc("run_id")))
+    aggs += [F.max_by("d", F.when(~F.col("is_tag") & (F.col("key") == k), F.col("ts"))).alias(f"metrics.{k}")
+             for k in metric_keys]
+    wide = long.groupBy("run_id").agg(*aggs)
+    return r.join(wide, "run_id", "left").orderBy(F.desc("start_time"), F.asc("run_id"))
 
 
 @dataclass

@@ -3,8 +3,9 @@
 Validation is a projection: every row gets an ``errors array<string>``
 built from Column expressions (``filter(array(when ...), isNotNull)``), so
 one bad row never fails the batch; frame-level misses (absent columns) are
-computed once from the schema.  Valid rows are scored by the model set's
-``mapInPandas`` scorer; invalid rows keep their errors and status 400.
+computed once from the schema.  Rows are scored by the model set's
+``mapInPandas`` scorer in the same projection; invalid rows keep their
+errors, status 400 and no predictions.
 """
 
 from __future__ import annotations
@@ -94,32 +95,32 @@ def validate_features(df: DataFrame, schema: ModelSchema) -> DataFrame:
     return df.withColumn("errors", errs).withColumn("is_valid", F.size("errors") == 0)
 
 
-def predict_batch(df: DataFrame, schema: ModelSchema, scorer, index_col: str,
-                  zone: DataFrame | None = None) -> DataFrame:
-    """Validate, score the valid rows, keep invalid rows with status 400.
+def predict_batch(df: DataFrame, schema: ModelSchema, scorer_wide, index_col: str,
+                  zone: Column | None = None) -> DataFrame:
+    """Validate every row, score every row, keep predictions of valid ones.
 
-    ``scorer(valid_df) -> long predictions (index_col, target, quantile,
-    prediction)``.  Output: index, status_code (200/400), error, and a
-    ``predictions`` map target -> (p## -> value) for valid rows.  Rows keep
-    their index; no row is dropped.
+    ``scorer_wide(frame) -> frame + one {target}_p{NN} column per model``.
+    Scoring never fails on a bad value (unknown levels encode to -1,
+    non-numbers to missing), so the whole batch is one narrow projection:
+    no join and no shuffle.  Output: index, status_code (200 valid / 400
+    invalid), error, predictions map target -> (p## -> value), and the
+    location zone when given (J8).  No row is dropped.
     """
     checked = validate_features(df, schema)
-    valid = checked.filter("is_valid").drop("errors", "is_valid")
-    long = scorer(valid)
-    nested = (long.groupBy(index_col, "target")
-              .agg(F.map_from_entries(F.collect_list(F.struct(model_label(F.col("quantile")),
-                                                               F.col("prediction")))).alias("q"))
-              .groupBy(index_col).agg(F.map_from_entries(F.collect_list(F.struct("target", "q")))
-                                      .alias("predictions")))
-    out = checked.select(index_col, "errors", "is_valid").join(nested, index_col, "left")
-    out = out.select(
+    scored = scorer_wide(checked)
+    by_target: dict[str, list[str]] = {}
+    for t in schema.targets:
+        for q in schema.quantiles:
+            by_target.setdefault(t, []).append(f"{t}_p{int(q * 100)}")
+    pred_map = F.create_map(*[x for t, cols in by_target.items() for x in (
+        F.lit(t), F.create_map(*[y for c in cols for y in (F.lit(c.rsplit("_", 1)[1]), F.col(c))]))])
+    out = scored.select(
         index_col,
         F.when(F.col("is_valid"), F.lit(200)).otherwise(F.lit(400)).alias("status_code"),
         F.when(~F.col("is_valid"), F.concat(F.lit("Invalid input features: "),
                                             F.array_join("errors", "; "))).alias("error"),
-        "predictions")
-    if zone is not None:
-        out = out.join(zone, index_col, "left")
+        F.when(F.col("is_valid"), pred_map).alias("predictions"),
+        *([zone.alias("location_zone")] if zone is not None else []))
     return out
 
 

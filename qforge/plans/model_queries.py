@@ -236,10 +236,7 @@ def batch_summary(spark, sf):
     schema = S.ModelSchema.from_config(fc.cfg)
     dirty = _dirty(spark, sf).withColumn("row_id", F.concat_ws("-", *KEY))
 
-    def scorer(valid):
-        return fc.predict(valid, "long", keep=["row_id"])
-
-    results = S.predict_batch(dirty, schema, scorer, "row_id")
+    results = S.predict_batch(dirty, schema, lambda d: fc.predict(d, "wide"), "row_id")
     return S.batch_summary(results)
 
 
@@ -249,7 +246,7 @@ def predict_batch(spark, sf):
     fc = trained(spark, sf)
     schema = S.ModelSchema.from_config(fc.cfg)
     dirty = _dirty(spark, sf).withColumn("row_id", F.concat_ws("-", *KEY))
-    return S.predict_batch(dirty, schema, lambda v: fc.predict(v, "long", keep=["row_id"]), "row_id")
+    return S.predict_batch(dirty, schema, lambda d: fc.predict(d, "wide"), "row_id")
 
 
 @query("tune_trials")
