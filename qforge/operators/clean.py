@@ -162,6 +162,16 @@ def resolve_columns(df: DataFrame, requested: str | list[str] | None) -> ColumnM
     return ColumnMatch(matched, not_found, not_numeric)
 
 
+def target_overview(df: DataFrame, targets: list[str]) -> list[str]:
+    """The configured targets that exist in the frame (for A10/A11)."""
+    return [t for t in targets if t in df.columns]
+
+
+def missing_values(required: DataFrame, provided: DataFrame, key: str) -> DataFrame:
+    """Required - provided as a left-anti join (e.g. levels not in a mapping)."""
+    return required.join(provided, key, "left_anti")
+
+
 def drop_nulls_in(df: DataFrame, col: str) -> DataFrame:
     """C12."""
     return df.filter(F.col(col).isNotNull())

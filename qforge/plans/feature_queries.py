@@ -264,3 +264,16 @@ SELECT locs.name, gaz.lat, gaz.lon FROM locs LEFT JOIN gaz ON locs.name = gaz.na
 """)
 def geocode_join(spark, sf):
     return geo.geocode(_customer_locations(spark, sf), "location", _gazetteer(spark, sf))
+
+
+@query("unmapped_levels", oracle="""
+SELECT DISTINCT o_orderpriority AS value FROM orders
+WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
+""")
+def unmapped_levels(spark, sf):
+    """Levels present in the data but missing from a mapping (left anti join)."""
+    from ..operators.clean import missing_values
+    o = load(spark, sf, "orders")
+    levels = o.select(F.col("o_orderpriority").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    mapping = spark.createDataFrame([(k,) for k in _PRIORITY_MAP], "value string")
+    return missing_values(levels, F.broadcast(mapping), "value")

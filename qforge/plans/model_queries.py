@@ -258,3 +258,13 @@ def tune_trials(spark, sf):
 
 
 __all__ = ["trained", "demo_config", "joined", "GrowParams"]
+
+
+@query("available_models")
+def available_models(spark, sf):
+    """Targets and quantiles from the model_meta table, and the same
+    parsed back from the model names."""
+    fc = trained(spark, sf)
+    _, _, meta = fc.model_set.tables(spark, "demo")
+    target, q = S.parse_model_name(F.col("model"))
+    return meta.select("model", "target", "quantile", target.alias("name_target"), q.alias("name_quantile"))

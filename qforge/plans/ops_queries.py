@@ -283,9 +283,9 @@ def repair_json(spark, sf):
     k = F.col("event_id") % 4
     raw = (F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Result: "), "props", F.lit(" (done)")))
            .when(k == 2, F.concat(F.lit("'"), "props", F.lit("'"))).otherwise(F.lit("no json here")))
-    r = H.repair_json(raw, with_unicode_step=False)
-    return e.select("event_id", r["strategy"].alias("strategy"),
-                    F.try_variant_get(r["value"], "$.k", "bigint").alias("k"))
+    r = H.repair_json_frame(e.select("event_id", raw.alias("raw")), "raw", "r", with_unicode_step=False)
+    return r.select("event_id", F.col("r.strategy").alias("strategy"),
+                    F.try_variant_get("r.value", "$.k", "bigint").alias("k"))
 
 
 @query("extract_fenced_json", oracle="""

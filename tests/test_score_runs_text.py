@@ -93,3 +93,11 @@ def test_injection_and_redaction(spark):
     long = spark.createDataFrame([("x" * 600,)], "s string")
     red = long.select(H.redact_log_args("s")).collect()[0][0]
     assert red == "x" * 500 + "... [truncated]"
+
+
+def test_repair_json_frame_matches_column(spark):
+    raw = ['{"a": 1}', '"{\\"a\\": 1}"', "'{\"a\": 1}'", 'text {"a": 1} tail', "nope"]
+    df = spark.createDataFrame([(r,) for r in raw], "s string")
+    a = df.select(H.repair_json(F.col("s")).alias("r")).select("r.strategy", "r.json").collect()
+    b = H.repair_json_frame(df, "s", "r").select("r.strategy", "r.json").collect()
+    assert a == b and [x.strategy for x in a] == [1, 1, 2, 6, None]
