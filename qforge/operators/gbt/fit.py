@@ -61,9 +61,11 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     binned = binned.select("_rk", "_fold", "_w", *[f"_y{t}" for t in range(len(targets))],
                            *[f"_b{j}" for j in range(len(features))])
     binned = _pack_bins(binned, len(features), len(targets), bins_dtype(n_bins(cuts)))
-    n_part = partitions or max(spark.sparkContext.defaultParallelism, binned.rdd.getNumPartitions())
-    if binned.rdd.getNumPartitions() != n_part:
-        binned = binned.repartition(n_part, "_rk")
+    # Every task of a level pass emits one partial histogram, so the shuffle
+    # per level is tasks x cells: spread rows over about one partition per
+    # core (not one per input split, which at 100 TB would be ~10^5).
+    n_part = partitions or spark.sparkContext.defaultParallelism
+    binned = binned.repartition(n_part, "_rk")
     binned = binned.persist(StorageLevel.MEMORY_AND_DISK)
     stats = binned.agg(F.count(F.lit(1)).alias("n"),
                        *[F.avg(F.abs(F.col(f"_y{t}"))).alias(f"s{t}") for t in range(len(targets))]
