@@ -73,16 +73,23 @@ def bounds_frame(spark, bounds: list[Bounds]) -> DataFrame:
     return spark.createDataFrame([(b.column, b.q1, b.q3, b.lower, b.upper) for b in bounds], schema)
 
 
-def inside_bounds(bounds: list[Bounds]) -> Column:
-    """Row predicate: every target inside its inclusive bounds (NULL fails)."""
+def inside_bounds(bounds: list[Bounds], types: dict | None = None, null_as_false: bool = True) -> Column:
+    """Row predicate: every target inside its inclusive bounds.
+
+    A NULL or NaN target fails (NaN compares above every number).  On
+    DOUBLE columns the predicate is plain comparisons of the column with
+    literals, which Parquet can take as a pushed filter; ``null_as_false``
+    wraps it for counting (a filter drops NULL anyway).
+    """
     cond = F.lit(True)
     for b in bounds:
         if b.lower is None:  # all-NULL target: every row fails, like NaN compares
             cond = cond & F.lit(False)
             continue
-        v = nan_to_null(F.col(b.column).cast("double"))
-        cond = cond & F.coalesce((v >= F.lit(b.lower)) & (v <= F.lit(b.upper)), F.lit(False))
-    return cond
+        dt = (types or {}).get(b.column)
+        v = F.col(b.column) if isinstance(dt, T.DoubleType) else F.col(b.column).cast("double")
+        cond = cond & (v >= F.lit(float(b.lower))) & (v <= F.lit(float(b.upper)))
+    return F.coalesce(cond, F.lit(False)) if null_as_false else cond
 
 
 def remove_outliers(df: DataFrame, targets: list[str], method: str = "iqr",
@@ -99,10 +106,11 @@ def remove_outliers(df: DataFrame, targets: list[str], method: str = "iqr",
     bounds = iqr_bounds(df, targets, threshold)
     if not bounds:
         return (df, 0) if with_counts else (df, None)
-    keep = inside_bounds(bounds)
-    kept = df.filter(keep)
+    types = _dtypes(df)
+    kept = df.filter(inside_bounds(bounds, types, null_as_false=False))
     if not with_counts:
         return kept, None
+    keep = inside_bounds(bounds, types)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(keep).alias("k")).collect()[0]
     return kept, int(row["n"] - row["k"])
 

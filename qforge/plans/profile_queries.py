@@ -93,7 +93,7 @@ FROM lineitem, p, q
 """)
 def outlier_counts(spark, sf):
     li = load(spark, sf, "lineitem")
-    keep = C.inside_bounds(C.iqr_bounds(li, _TARGETS, 1.5))
+    keep = C.inside_bounds(C.iqr_bounds(li, _TARGETS, 1.5), dict((f.name, f.dataType) for f in li.schema.fields))
     return li.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(keep).alias("kept_rows"),
                   F.count_if(~keep).alias("removed_rows"))
 
