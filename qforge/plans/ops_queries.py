@@ -143,14 +143,14 @@ def _runs(spark, sf):
     status = (F.when(F.col("o_orderstatus") == "F", "FINISHED").when(F.col("o_orderstatus") == "O", "RUNNING")
               .otherwise("FAILED"))
     run_id = F.concat(F.lit("run-"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
-    runs = o.select(run_id.alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("start_time"),
+    runs = o.select(run_id.alias("run_id"), F.col("o_orderdate").alias("start_time"),
                     status.alias("status"), F.col("o_orderpriority").alias("experiment"))
     tags = o.select(run_id.alias("run_id"), F.explode(F.array(
         F.struct(F.lit("dataset_name").alias("key"), F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("value")),
         F.struct(F.lit("model_type").alias("key"), F.lit("XGBoost").alias("value")))).alias("t")).select("run_id", "t.*")
     mets = o.select(run_id.alias("run_id"), F.lit("cv_mean_score").alias("key"),
                     (F.col("o_totalprice") / F.lit(1e6)).alias("value"),
-                    F.col("o_orderdate").cast("timestamp").alias("ts"))
+                    F.col("o_orderdate").alias("ts"))
     return runs, tags, mets
 
 
