@@ -23,15 +23,17 @@ from ...functions.columns import nan_to_null
 SKETCH_ACCURACY = 2_000
 
 
-def compute_cuts(df: DataFrame, features: list[str], max_bin: int = 256) -> list[np.ndarray]:
-    if not features:
-        return []
+def compute_cuts(df: DataFrame, features: list[str], max_bin: int = 256, extra_aggs=None):
+    """Cut points per feature; with ``extra_aggs`` (Columns) their values are
+    computed in the same job and returned as a second result."""
     probs = [i / max_bin for i in range(1, max_bin)]
     vals = {f: nan_to_null(F.col(f).cast("double")) for f in features}
-    aggs = []
+    aggs = list(extra_aggs or [])
     for i, f in enumerate(features):
         aggs += [F.approx_count_distinct(vals[f]).alias(f"d{i}"),
                  F.percentile_approx(vals[f], probs, SKETCH_ACCURACY).alias(f"p{i}")]
+    if not aggs:
+        return []
     row = df.agg(*aggs).collect()[0]
     low = [i for i, _ in enumerate(features) if (row[f"d{i}"] or 0) <= max_bin]
     exact = {}
@@ -47,7 +49,7 @@ def compute_cuts(df: DataFrame, features: list[str], max_bin: int = 256) -> list
         else:
             p = row[f"p{i}"] or []
             cuts.append(np.unique(np.asarray([x for x in p if x is not None], np.float64)))
-    return cuts
+    return (cuts, row) if extra_aggs is not None else cuts
 
 
 def n_bins(cuts: list[np.ndarray]) -> int:

@@ -56,7 +56,9 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     # the cut sketches and the binning both read the projected rows: keep
     # them once instead of recomputing the upstream plan (joins, encoders)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    cuts = compute_cuts(base, features, max_bin)
+    stats_aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.abs(F.col(f"_y{t}"))).alias(f"s{t}")
+                                                     for t in range(len(targets))]
+    cuts, stats = compute_cuts(base, features, max_bin, extra_aggs=stats_aggs)
     binned = bin_columns(base, features, cuts)
     binned = binned.select("_rk", "_fold", "_w", *[f"_y{t}" for t in range(len(targets))],
                            *[f"_b{j}" for j in range(len(features))])
@@ -67,9 +69,7 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     n_part = partitions or spark.sparkContext.defaultParallelism
     binned = binned.repartition(n_part, "_rk")
     binned = binned.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = binned.agg(F.count(F.lit(1)).alias("n"),
-                       *[F.avg(F.abs(F.col(f"_y{t}"))).alias(f"s{t}") for t in range(len(targets))]
-                       ).collect()[0]
+    binned.count()  # materialise before the projected rows are released
     base.unpersist()
     scales = [max(float(stats[f"s{t}"] or 1.0), 1e-9) * 1e-6 for t in range(len(targets))]
     return binned, cuts, int(stats["n"]), scales
