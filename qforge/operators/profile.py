@@ -196,14 +196,22 @@ def _corr_columns(df: DataFrame, cols) -> list[str]:
     return col_list
 
 
-def correlation_pairs(df: DataFrame, cols=None, full: bool = False) -> DataFrame:
-    """Pearson correlations of all column pairs in ONE aggregation.
+# above this many columns the pair aggregates are built as moment matrices
+WIDE_CORRELATION = 40
+
+
+def correlation_pairs(df: DataFrame, cols=None, full: bool = False, method: str = "auto") -> DataFrame:
+    """Pearson correlations of all column pairs, pairwise-complete.
 
     Output is long: (column_1, column_2, correlation); the upper triangle in
     column order, or with ``full`` every ordered pair incl. the diagonal.
-    Above ~60 columns the c*(c-1)/2 aggregates get wide; batch callers.
+    Up to ``WIDE_CORRELATION`` columns it is ONE aggregation of
+    covar/stddev per pair; wider tables use ``correlation_moments`` (one
+    c x c moment matrix per task, summed by a shuffle of c^2 cells).
     """
     col_list = _corr_columns(df, cols)
+    if method == "moments" or (method == "auto" and len(col_list) > WIDE_CORRELATION):
+        return correlation_moments(df, col_list, full)
     types = {f.name: f.dataType for f in df.schema.fields}
     vals = {c: _value(c, types[c]).cast("double") for c in col_list}
     pairs = [(a, b) for i, a in enumerate(col_list) for b in col_list[i + 1:]]
@@ -218,6 +226,61 @@ def correlation_pairs(df: DataFrame, cols=None, full: bool = False) -> DataFrame
     return wide.select(stacked.alias("p")).select("p.*")
 
 
+_MOMENTS_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def correlation_moments(df: DataFrame, col_list: list[str], full: bool = False) -> DataFrame:
+    """Pairwise-complete Pearson for wide tables.
+
+    Each task turns its rows into a value matrix X (NULL/NaN -> 0) and a
+    mask M, and accumulates, for every column pair, the count M'M, the sums
+    (X'M, M'X), the squares and the cross products X'X over the rows where
+    both values exist; one ``groupBy(i, j).sum`` adds the tasks' matrices.
+    The driver only sees c^2 rows.  Sums are taken around a per-column
+    shift (the column mean) to keep the cancellation error small.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    c = len(col_list)
+    vals = df.select(*[nan_to_null(F.col(x).cast("double")).alias(f"_c{k}") for k, x in enumerate(col_list)])
+    means = vals.agg(*[F.avg(f"_c{k}").alias(f"m{k}") for k in range(c)]).collect()[0]
+    shift = np.array([means[f"m{k}"] or 0.0 for k in range(c)])
+
+    def fn(it):
+        acc = None
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            X = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(c)], axis=1)
+            M = ~np.isnan(X)
+            X = np.where(M, X - shift, 0.0)
+            Mf = M.astype(np.float64)
+            part = (Mf.T @ Mf, X.T @ Mf, Mf.T @ X, (X * X).T @ Mf, Mf.T @ (X * X), X.T @ X)
+            acc = part if acc is None else tuple(a + p for a, p in zip(acc, part))
+        if acc is not None:
+            ii, jj = np.meshgrid(np.arange(c), np.arange(c), indexing="ij")
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array(ii.ravel().astype(np.int32)), "j": pa.array(jj.ravel().astype(np.int32)),
+                "n": acc[0].ravel(), "sx": acc[1].ravel(), "sy": acc[2].ravel(), "sxx": acc[3].ravel(),
+                "syy": acc[4].ravel(), "sxy": acc[5].ravel()})
+
+    sums = (vals.mapInArrow(fn, _MOMENTS_SCHEMA).groupBy("i", "j")
+            .agg(*[F.sum(x).alias(x) for x in ["n", "sx", "sy", "sxx", "syy", "sxy"]]))
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    corr = F.when(n > 1, F.try_divide(cov, F.sqrt(vx * vy)))
+    keep = (F.col("i") < F.col("j")) if not full else F.lit(True)
+    names = F.array(*[F.lit(x) for x in col_list])
+    return (sums.filter(keep)
+            .select(F.element_at(names, F.col("i") + 1).alias("column_1"),
+                    F.element_at(names, F.col("j") + 1).alias("column_2"),
+                    F.when((vx > 0) & (vy > 0), corr).alias("correlation")))
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     """A10: count, mean, std, min, 25%, 50%, 75%, max with exact quartiles."""
     st = column_statistics(df, [col]).collect()[0]

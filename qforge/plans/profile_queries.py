@@ -280,3 +280,16 @@ UNION ALL SELECT 'max', mx FROM s
 """)
 def describe(spark, sf):
     return P.describe(load(spark, sf, "orders"), "o_totalprice")
+
+
+_WIDE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax"]
+
+
+@query("correlation_wide", oracle="\nUNION ALL\n".join(
+    f"SELECT '{a}' AS column_1, '{b}' AS column_2, round(corr({a}, {b}), 4) AS correlation FROM lineitem"
+    for i, a in enumerate(_WIDE_COLS) for b in _WIDE_COLS[i + 1:]))
+def correlation_wide(spark, sf):
+    """A8/A9 through the wide-table path (per-task moment matrices)."""
+    out = P.correlation_pairs(load(spark, sf, "lineitem"), _WIDE_COLS, method="moments")
+    return out.withColumn("correlation", F.round("correlation", 4))

@@ -74,3 +74,18 @@ def test_boolean_and_ratio(spark):
     assert (r.true_count, r.false_count, r.null_count) == (2, 1, 1)
     ratio = P.distinct_ratio(df).collect()[0].unique_ratio
     assert ratio == pytest.approx(0.5)
+
+
+def test_correlation_moments_match_aggregate(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        a = rnd.gauss(0, 1)
+        rows.append((a, 2 * a + rnd.gauss(0, 0.5) if i % 7 else None, rnd.gauss(10, 3), float(i % 5)))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    agg = {(r.column_1, r.column_2): r.correlation for r in P.correlation_pairs(df, method="aggregate").collect()}
+    mom = {(r.column_1, r.column_2): r.correlation for r in P.correlation_pairs(df, method="moments").collect()}
+    assert agg.keys() == mom.keys()
+    for k in agg:
+        assert mom[k] == pytest.approx(agg[k], abs=1e-9)
