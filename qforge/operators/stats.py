@@ -85,34 +85,44 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         v = F.col(f"_q{key[0]}")
         return (v >= F.lit(lo)) & (v <= F.lit(hi))
 
-    for _ in range(MAX_REFINE):
+    # Every bracket is verified by exact counts before it is used; a refined
+    # bracket that misses one of the two ranks falls back to the last
+    # verified one (the full [min, max] range is always valid).
+    valid: dict[tuple[int, int], tuple[float, float, int]] = {}
+    frozen: set = set()
+    for it in range(MAX_REFINE + 1):
         row = data.agg(*[x for key, (lo, hi) in brackets.items() for x in (
             F.count_if(F.col(f"_q{key[0]}") < F.lit(lo)).alias(f"b{key[0]}_{key[1]}"),
             F.count_if(inside(key, lo, hi)).alias(f"c{key[0]}_{key[1]}"))]).collect()[0]
-        below = {key: row[f"b{key[0]}_{key[1]}"] for key in brackets}
-        count = {key: row[f"c{key[0]}_{key[1]}"] for key in brackets}
-        refine = {}
-        for key, (lo, hi) in brackets.items():
+        refine, unchecked = {}, False
+        for key, (lo, hi) in list(brackets.items()):
             k_lo, k_hi, _ = ranks[key]
-            i = key[0]
-            if not (below[key] <= k_lo and k_hi < below[key] + count[key]):
-                # the sketch missed (should not happen): fall back to the full range
+            b, cnt = row[f"b{key[0]}_{key[1]}"], row[f"c{key[0]}_{key[1]}"]
+            if b <= k_lo and k_hi < b + cnt:
+                valid[key] = (lo, hi, b)
+                if cnt > max_bracket and key not in frozen and it < MAX_REFINE:
+                    p_lo = (k_lo - b) / max(cnt - 1, 1)
+                    p_hi = (k_hi - b) / max(cnt - 1, 1)
+                    refine[key] = (max(0.0, p_lo - eps), min(1.0, p_hi + eps))
+            elif key in valid:
+                brackets[key] = valid[key][:2]
+                frozen.add(key)
+            else:
+                i = key[0]
                 brackets[key] = (first[f"mn{i}"], first[f"mx{i}"])
-                refine[key] = None
-            elif count[key] > max_bracket:
-                local = (k_lo - below[key]) / max(count[key] - 1, 1)
-                refine[key] = (max(0.0, local - eps), min(1.0, local + eps))
-        if not refine:
+                unchecked = True
+        if not refine and not unchecked:
             break
-        todo = {k: v for k, v in refine.items() if v is not None}
-        if todo:
+        if refine:
             sk = data.agg(*[F.percentile_approx(F.when(inside(key, *brackets[key]), F.col(f"_q{key[0]}")),
                                                 list(pp), accuracy).alias(f"s{key[0]}_{key[1]}")
-                            for key, pp in todo.items()]).collect()[0]
-            for key, (plo, phi) in todo.items():
+                            for key, pp in refine.items()]).collect()[0]
+            for key, (plo, phi) in refine.items():
                 vals = sk[f"s{key[0]}_{key[1]}"]
                 lo, hi = brackets[key]
                 brackets[key] = (lo if plo <= 0.0 else vals[0], hi if phi >= 1.0 else vals[1])
+    brackets = {key: v[:2] for key, v in valid.items()}
+    below = {key: v[2] for key, v in valid.items()}
 
     conds = {key: inside(key, lo, hi) for key, (lo, hi) in brackets.items()}
     cells = F.array(*[F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
