@@ -129,3 +129,22 @@ def test_weight_two_equals_duplicate(spark):
     pa_ = a.model_set.predict(grid, "long").orderBy("x").toPandas().prediction.to_numpy()
     pb_ = b.model_set.predict(grid, "long").orderBy("x").toPandas().prediction.to_numpy()
     assert np.allclose(pa_, pb_)
+
+
+@pytest.mark.parametrize("q", [0.1, 0.5, 0.9])
+def test_leaf_quantile_close_to_exact_weighted_quantile(q):
+    rng = np.random.default_rng(11)
+    r = rng.normal(1000.0, 250.0, 20000)
+    w = rng.uniform(0.5, 2.0, r.size)
+    b = TR.residual_bucket(r, 1e-3)
+    order = np.argsort(b, kind="stable")
+    # one bucket summary per distinct bucket, as the leaf pass emits them
+    ub, starts = np.unique(b[order], return_index=True)
+    sw = np.add.reduceat(w[order], starts)
+    mn = np.minimum.reduceat(r[order], starts)
+    mx = np.maximum.reduceat(r[order], starts)
+    got = TR.leaf_quantiles({0: (ub, sw, mn, mx, sw)}, q)[0]
+    srt = np.argsort(r)
+    cw = np.cumsum(w[srt])
+    exact = r[srt][np.searchsorted(cw, q * cw[-1])]
+    assert abs(got - exact) < 0.002 * abs(exact)
