@@ -49,6 +49,8 @@ from .trees import (RES_BUCKETS, Tree, best_split, child_bounds, leaf_quantiles,
 # per-task dense histogram budget (bytes) and cells collected per pass
 TASK_HIST_BYTES = 256 << 20
 DRIVER_CELLS = 20_000_000
+# partial histograms (tasks x cells) summed on the driver instead of a shuffle
+DRIVER_PARTIAL_CELLS = 1_000_000
 # parent histograms kept on the driver for sibling subtraction (cells)
 SUBTRACT_CELLS = 8_000_000
 HIST_SCHEMA = "kind int, cell long, a double, b double, c double"
@@ -210,6 +212,11 @@ class Grower:
         self.jobs = 0
 
     # ------------------------------------------------------------------ passes
+    def _partitions(self, frame: DataFrame) -> int:
+        if not hasattr(self, "_nparts"):
+            self._nparts = frame.rdd.getNumPartitions()
+        return self._nparts
+
     def _base_cols(self, models: list[ModelState]) -> list[str]:
         rk = ["_rk"] if any(st.spec.params.subsample < 1.0 for st in models) else []
         return rk + ["_fold", "_w"] + [f"_y{t}" for t in range(self.T)] + ["_bins"]
@@ -309,9 +316,15 @@ class Grower:
                                     a=np.concatenate(a_), b=np.concatenate(b_), c=np.concatenate(c_))
 
         needed = self._base_cols(chunk) + ["_pred"]
-        res = (frame.select(*needed).mapInArrow(fn, HIST_SCHEMA).groupBy("kind", "cell")
-               .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
-               .toPandas())
+        partials = frame.select(*needed).mapInArrow(fn, HIST_SCHEMA)
+        if self._partitions(frame) * max(off, 1) <= DRIVER_PARTIAL_CELLS:
+            # few tasks x few cells: the partial histograms are smaller than a
+            # shuffle stage's overhead, so they are summed on the driver
+            res = partials.toPandas().groupby(["kind", "cell"], as_index=False)[["a", "b", "c"]].sum()
+        else:
+            res = (partials.groupBy("kind", "cell")
+                   .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
+                   .toPandas())
         self.jobs += 1
         hists, losses = {}, {}
         kinds = res["kind"].to_numpy(np.int64)
