@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import coerce_number, mixed_date, nan_to_null, year_range
+from ..functions.columns import coerce_number, mixed_date, year_range
 from .stats import exact_quantiles
 
 YEAR_RANGE_COLUMNS = ("YearsOfExperience", "YearsAtCompany")

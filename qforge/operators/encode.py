@@ -12,14 +12,14 @@ import datetime as dt
 import json
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import date_epoch_micros, literal_epoch_micros, mixed_date
+from ..functions.columns import date_epoch_micros, literal_epoch_micros
 from . import geo
 
 UNKNOWN_CODE = -1
@@ -380,4 +380,4 @@ def weight_stage(cfg) -> SampleWeighter:
 
 __all__ = ["RankedEncoder", "LocationZoneEncoder", "DateNormalizer", "SampleWeighter",
            "NumericPassthrough", "LabelEncoder", "OneHotEncoder", "build_pipeline", "weight_stage",
-           "recency_weight", "distinct_levels", "PipelineModel"]
+           "recency_weight", "distinct_levels"]

@@ -195,4 +195,4 @@ def tune(df: DataFrame, target: str, features: list[str], quantiles: list[float]
     return trials[best_trial], table, res
 
 
-__all__ = ["fit_models", "tune", "FitResult", "sample_params", "training_frame", "np"]
+__all__ = ["fit_models", "tune", "FitResult", "sample_params", "training_frame"]

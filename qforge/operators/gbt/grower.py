@@ -32,11 +32,9 @@ per-task or driver budgets.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd  # noqa: F401
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -644,4 +642,4 @@ def make_specs(n_targets: int, quantiles: list[float], params_list: list[GrowPar
     return specs
 
 
-__all__ = ["GrowParams", "ModelSpec", "Grower", "make_specs", "replace", "math"]
+__all__ = ["GrowParams", "ModelSpec", "Grower", "make_specs"]

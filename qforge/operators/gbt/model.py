@@ -229,4 +229,4 @@ BINS_SCHEMA = "run_id string, feature int, name string, cuts array<double>, cons
 META_SCHEMA = ("run_id string, model string, target string, quantile double, base_score double, "
                "best_round int, best_score double")
 
-__all__ = ["ModelSet", "QuantileModel", "ModelNotFoundError", "pd"]
+__all__ = ["ModelSet", "QuantileModel", "ModelNotFoundError"]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import EARTH_RADIUS_KM, haversine_km
+from ..functions.columns import haversine_km
 
 # Zone -> metro population (E4) and the default zone.
 METRO_POPULATION = {1: 5_000_000, 2: 2_000_000, 3: 500_000, 4: 100_000}
@@ -168,4 +168,4 @@ def metro_population(zone: Column) -> Column:
 
 
 __all__ = ["vincenty_km", "nearest_zone", "geocode", "location_zones", "attach_zone",
-           "metro_population", "target_points", "maybe_broadcast", "EARTH_RADIUS_KM"]
+           "metro_population", "target_points", "maybe_broadcast"]

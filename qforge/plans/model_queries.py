@@ -14,7 +14,6 @@ from ..functions.columns import pinball
 from ..operators import analysis as V
 from ..operators import score as S
 from ..operators.forecast import QuantileForecaster, best_round
-from ..operators.gbt.grower import GrowParams
 from ..operators.stats import exact_quantiles
 from .registry import load, query
 
@@ -257,7 +256,7 @@ def tune_trials(spark, sf):
     return table
 
 
-__all__ = ["trained", "demo_config", "joined", "GrowParams"]
+__all__ = ["trained", "demo_config", "joined"]
 
 
 @query("available_models")

@@ -12,10 +12,11 @@ from .registry import load, query
 # -- C1: year ranges written like the reference's experience columns -------
 # '11+' for sizes divisible by 3, '5-10' style ranges for remainder 1,
 # plain numbers otherwise, derived from every part row.
-_YEARS_SPARK = (F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit("+")))
-                .when(F.col("p_size") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit("-"),
-                                                         (F.col("p_size") + 5).cast("string")))
-                .otherwise(F.col("p_size").cast("string")))
+def _years_text():
+    size = F.col("p_size")
+    return (F.when(size % 3 == 0, F.concat(size.cast("string"), F.lit("+")))
+            .when(size % 3 == 1, F.concat(size.cast("string"), F.lit("-"), (size + 5).cast("string")))
+            .otherwise(size.cast("string")))
 
 
 @query("clean_year_range", oracle="""
@@ -34,7 +35,7 @@ FROM t
 """)
 def clean_year_range(spark, sf):
     part = load(spark, sf, "part")
-    t = part.select("p_partkey", _YEARS_SPARK.alias("years"))
+    t = part.select("p_partkey", _years_text().alias("years"))
     return t.select("p_partkey", "years", year_range(F.col("years")).alias("years_value"))
 
 

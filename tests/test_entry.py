@@ -14,3 +14,15 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) >= {"target", "quantile", "pinball_loss"}
+
+
+def test_contract_imports_without_spark():
+    """queries()/oracle_sql() must not need a running SparkContext."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "assert E.queries() and E.oracle_sql(); "
+            "from pyspark import SparkContext; assert SparkContext._active_spark_context is None") % repo
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
