@@ -56,12 +56,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     lo_p = [max(0.0, p - eps) for p in probs]
     hi_p = [min(1.0, p + eps) for p in probs]
     sketch_p = sorted(set(lo_p + hi_p))
-    aggs = []
-    for i in range(len(cols)):
-        c = F.col(f"_q{i}")
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}"),
-                 F.percentile_approx(c, sketch_p, accuracy).alias(f"pa{i}")]
-    first = data.agg(*aggs).collect()[0]
+    first = data.agg(*[x for i in range(len(cols)) for x in (
+        F.count(f"_q{i}").alias(f"n{i}"), F.min(f"_q{i}").alias(f"mn{i}"),
+        F.max(f"_q{i}").alias(f"mx{i}"))]).collect()[0]
+    # columns with at most ``max_bracket`` values are resolved exactly at once;
+    # only larger ones need the sketch to find a bracket
+    big = [i for i in range(len(cols)) if (first[f"n{i}"] or 0) > max_bracket]
+    sketch = data.agg(*[F.percentile_approx(f"_q{i}", sketch_p, accuracy).alias(f"pa{i}")
+                        for i in big]).collect()[0] if big else {}
 
     brackets: dict[tuple[int, int], tuple[float, float]] = {}
     ranks: dict[tuple[int, int], tuple[int, int, float]] = {}
@@ -69,10 +71,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         n = first[f"n{i}"]
         if not n:
             continue
-        approx = dict(zip(sketch_p, first[f"pa{i}"]))
+        approx = dict(zip(sketch_p, sketch[f"pa{i}"])) if i in big else {}
         for j, p in enumerate(probs):
-            lo = first[f"mn{i}"] if lo_p[j] <= 0.0 else approx[lo_p[j]]
-            hi = first[f"mx{i}"] if hi_p[j] >= 1.0 else approx[hi_p[j]]
+            lo = first[f"mn{i}"] if (lo_p[j] <= 0.0 or i not in big) else approx[lo_p[j]]
+            hi = first[f"mx{i}"] if (hi_p[j] >= 1.0 or i not in big) else approx[hi_p[j]]
             brackets[(i, j)] = (lo, hi)
             pos = p * (n - 1)
             k = math.floor(pos)
@@ -90,12 +92,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     # verified one (the full [min, max] range is always valid).
     valid: dict[tuple[int, int], tuple[float, float, int]] = {}
     frozen: set = set()
-    for it in range(MAX_REFINE + 1):
-        row = data.agg(*[x for key, (lo, hi) in brackets.items() for x in (
+    for key in list(brackets):
+        if key[0] not in big:  # full range of a small column: nothing below, all inside
+            valid[key] = (brackets[key][0], brackets[key][1], 0)
+    pending = {k: v for k, v in brackets.items() if k not in valid}
+    for it in range(MAX_REFINE + 1 if pending else 0):
+        row = data.agg(*[x for key, (lo, hi) in pending.items() for x in (
             F.count_if(F.col(f"_q{key[0]}") < F.lit(lo)).alias(f"b{key[0]}_{key[1]}"),
             F.count_if(inside(key, lo, hi)).alias(f"c{key[0]}_{key[1]}"))]).collect()[0]
         refine, unchecked = {}, False
-        for key, (lo, hi) in list(brackets.items()):
+        for key, (lo, hi) in list(pending.items()):
             k_lo, k_hi, _ = ranks[key]
             b, cnt = row[f"b{key[0]}_{key[1]}"], row[f"c{key[0]}_{key[1]}"]
             if b <= k_lo and k_hi < b + cnt:
@@ -105,22 +111,22 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     p_hi = (k_hi - b) / max(cnt - 1, 1)
                     refine[key] = (max(0.0, p_lo - eps), min(1.0, p_hi + eps))
             elif key in valid:
-                brackets[key] = valid[key][:2]
+                pending[key] = valid[key][:2]
                 frozen.add(key)
             else:
                 i = key[0]
-                brackets[key] = (first[f"mn{i}"], first[f"mx{i}"])
+                pending[key] = (first[f"mn{i}"], first[f"mx{i}"])
                 unchecked = True
         if not refine and not unchecked:
             break
         if refine:
-            sk = data.agg(*[F.percentile_approx(F.when(inside(key, *brackets[key]), F.col(f"_q{key[0]}")),
+            sk = data.agg(*[F.percentile_approx(F.when(inside(key, *pending[key]), F.col(f"_q{key[0]}")),
                                                 list(pp), accuracy).alias(f"s{key[0]}_{key[1]}")
                             for key, pp in refine.items()]).collect()[0]
             for key, (plo, phi) in refine.items():
                 vals = sk[f"s{key[0]}_{key[1]}"]
-                lo, hi = brackets[key]
-                brackets[key] = (lo if plo <= 0.0 else vals[0], hi if phi >= 1.0 else vals[1])
+                lo, hi = pending[key]
+                pending[key] = (lo if plo <= 0.0 else vals[0], hi if phi >= 1.0 else vals[1])
     brackets = {key: v[:2] for key, v in valid.items()}
     below = {key: v[2] for key, v in valid.items()}
 
