@@ -164,3 +164,32 @@ def _nth(vals: list[tuple[float, int]], idx: int):
         if idx < seen:
             return v
     return None
+
+
+def global_row_number(df: DataFrame, order_cols: list[str], out: str = "code",
+                      partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in ``ORDER BY order_cols`` without a
+    single-task window.
+
+    Rows are range-partitioned on the order and sorted within partitions;
+    each row's position is its rank inside its partition plus the number of
+    rows in all earlier partitions (a table of one count per partition,
+    collected to the driver and added back as a map literal).  Ties are
+    broken by the full order, so ``order_cols`` should make rows unique.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("__pid", F.spark_partition_id()))
+    ranged = ranged.persist()
+    counts = {r["__pid"]: r["n"] for r in ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, acc = {}, 0
+    for pid in sorted(counts):
+        offsets[pid] = acc
+        acc += counts[pid]
+    offset = (F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])[F.col("__pid")]
+              if offsets else F.lit(0))
+    w = Window.partitionBy("__pid").orderBy(*order_cols)
+    return (ranged.withColumn(out, (F.row_number().over(w) - 1 + offset).cast("int")).drop("__pid"))

@@ -24,3 +24,14 @@ def test_exact_quantiles_nulls_and_empty(spark):
     assert exact_quantiles(df, ["x"], [0.5])["x"] == [2.0]
     empty = spark.createDataFrame([], "x double")
     assert exact_quantiles(empty, ["x"], [0.5])["x"] == [None]
+
+
+def test_global_row_number_matches_sort(spark):
+    from qforge.operators.stats import global_row_number
+    rows = [(i % 17, f"v{i:04d}") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(6)
+    out = global_row_number(df, ["k", "v"], "code", partitions=5).toPandas()
+    expect = sorted(rows)
+    got = out.sort_values("code")[["k", "v"]].itertuples(index=False)
+    assert [tuple(r) for r in got] == expect
+    assert sorted(out.code) == list(range(500))
