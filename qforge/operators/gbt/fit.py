@@ -113,6 +113,7 @@ def fit_models(df: DataFrame, targets: list[str], features: list[str], quantiles
                     specs, scales, seed=seed,
                     early_stopping_rounds=early_stopping_rounds if nfold and nfold > 1 else None,
                     checkpoint_interval=checkpoint_interval, callback=callback)
+    grower.rows_per_task = -(-n // max(1, frame.rdd.getNumPartitions()))
     grower.fit(num_boost_round)
     frame.unpersist()
     ms = ModelSet(list(features), cuts, list(constraints or []) + [0] * (len(features) - len(constraints or [])))

@@ -44,7 +44,9 @@ from ...session import ensure_checkpoint_dir
 from .trees import (RES_BUCKETS, Tree, best_split, child_bounds, leaf_quantiles,
                     project_monotone, residual_bucket, route, uniform01)
 
-# per-task dense histogram budget (bytes) and cells collected per pass
+# per-task dense histogram budget (bytes) and cells collected per pass;
+# above DENSE_CELLS per model a level pass accumulates only touched cells
+DENSE_CELLS = 1_000_000
 TASK_HIST_BYTES = 256 << 20
 DRIVER_CELLS = 20_000_000
 # partial histograms (tasks x cells) summed on the driver instead of a shuffle
@@ -123,10 +125,24 @@ def _reduce_cells(cell, sw, mn, mx, swr):
             np.maximum.reduceat(mx[order], starts), np.add.reduceat(swr[order], starts))
 
 
-def _split_models(models: list[ModelState], n_features: int, n_bins: int, slots: int) -> list[list[ModelState]]:
-    per_model = max(1, slots) * n_features * n_bins
+def _sum_cells(parts):
+    u = np.concatenate([p[0] for p in parts])
+    uu, inv = np.unique(u, return_inverse=True)
+    return (uu,) + tuple(np.bincount(inv, np.concatenate([p[i] for p in parts]), len(uu)) for i in (1, 2, 3))
+
+
+def _split_models(models: list[ModelState], n_features: int, n_bins: int, slots: int,
+                  rows_per_task: int | None = None) -> list[list[ModelState]]:
+    """Chunks of models whose histograms fit the per-task and driver budgets.
+
+    Dense histograms cost nodes x features x bins per model; past
+    ``DENSE_CELLS`` the pass keeps only touched cells, at most rows x
+    features per task."""
+    dense = max(1, slots) * n_features * n_bins
+    per_model = dense if (dense <= DENSE_CELLS or not rows_per_task) else \
+        min(dense, max(1, rows_per_task) * n_features)
     per_task = max(1, TASK_HIST_BYTES // (per_model * 3 * 8))
-    per_driver = max(1, DRIVER_CELLS // per_model)
+    per_driver = max(1, DRIVER_CELLS // dense)
     k = max(1, min(per_task, per_driver))
     return [models[i:i + k] for i in range(0, len(models), k)]
 
@@ -208,6 +224,7 @@ class Grower:
         self.callback = callback or (lambda msg, data=None: None)
         self.groups: dict[int, GroupResult] = {}
         self.jobs = 0
+        self.rows_per_task = None  # set by the caller when known (sparse chunk sizing)
 
     # ------------------------------------------------------------------ passes
     def _partitions(self, frame: DataFrame) -> int:
@@ -251,6 +268,7 @@ class Grower:
 
         def fn(it):
             acc = [None] * len(plan)
+            sparse: dict[int, list] = {}
             loss = np.zeros((len(plan), 2, 3))
             for batch in it:
                 n = batch.num_rows
@@ -283,15 +301,25 @@ class Grower:
                     base = (s[mask] * F_)[:, None] + np.arange(F_)[None, :]
                     keys = (base * B1 + bins[mask]).ravel()
                     size = nslots * F_ * B1
-                    G = np.bincount(keys, np.repeat(g, F_), size)
-                    H = np.bincount(keys, np.repeat(h, F_), size)
-                    N = np.bincount(keys, None, size).astype(np.float64)
-                    if acc[k] is None:
-                        acc[k] = [G, H, N]
+                    if size <= DENSE_CELLS:
+                        G = np.bincount(keys, np.repeat(g, F_), size)
+                        H = np.bincount(keys, np.repeat(h, F_), size)
+                        N = np.bincount(keys, None, size).astype(np.float64)
+                        if acc[k] is None:
+                            acc[k] = [G, H, N]
+                        else:
+                            acc[k][0] += G
+                            acc[k][1] += H
+                            acc[k][2] += N
                     else:
-                        acc[k][0] += G
-                        acc[k][1] += H
-                        acc[k][2] += N
+                        # deep levels: only the cells this batch touches (memory
+                        # bounded by rows x features, not nodes x features x bins)
+                        u, inv = np.unique(keys, return_inverse=True)
+                        part = (u, np.bincount(inv, np.repeat(g, F_)), np.bincount(inv, np.repeat(h, F_)),
+                                np.bincount(inv).astype(np.float64))
+                        sparse.setdefault(k, []).append(part)
+                        if sum(len(x[0]) for x in sparse[k]) > 4 * DENSE_CELLS:
+                            sparse[k] = [_sum_cells(sparse[k])]
             kinds, cells, a_, b_, c_ = [], [], [], [], []
             for k, a in enumerate(acc):
                 if a is not None:
@@ -301,6 +329,13 @@ class Grower:
                     a_.append(a[0][nz])
                     b_.append(a[1][nz])
                     c_.append(a[2][nz])
+            for k, parts in sparse.items():
+                u, G, H, N = _sum_cells(parts)
+                kinds.append(np.full(len(u), KIND_HIST, np.int32))
+                cells.append(u + offsets[k])
+                a_.append(G)
+                b_.append(H)
+                c_.append(N)
             if with_loss:
                 for k in range(len(plan)):
                     for j, kind in ((0, KIND_VALID), (1, KIND_TRAIN)):
@@ -433,7 +468,7 @@ class Grower:
             with_loss = depth == 0  # every active model still has its root here
             build, derive = self._plan_subtraction(growing, trees, depth, parent_hist)
             level_hist: dict[int, dict[int, np.ndarray]] = {}
-            for chunk in _split_models(growing, self.F, self.B1, 2 ** depth):
+            for chunk in _split_models(growing, self.F, self.B1, 2 ** depth, self.rows_per_task):
                 hists, ls = self._level_pass(frame, chunk, depth, rnd, with_loss,
                                              {st.spec.model_id: trees[st.spec.model_id] for st in chunk},
                                              build)
