@@ -142,6 +142,17 @@ def list_models(runs: DataFrame, tags: DataFrame, metrics: DataFrame, status: st
     return r.join(wide, "run_id", "left").orderBy(F.desc("start_time"), F.asc("run_id"))
 
 
+def read_run_records(spark: SparkSession, path: str, schema: str = RUNS_SCHEMA) -> DataFrame:
+    """M9 tolerant path: JSON-lines run records; corrupt lines and records
+    without a run id are skipped instead of failing the listing."""
+    from pyspark.sql import types as T
+    base = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    with_bad = T.StructType(list(base.fields) + [T.StructField("_corrupt_record", T.StringType())])
+    df = (spark.read.schema(with_bad).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    return df.filter(F.col("_corrupt_record").isNull() & F.col("run_id").isNotNull()).drop("_corrupt_record")
+
+
 @dataclass
 class Page:
     rows: DataFrame

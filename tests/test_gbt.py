@@ -148,3 +148,16 @@ def test_leaf_quantile_close_to_exact_weighted_quantile(q):
     cw = np.cumsum(w[srt])
     exact = r[srt][np.searchsorted(cw, q * cw[-1])]
     assert abs(got - exact) < 0.002 * abs(exact)
+
+
+def test_sparse_histograms_equal_dense(spark, monkeypatch):
+    from qforge.operators.gbt import grower as G
+    df = _step_frame(spark, 800)
+    kw = dict(quantiles=[0.5], constraints=[1, 0], params=GrowParams(max_depth=4), nfold=1,
+              num_boost_round=3, early_stopping_rounds=None, key_cols=["id"], max_bin=16)
+    a = fit_models(df, ["y"], ["x", "z"], **kw)
+    monkeypatch.setattr(G, "DENSE_CELLS", 8)
+    b = fit_models(df, ["y"], ["x", "z"], **kw)
+    pa_ = a.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
+    pb_ = b.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
+    assert np.allclose(pa_, pb_)

@@ -101,3 +101,13 @@ def test_repair_json_frame_matches_column(spark):
     a = df.select(H.repair_json(F.col("s")).alias("r")).select("r.strategy", "r.json").collect()
     b = H.repair_json_frame(df, "s", "r").select("r.strategy", "r.json").collect()
     assert a == b and [x.strategy for x in a] == [1, 1, 2, 6, None]
+
+
+def test_read_run_records_skips_corrupt(spark, tmp_path):
+    p = tmp_path / "runs.json"
+    p.write_text('{"run_id": "a", "start_time": "2024-01-02T00:00:00", "status": "FINISHED", "experiment": "e"}\n'
+                 'not json at all\n'
+                 '{"start_time": "2024-01-03T00:00:00", "status": "FINISHED"}\n'
+                 '{"run_id": "b", "start_time": "2024-01-04T00:00:00", "status": "FAILED", "experiment": "e"}\n')
+    df = M.read_run_records(spark, str(p))
+    assert sorted(r.run_id for r in df.collect()) == ["a", "b"]
