@@ -161,3 +161,14 @@ def test_sparse_histograms_equal_dense(spark, monkeypatch):
     pa_ = a.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
     pb_ = b.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
     assert np.allclose(pa_, pb_)
+
+
+def test_checkpointed_rounds_match(spark):
+    df = _step_frame(spark, 600)
+    kw = dict(quantiles=[0.5], constraints=[0, 0], params=GrowParams(max_depth=2), nfold=1,
+              num_boost_round=5, early_stopping_rounds=None, key_cols=["id"], max_bin=16)
+    a = fit_models(df, ["y"], ["x", "z"], checkpoint_interval=0, **kw)
+    b = fit_models(df, ["y"], ["x", "z"], checkpoint_interval=2, **kw)
+    pa_ = a.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
+    pb_ = b.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
+    assert np.allclose(pa_, pb_)
