@@ -30,7 +30,10 @@ from ..functions.columns import nan_to_null
 DEFAULT_ACCURACY = 10_000
 # a bracket is resolved exactly once it holds at most this many rows;
 # larger ones are narrowed by another sketch pass over the bracket only
-MAX_BRACKET_ROWS = 1_000_000
+MAX_BRACKET_ROWS = 100_000
+# columns with at most this many values skip the sketch: their values are
+# counted and walked directly
+DIRECT_MAX_ROWS = 50_000
 MAX_REFINE = 6
 # the bracket is widened by this many sketch error units on each side
 _MARGIN = 3.0
@@ -59,9 +62,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     first = data.agg(*[x for i in range(len(cols)) for x in (
         F.count(f"_q{i}").alias(f"n{i}"), F.min(f"_q{i}").alias(f"mn{i}"),
         F.max(f"_q{i}").alias(f"mx{i}"))]).collect()[0]
-    # columns with at most ``max_bracket`` values are resolved exactly at once;
-    # only larger ones need the sketch to find a bracket
-    big = [i for i in range(len(cols)) if (first[f"n{i}"] or 0) > max_bracket]
+    # small columns are resolved exactly at once; larger ones need the
+    # sketch to find a bracket
+    big = [i for i in range(len(cols)) if (first[f"n{i}"] or 0) > min(max_bracket, DIRECT_MAX_ROWS)]
     sketch = data.agg(*[F.percentile_approx(f"_q{i}", sketch_p, accuracy).alias(f"pa{i}")
                         for i in big]).collect()[0] if big else {}
 
