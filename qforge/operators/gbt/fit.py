@@ -35,7 +35,7 @@ class FitResult:
 
 def training_frame(df: DataFrame, targets: list[str], features: list[str], weight_col: str | None,
                    key_cols: list[str] | None, nfold: int, seed: int, max_bin: int,
-                   partitions: int | None = None):
+                   partitions: int | None = None, keep_source: bool = False):
     """Project, key, fold and bin the rows; returns (frame, cuts, n, scales)."""
     spark = df.sparkSession
     string_feats = [f for f in features if df.schema[f].dataType.typeName() == "string"]
@@ -69,9 +69,12 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     n_part = partitions or spark.sparkContext.defaultParallelism
     binned = binned.repartition(n_part, "_rk")
     binned = binned.persist(StorageLevel.MEMORY_AND_DISK)
-    binned.count()  # materialise before the projected rows are released
-    base.unpersist()
     scales = [max(float(stats[f"s{t}"] or 1.0), 1e-9) * 1e-6 for t in range(len(targets))]
+    if keep_source:
+        # the caller's first pass materialises ``binned``; it then drops ``base``
+        return binned, cuts, int(stats["n"]), scales, base
+    binned.count()
+    base.unpersist()
     return binned, cuts, int(stats["n"]), scales
 
 
@@ -106,14 +109,15 @@ def fit_models(df: DataFrame, targets: list[str], features: list[str], quantiles
     for p in params_list:
         if p.max_depth < 1:
             raise ValueError("max_depth must be >= 1")
-    frame, cuts, n, scales = training_frame(df, targets, features, weight_col, key_cols, nfold, seed,
-                                            max_bin, partitions)
+    frame, cuts, n, scales, source = training_frame(df, targets, features, weight_col, key_cols, nfold,
+                                                    seed, max_bin, partitions, keep_source=True)
     specs = make_specs(len(targets), quantiles, params_list, nfold, num_boost_round, with_final)
     grower = Grower(frame, len(features), n_bins(cuts), len(targets), constraints or [],
                     specs, scales, seed=seed,
                     early_stopping_rounds=early_stopping_rounds if nfold and nfold > 1 else None,
                     checkpoint_interval=checkpoint_interval, callback=callback)
     grower.rows_per_task = -(-n // max(1, frame.rdd.getNumPartitions()))
+    grower.on_materialised = source.unpersist
     grower.fit(num_boost_round)
     frame.unpersist()
     ms = ModelSet(list(features), cuts, list(constraints or []) + [0] * (len(features) - len(constraints or [])))

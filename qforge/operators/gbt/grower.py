@@ -590,7 +590,9 @@ class Grower:
 
     def fit(self, max_rounds: int):
         ensure_checkpoint_dir(self.spark)
-        self._base_scores(self.frame)
+        self._base_scores(self.frame)  # also the pass that materialises the persisted frame
+        if getattr(self, "on_materialised", None):
+            self.on_materialised()
         base = [st.base_score for st in self.models]
         frame = self.frame.withColumn(
             "_pred", F.lit(bytearray(np.asarray(base, np.float64).tobytes())).cast("binary"))
