@@ -170,29 +170,43 @@ def _nth(vals: list[tuple[float, int]], idx: int):
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "code",
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, sample_per_bucket: int = 64) -> DataFrame:
     """0-based position of every row in ``ORDER BY order_cols`` without a
     single-task window.
 
-    Rows are range-partitioned on the order and sorted within partitions;
-    each row's position is its rank inside its partition plus the number of
-    rows in all earlier partitions (a table of one count per partition,
-    collected to the driver and added back as a map literal).  Ties are
+    Bucket boundaries are picked once on the driver from a bounded sample
+    and enter the plan as literals, so a row's bucket is a pure function of
+    its values (recomputing a lost partition lands every row in the same
+    bucket).  The position is the row's rank inside its bucket plus the
+    number of rows in all earlier buckets (one count per bucket).  Ties are
     broken by the full order, so ``order_cols`` should make rows unique.
     """
     from pyspark.sql import Window
 
     spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("__pid", F.spark_partition_id()))
-    ranged = ranged.persist()
-    counts = {r["__pid"]: r["n"] for r in ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_buckets = partitions or spark.sparkContext.defaultParallelism
+    key = F.struct(*[F.col(c) for c in order_cols])
+    total = df.count()
+    bounds = []
+    if total > 0 and n_buckets > 1:
+        want = n_buckets * sample_per_bucket
+        frac = min(1.0, want / total)
+        sample = sorted(tuple(r) for r in df.select(*order_cols).sample(fraction=frac, seed=17)
+                        .limit(want * 2).collect())
+        if sample:
+            step = len(sample) / n_buckets
+            bounds = sorted({sample[int(step * k)] for k in range(1, n_buckets) if int(step * k) < len(sample)})
+    bucket = F.lit(0)
+    for b in bounds:
+        lit_key = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(b, order_cols)])
+        bucket = bucket + (key >= lit_key).cast("int")
+    staged = df.withColumn("__bucket", bucket)
+    counts = {r["__bucket"]: r["n"] for r in staged.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    offset = (F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])[F.col("__pid")]
+    for k in sorted(counts):
+        offsets[k] = acc
+        acc += counts[k]
+    offset = (F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])[F.col("__bucket")]
               if offsets else F.lit(0))
-    w = Window.partitionBy("__pid").orderBy(*order_cols)
-    return (ranged.withColumn(out, (F.row_number().over(w) - 1 + offset).cast("int")).drop("__pid"))
+    w = Window.partitionBy("__bucket").orderBy(*order_cols)
+    return staged.withColumn(out, (F.row_number().over(w) - 1 + offset).cast("int")).drop("__bucket")
