@@ -423,9 +423,16 @@ class Grower:
                 yield _record_batch(cell=c.astype(np.int64), sw=sw, mn=mn, mx=mx, swr=swr)
 
         needed = self._base_cols(chunk if rnd >= 0 else []) + (["_pred"] if with_pred else [])
-        res = (frame.select(*needed).mapInArrow(fn, LEAF_SCHEMA).groupBy("cell")
-               .agg(F.sum("sw").alias("sw"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
-                    F.sum("swr").alias("swr")).toPandas())
+        partials = frame.select(*needed).mapInArrow(fn, LEAF_SCHEMA)
+        # each task emits at most min(cells, its rows x models) summaries
+        bound = self._partitions(frame) * min(max(off, 1), (self.rows_per_task or off) * len(plan))
+        if bound <= DRIVER_PARTIAL_CELLS:
+            res = (partials.toPandas().groupby("cell", as_index=False)
+                   .agg(sw=("sw", "sum"), mn=("mn", "min"), mx=("mx", "max"), swr=("swr", "sum")))
+        else:
+            res = (partials.groupBy("cell")
+                   .agg(F.sum("sw").alias("sw"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
+                        F.sum("swr").alias("swr")).toPandas())
         self.jobs += 1
         cells = res["cell"].to_numpy(np.int64)
         vals = res[["sw", "mn", "mx", "swr"]].to_numpy(np.float64).reshape(-1, 4)
