@@ -267,3 +267,23 @@ def available_models(spark, sf):
     _, _, meta = fc.model_set.tables(spark, "demo")
     target, q = S.parse_model_name(F.col("model"))
     return meta.select("model", "target", "quantile", target.alias("name_target"), q.alias("name_quantile"))
+
+
+@query("predict_batch_zone")
+def predict_batch_zone(spark, sf):
+    """J8 + P3: batch results carrying the location zone of every row (the
+    ordering customer's nation, zoned against the nation gazetteer)."""
+    from ..operators import encode as E
+    from .feature_queries import ZONE_MAX_KM, ZONE_TARGETS, _gazetteer
+    fc = trained(spark, sf)
+    schema = S.ModelSchema.from_config(fc.cfg)
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    n = load(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("location"))
+    loc = (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+           .select(F.col("o_orderkey").alias("l_orderkey"), "location"))
+    rows = _dirty(spark, sf).join(loc, "l_orderkey", "left").withColumn("row_id", F.concat_ws("-", *KEY))
+    zoned = E.LocationZoneEncoder.create("location", ZONE_TARGETS, ZONE_MAX_KM, "zone", "_zone",
+                                         "haversine").setGazetteer(_gazetteer(spark, sf)).fit(rows).transform(rows)
+    return S.predict_batch(zoned, schema, lambda d: fc.predict(d, "wide"), "row_id",
+                           zone=F.col("location_zone"))
