@@ -187,8 +187,8 @@ def label_encode(spark, sf):
 # table (a grid around 40N 74W, 0.2 deg x 0.25 deg) and three target cities.
 ZONE_TARGETS = {"NATION_0": 1, "NATION_13": 2, "NATION_21": 3}
 ZONE_MAX_KM = 40.0
-_GAZ_SQL = ("SELECT n_name AS name, 40.0 + (n_nationkey % 5) * 0.2 AS lat, "
-            "-74.0 + floor(n_nationkey / 5) * 0.25 AS lon FROM nation")
+_GAZ_SQL = ("SELECT n_name AS name, CAST(40.0 AS DOUBLE) + (n_nationkey % 5) * CAST(0.2 AS DOUBLE) AS lat, "
+            "CAST(-74.0 AS DOUBLE) + floor(n_nationkey / 5) * CAST(0.25 AS DOUBLE) AS lon FROM nation")
 _LOC_SQL = ("CASE WHEN c_custkey % 10 = 0 THEN 'Atlantis' ELSE n_name END")
 
 

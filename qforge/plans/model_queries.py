@@ -56,14 +56,14 @@ def trained(spark, sf) -> QuantileForecaster:
 @query("pinball_constant", oracle="""
 WITH q AS (SELECT quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.5) AS p50,
                   quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem)
-SELECT 0.1 AS quantile, round(p10, 6) AS prediction,
+SELECT CAST(0.1 AS DOUBLE) AS quantile, round(p10, 6) AS prediction,
        round(avg(greatest(0.1 * (l_extendedprice - p10), (0.1 - 1.0) * (l_extendedprice - p10))), 6) AS pinball_loss
 FROM lineitem, q GROUP BY p10
 UNION ALL
-SELECT 0.5, round(p50, 6), round(avg(greatest(0.5 * (l_extendedprice - p50), (0.5 - 1.0) * (l_extendedprice - p50))), 6)
+SELECT CAST(0.5 AS DOUBLE), round(p50, 6), round(avg(greatest(0.5 * (l_extendedprice - p50), (0.5 - 1.0) * (l_extendedprice - p50))), 6)
 FROM lineitem, q GROUP BY p50
 UNION ALL
-SELECT 0.9, round(p90, 6), round(avg(greatest(0.9 * (l_extendedprice - p90), (0.9 - 1.0) * (l_extendedprice - p90))), 6)
+SELECT CAST(0.9 AS DOUBLE), round(p90, 6), round(avg(greatest(0.9 * (l_extendedprice - p90), (0.9 - 1.0) * (l_extendedprice - p90))), 6)
 FROM lineitem, q GROUP BY p90
 """)
 def pinball_constant(spark, sf):

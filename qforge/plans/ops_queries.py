@@ -102,8 +102,9 @@ def call_cost(spark, sf):
 
 @query("usage_summary", oracle=f"""
 WITH {_CALLS_SQL}
-SELECT model, provider, count(*) AS call_count, sum(total_tokens) AS total_tokens,
-       sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens,
+SELECT model, provider, count(*) AS call_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+       CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
        round(sum(cost), 9) AS total_cost,
        round(coalesce(avg(latency) FILTER (WHERE latency > 0), 0.0), 9) AS avg_latency
 FROM costed GROUP BY model, provider
@@ -233,7 +234,7 @@ js AS (SELECT agg.job_id, latest.status, submitted_at, last_update, events, late
 @query("job_status", oracle=f"""
 WITH {_JOBS_SQL}
 SELECT job_id, status, submitted_at, last_update, events, best_score,
-       CASE status WHEN 'RUNNING' THEN 0.5 WHEN 'COMPLETED' THEN 1.0 ELSE 0.0 END AS progress,
+       CAST(CASE status WHEN 'RUNNING' THEN 0.5 WHEN 'COMPLETED' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS progress,
        CASE WHEN status = 'COMPLETED' THEN '{M.JOB_COMPLETED_TEXT}' END AS result
 FROM js
 """)
