@@ -74,3 +74,20 @@ def test_config_validation():
     again = ForecastConfig.from_dict(cfg.to_dict())
     assert again.mappings["levels"] == cfg.mappings["levels"] and again.ranked_cols == {"Level": "levels"}
     assert ForecastConfig.model_name("BaseSalary", 0.29) == "BaseSalary_p28"
+
+
+def test_assemble_finalize_and_optional_checks():
+    from qforge.config import assemble_config, check_optional_encodings, default_hyperparameters, finalize_config
+    roles = {"targets": ["Salary"], "features": ["Level", "Location", "Years"], "locations": ["Location"]}
+    enc = {"Level": {"type": "ordinal", "mapping": {"L1": 0, "L2": 1}},
+           "Location": {"type": "proximity", "optional": {"type": "cost_of_living"}},
+           "Years": {"type": "numeric"}}
+    cfg = assemble_config(roles, enc, {"quantiles": [0.5]})
+    assert cfg.mappings["level_mapping"] == {"L1": 0, "L2": 1}
+    assert cfg.ranked_cols == {"Level": "level_mapping"} and cfg.proximity_cols == ["Location"]
+    assert cfg.feature_names() == ["Level_Enc", "Location_Enc", "Years"]
+    assert check_optional_encodings(cfg, {"Location": "location"}) == []
+    assert check_optional_encodings(cfg, {"Location": "categorical"})
+    cfg2 = finalize_config(cfg, {"quantiles": [0.1, 0.9], "location_settings": {"max_distance_km": 25}})
+    assert cfg2.quantiles == [0.1, 0.9] and cfg2.max_distance_km == 25
+    assert default_hyperparameters()["training"]["eta"] == 0.1
