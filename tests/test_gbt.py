@@ -172,3 +172,13 @@ def test_checkpointed_rounds_match(spark):
     pa_ = a.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
     pb_ = b.model_set.predict(df, "long", keep=["id"]).orderBy("id").toPandas().prediction
     assert np.allclose(pa_, pb_)
+
+
+def test_degenerate_inputs(spark):
+    rows = [(i, None, float(i % 3), 5.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, empty double, x double, y double")
+    res = fit_models(df, ["y"], ["empty", "x"], [0.2, 0.8], [0, 0], GrowParams(max_depth=3), nfold=2,
+                     num_boost_round=3, early_stopping_rounds=None, key_cols=["id"], max_bin=8)
+    pred = res.model_set.predict(df, "long", keep=["id"]).toPandas()
+    assert np.allclose(pred.prediction, 5.0)
+    assert all(t.n_nodes == 1 for m in res.model_set.models for t in m.trees)
