@@ -73,6 +73,23 @@ def performance_summary(metrics: DataFrame) -> DataFrame:
     return stats.withColumn("preprocessing_total", total)
 
 
+def performance_summary_doc(metrics: DataFrame, calls: DataFrame | None = None) -> dict:
+    """M3 as the nested document of the reference: timing_metrics (M1 of
+    every metric), preprocessing_metrics (the fixed preprocessing names)
+    and llm_metrics (M4 over all calls, or None).  Built from two small
+    aggregations; the document is metadata-sized."""
+    stats = {r["metric"]: {"count": r["count"], "total": r["total"], "mean": r["mean"],
+                           "min": r["min"], "max": r["max"]}
+             for r in metric_stats(metrics).collect()}
+    doc = {"timing_metrics": stats, "llm_metrics": None,
+           "preprocessing_metrics": {k: stats[k] for k in PREPROCESSING_METRICS if k in stats}}
+    if calls is not None:
+        rows = usage_summary(calls, by=[]).collect()
+        if rows and rows[0]["call_count"]:
+            doc["llm_metrics"] = {k: rows[0][k] for k in rows[0].asDict()}
+    return doc
+
+
 # ---- M4-M7, J7 ----------------------------------------------------------------
 def _price(provider: Column, model: Column, idx: int) -> Column:
     keyed = {f"{p}|{m}": v[idx] for p, models in PRICES.items() for m, v in models.items()}

@@ -90,7 +90,7 @@ def export_metrics(spark, sf):
     metrics = load(spark, sf, "events").select(F.col("event_type").alias("metric"), "value")
     path = _scratch(spark, "metrics")
     S.export_metrics_csv(metrics, f"{path}/csv")
-    S.export_metrics_json(M.metric_stats(metrics), f"{path}/json")
+    S.export_metrics_json(M.performance_summary_doc(metrics), f"{path}/json", spark)
     return S.read_table(spark, f"{path}/csv", schema="metric_name string, value double", fmt="csv")
 
 

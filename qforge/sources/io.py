@@ -151,8 +151,17 @@ def export_metrics_csv(metrics: DataFrame, path: str) -> None:
     write_csv(metrics.select(F.col("metric").alias("metric_name"), "value"), path)
 
 
-def export_metrics_json(summary: DataFrame, path: str) -> None:
-    """A summary frame as one nested JSON document per row."""
+def export_metrics_json(summary, path: str, spark: SparkSession | None = None) -> None:
+    """The nested performance summary as JSON text.
+
+    ``summary`` is either a dict document (``runs.performance_summary_doc``,
+    written as one JSON line) or a frame (one JSON document per row)."""
+    import json
+    if isinstance(summary, dict):
+        spark = spark or SparkSession.getActiveSession()
+        doc = json.dumps(summary, indent=None, default=str)
+        spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     (summary.select(F.to_json(F.struct(*summary.columns)).alias("value"))
      .coalesce(1).write.mode("overwrite").text(path))
 

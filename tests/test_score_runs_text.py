@@ -111,3 +111,21 @@ def test_read_run_records_skips_corrupt(spark, tmp_path):
                  '{"run_id": "b", "start_time": "2024-01-04T00:00:00", "status": "FAILED", "experiment": "e"}\n')
     df = M.read_run_records(spark, str(p))
     assert sorted(r.run_id for r in df.collect()) == ["a", "b"]
+
+
+def test_performance_summary_doc(spark, tmp_path):
+    import json
+    from qforge.sources import io as IO
+    metrics = spark.createDataFrame([("preprocessing_data_cleaning_time", 1.0), ("preprocessing_data_cleaning_time", 3.0),
+                                     ("training_time", 10.0)], "metric string, value double")
+    calls = spark.createDataFrame([("gpt-4o", "openai", 100, 50, None, 0.5)],
+                                  "model string, provider string, prompt_tokens long, completion_tokens long, "
+                                  "total_tokens long, latency double")
+    doc = M.performance_summary_doc(metrics, calls)
+    assert doc["timing_metrics"]["training_time"]["count"] == 1
+    assert doc["preprocessing_metrics"]["preprocessing_data_cleaning_time"]["mean"] == 2.0
+    assert doc["llm_metrics"]["total_tokens"] == 150
+    out = str(tmp_path / "summary")
+    IO.export_metrics_json(doc, out, spark)
+    text = spark.read.text(out).collect()[0][0]
+    assert json.loads(text)["preprocessing_metrics"]["preprocessing_data_cleaning_time"]["total"] == 4.0
