@@ -8,9 +8,11 @@ Tables (Parquet, partitioned by ``run_id`` so a load prunes partitions)::
     model_meta(run_id, model, target, quantile, base_score, best_round,
                best_score, constraint_list, features)
 
-Scoring (P1) ships the tree arrays to executors in a broadcast variable
-whose size is checked, and walks them with NumPy inside a scalar Arrow
-UDF that receives only the feature columns.
+Scoring (P1): small model sets are compiled into one Catalyst expression
+(nested ``CASE WHEN`` per tree, summed), so scoring stays in the JVM and
+in whole-stage codegen; larger ones ship the tree arrays to executors in a
+size-checked broadcast and walk them with NumPy inside a scalar Arrow UDF
+that receives only the feature columns.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 from .trees import Tree, route_values
 
 MAX_BROADCAST_BYTES = 512 << 20
+# up to this many split nodes a model set scores as one Catalyst expression
+EXPR_MAX_NODES = 2_000
 
 
 @dataclass
@@ -79,16 +83,57 @@ class ModelSet:
         return sum(t.n_nodes * 64 for m in self.models for t in m.trees) + 1024
 
     # -- scoring (P1) -------------------------------------------------------
-    def predict(self, df: DataFrame, layout: str = "long", keep: list[str] | None = None) -> DataFrame:
+    def n_split_nodes(self) -> int:
+        return sum(sum(1 for x in t.left if x >= 0) for m in self.models for t in m.trees)
+
+    def predict(self, df: DataFrame, layout: str = "long", keep: list[str] | None = None,
+                engine: str = "auto") -> DataFrame:
         """Score every (target, quantile) model on every row.
 
         ``layout="wide"`` appends ``{target}_p{int(q*100)}`` columns;
         ``"long"`` returns ``keep + (target, quantile, prediction)``.
+        ``engine="expr"`` compiles the trees into one Catalyst expression
+        (JVM only, whole-stage codegen); ``"arrow"`` walks them in NumPy in
+        a scalar Arrow UDF; ``"auto"`` uses the expression up to
+        ``EXPR_MAX_NODES`` split nodes.
         """
-        spark = df.sparkSession
         missing = [f for f in self.features if f not in df.columns]
         if missing:
             raise ValueError(f"missing feature columns: {missing}")
+        if engine == "expr" or (engine == "auto" and self.n_split_nodes() <= EXPR_MAX_NODES):
+            return self._predict_expr(df, layout, keep)
+        return self._predict_arrow(df, layout, keep)
+
+    def _tree_expr(self, t: Tree, x: list):
+        def node(i):
+            if t.left[i] < 0:
+                return F.lit(float(t.value[i]))
+            f = t.feature[i]
+            split = float(self.cuts[f][t.split_bin[i] - 1])
+            xv = x[f]
+            go_left = F.when(xv.isNull() | F.isnan(xv), F.lit(bool(t.default_left[i]))).otherwise(xv < F.lit(split))
+            return F.when(go_left, node(t.left[i])).otherwise(node(t.right[i]))
+        return node(0)
+
+    def _predict_expr(self, df: DataFrame, layout: str, keep: list[str] | None) -> DataFrame:
+        keep = list(df.columns) if keep is None else list(keep)
+        x = [F.col(f).try_cast("double") for f in self.features]
+        preds = []
+        for m in self.models:
+            total = F.lit(float(m.base_score))
+            for t in m.trees:
+                total = total + self._tree_expr(t, x)
+            preds.append(total)
+        labels = [_label(m) for m in self.models]
+        if layout == "wide":
+            return df.select(*keep, *[p.alias(lbl) for p, lbl in zip(preds, labels)])
+        cells = F.explode(F.array(*[
+            F.struct(F.lit(m.target).alias("target"), F.lit(m.quantile).alias("quantile"), p.alias("prediction"))
+            for m, p in zip(self.models, preds)]))
+        return df.select(*keep, cells.alias("_c")).select(*keep, "_c.*")
+
+    def _predict_arrow(self, df: DataFrame, layout: str, keep: list[str] | None) -> DataFrame:
+        spark = df.sparkSession
         size = self.nbytes()
         if size > MAX_BROADCAST_BYTES:
             raise ValueError(f"model set of ~{size} bytes exceeds the broadcast bound")

@@ -182,3 +182,13 @@ def test_degenerate_inputs(spark):
     pred = res.model_set.predict(df, "long", keep=["id"]).toPandas()
     assert np.allclose(pred.prediction, 5.0)
     assert all(t.n_nodes == 1 for m in res.model_set.models for t in m.trees)
+
+
+def test_expression_and_arrow_scoring_agree(spark):
+    df = _step_frame(spark, 1000)
+    res = fit_models(df, ["y"], ["x", "z"], [0.25, 0.75], [1, 0], GrowParams(max_depth=3), nfold=1,
+                     num_boost_round=4, early_stopping_rounds=None, key_cols=["id"], max_bin=16)
+    probe = df.withColumn("x", F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("x")))
+    a = res.model_set.predict(probe, "long", keep=["id"], engine="expr").orderBy("id", "quantile").toPandas()
+    b = res.model_set.predict(probe, "long", keep=["id"], engine="arrow").orderBy("id", "quantile").toPandas()
+    assert np.allclose(a.prediction, b.prediction)
