@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import coerce_number, mixed_date, year_range
-from .stats import exact_quantiles
+from .stats import quantiles
 
 YEAR_RANGE_COLUMNS = ("YearsOfExperience", "YearsAtCompany")
 DATE_COLUMN = "Date"
@@ -52,11 +52,13 @@ class Bounds:
     upper: float | None
 
 
-def iqr_bounds(df: DataFrame, targets: list[str], threshold: float = 1.5) -> list[Bounds]:
+def iqr_bounds(df: DataFrame, targets: list[str], threshold: float = 1.5,
+               approx: bool = False) -> list[Bounds]:
     """Q1/Q3 by linear interpolation on the unfiltered frame, all targets
-    in one pass; bounds Q1 - t*IQR and Q3 + t*IQR."""
+    in one pass; bounds Q1 - t*IQR and Q3 + t*IQR (``approx`` = one sketch
+    pass instead of the exact bracket refinement)."""
     present = [t for t in targets if t in df.columns]
-    qs = exact_quantiles(df, present, [0.25, 0.75])
+    qs = quantiles(df, present, [0.25, 0.75], approx)
     out = []
     for t in present:
         q1, q3 = qs[t]
@@ -93,7 +95,7 @@ def inside_bounds(bounds: list[Bounds], types: dict | None = None, null_as_false
 
 
 def remove_outliers(df: DataFrame, targets: list[str], method: str = "iqr",
-                    threshold: float = 1.5, with_counts: bool = False):
+                    threshold: float = 1.5, with_counts: bool = False, approx: bool = False):
     """Keep rows whose every present target lies inside its bounds.
 
     The bounds are a handful of scalars, so they go into the plan as
@@ -103,7 +105,7 @@ def remove_outliers(df: DataFrame, targets: list[str], method: str = "iqr",
     """
     if method != "iqr":
         raise NotImplementedError(f"Outlier removal method '{method}' is not implemented")
-    bounds = iqr_bounds(df, targets, threshold)
+    bounds = iqr_bounds(df, targets, threshold, approx)
     if not bounds:
         return (df, 0) if with_counts else (df, None)
     types = _dtypes(df)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null
 from .clean import resolve_columns, select_categorical, select_numeric
-from .stats import exact_quantiles
+from .stats import quantiles
 
 # countDistinct over many columns expands every row once per column;
 # batch the columns so one job never expands more than this many times.
@@ -44,11 +44,16 @@ def _batched(seq, n):
         yield seq[i:i + n]
 
 
-def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+def _distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, int]:
+    """Distinct non-null counts; exact ``countDistinct`` in batches of 16
+    columns (bounded Expand), or one HyperLogLog pass with ``approx``."""
     types = {f.name: f.dataType for f in df.schema.fields}
     out: dict[str, int] = {}
-    for batch in _batched(cols, DISTINCT_BATCH):
-        row = df.agg(*[F.countDistinct(_value(c, types[c])).alias(f"d{i}")
+    agg = F.approx_count_distinct if approx else F.countDistinct
+    for batch in ([cols] if approx else _batched(cols, DISTINCT_BATCH)):
+        if not batch:
+            continue
+        row = df.agg(*[agg(_value(c, types[c])).alias(f"d{i}")
                        for i, c in enumerate(batch)]).collect()[0]
         out.update({c: int(row[f"d{i}"]) for i, c in enumerate(batch)})
     return out
@@ -78,12 +83,14 @@ def data_summary_frame(df: DataFrame) -> DataFrame:
 
 
 def column_statistics(df: DataFrame, cols: list[str] | None = None,
-                      with_quantiles: bool = True) -> DataFrame:
+                      with_quantiles: bool = True, approx: bool = False) -> DataFrame:
     """A2 + A3 for many columns in one pass.
 
     Returns one row per column: column, dtype, total_count, null_count,
     null_percentage (2 dp), unique_count, and for numeric (non-boolean)
     columns mean, std (sample), min, max, q25, median, q75 (4 dp).
+    ``approx=True`` swaps exact distinct counts and quartiles for
+    HyperLogLog and one quantile sketch (single passes for huge tables).
     """
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -97,8 +104,8 @@ def column_statistics(df: DataFrame, cols: list[str] | None = None,
             aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
                      F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
     row = df.agg(*aggs).collect()[0]
-    distinct = _distinct_counts(df, cols)
-    quart = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if (numeric and with_quantiles) else {}
+    distinct = _distinct_counts(df, cols, approx)
+    quart = quantiles(df, numeric, [0.25, 0.5, 0.75], approx) if (numeric and with_quantiles) else {}
     n = row["_n"]
     out = []
     for i, c in enumerate(cols):

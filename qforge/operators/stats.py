@@ -43,6 +43,22 @@ def interpolate(lo: float, hi: float, d: float) -> float:
     return lo + (hi - lo) * d
 
 
+def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                     accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+    """One ``percentile_approx`` pass (rank error <= n/accuracy) for callers
+    that trade exactness for a single job on very wide or huge data."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.percentile_approx(nan_to_null(F.col(c).cast("double")), [float(p) for p in probs],
+                                       accuracy).alias(f"a{i}") for i, c in enumerate(cols)]).collect()[0]
+    return {c: list(row[f"a{i}"]) if row[f"a{i}"] is not None else [None] * len(probs)
+            for i, c in enumerate(cols)}
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool = False):
+    return approx_quantiles(df, cols, probs) if approx else exact_quantiles(df, cols, probs)
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     accuracy: int = DEFAULT_ACCURACY,
                     max_bracket: int = MAX_BRACKET_ROWS) -> dict[str, list[float | None]]:

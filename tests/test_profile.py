@@ -89,3 +89,14 @@ def test_correlation_moments_match_aggregate(spark):
     assert agg.keys() == mom.keys()
     for k in agg:
         assert mom[k] == pytest.approx(agg[k], abs=1e-9)
+
+
+def test_approx_statistics_close_to_exact(spark):
+    import random
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(rnd.gauss(50, 10), f"s{rnd.randint(0, 300)}") for _ in range(5000)],
+                               "x double, s string")
+    ex = {r.column: r for r in P.column_statistics(df).collect()}
+    ap = {r.column: r for r in P.column_statistics(df, approx=True).collect()}
+    assert abs(ap["x"].median - ex["x"].median) < 0.5
+    assert abs(ap["s"].unique_count - ex["s"].unique_count) <= 0.05 * ex["s"].unique_count
