@@ -134,9 +134,12 @@ def boolean_stats(df: DataFrame, col: str) -> DataFrame:
 
 
 def sample_values(df: DataFrame, col: str, n: int = 5) -> DataFrame:
-    """A5: first n non-null values as strings; ties broken by value."""
-    return (df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
-            .orderBy("v").limit(n).select(F.col("v").cast("string").alias("value")))
+    """A5: first n non-null values as strings (booleans as 1/0); ties broken
+    by value (T14)."""
+    v = F.col("v")
+    text = v.cast("int").cast("string") if isinstance(df.schema[col].dataType, T.BooleanType) else v.cast("string")
+    return (df.select(F.col(col).alias("v")).filter(v.isNotNull())
+            .orderBy("v").limit(n).select(text.alias("value")))
 
 
 def value_counts(df: DataFrame, col: str, limit: int | None = 20) -> DataFrame:

@@ -100,3 +100,8 @@ def test_approx_statistics_close_to_exact(spark):
     ap = {r.column: r for r in P.column_statistics(df, approx=True).collect()}
     assert abs(ap["x"].median - ex["x"].median) < 0.5
     assert abs(ap["s"].unique_count - ex["s"].unique_count) <= 0.05 * ex["s"].unique_count
+
+
+def test_sample_values_booleans_and_order(spark):
+    df = spark.createDataFrame([(True,), (None,), (False,), (True,)], "b boolean")
+    assert [r.value for r in P.sample_values(df, "b").collect()] == ["0", "1", "1"]
