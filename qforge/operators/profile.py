@@ -24,6 +24,16 @@ from .stats import quantiles
 DISTINCT_BATCH = 16
 
 
+# Column type names as the reference reports them (pandas dtype names).
+PANDAS_DTYPES = {"double": "float64", "float": "float32", "bigint": "int64", "int": "int32",
+                 "smallint": "int16", "tinyint": "int8", "boolean": "bool", "string": "object",
+                 "timestamp": "datetime64[ns]", "timestamp_ntz": "datetime64[ns]", "date": "datetime64[ns]"}
+
+
+def pandas_dtype(dt: T.DataType) -> str:
+    return PANDAS_DTYPES.get(dt.simpleString(), dt.simpleString())
+
+
 def _is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 
@@ -110,7 +120,7 @@ def column_statistics(df: DataFrame, cols: list[str] | None = None,
     out = []
     for i, c in enumerate(cols):
         nulls = row[f"null{i}"]
-        rec = [c, types[c].simpleString(), n, nulls,
+        rec = [c, pandas_dtype(types[c]), n, nulls,
                _round(nulls / n * 100, 2) if n else None, distinct[c]]
         if c in numeric:
             q = quart.get(c, [None] * 3)

@@ -105,3 +105,8 @@ def test_approx_statistics_close_to_exact(spark):
 def test_sample_values_booleans_and_order(spark):
     df = spark.createDataFrame([(True,), (None,), (False,), (True,)], "b boolean")
     assert [r.value for r in P.sample_values(df, "b").collect()] == ["0", "1", "1"]
+
+
+def test_dtype_names(spark):
+    df = spark.createDataFrame([(1.0, 2, "a", True)], "a double, b long, c string, d boolean")
+    assert [r.dtype for r in P.column_statistics(df).collect()] == ["float64", "int64", "object", "bool"]
