@@ -4,8 +4,8 @@ Validation is a projection: every row gets an ``errors array<string>``
 built from Column expressions (``filter(array(when ...), isNotNull)``), so
 one bad row never fails the batch; frame-level misses (absent columns) are
 computed once from the schema.  Rows are scored by the model set's
-``mapInPandas`` scorer in the same projection; invalid rows keep their
-errors, status 400 and no predictions.
+scorer (a compiled expression or an Arrow UDF) in the same projection;
+invalid rows keep their errors, status 400 and no predictions.
 """
 
 from __future__ import annotations

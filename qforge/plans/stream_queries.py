@@ -38,7 +38,7 @@ def stream_encode_events(spark, sf):
 @query("stream_score_lineitem")
 def stream_score_lineitem(spark, sf):
     """P1 on a stream: lineitem files joined to static orders, scored by the
-    trained model set (stateless mapInPandas), appended to a Parquet sink."""
+    trained model set (a stateless projection), appended to a Parquet sink."""
     fc = trained(spark, sf)
     li = read_stream(spark, f"{sf.rstrip('/')}/lineitem.parquet")
     o = spark.read.parquet(f"{sf.rstrip('/')}/orders.parquet").select("o_orderkey", "o_orderpriority")
