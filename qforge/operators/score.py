@@ -131,6 +131,29 @@ def batch_summary(results: DataFrame) -> DataFrame:
                        F.count_if(F.col("status_code") != 200).alias("failure_count"))
 
 
+def format_predictions_wide(wide: DataFrame, index_col: str, targets: list[str],
+                            quantiles: list[float]) -> DataFrame:
+    """P6 from the wide layout: one row per (row, target) with a column per
+    p## -- an ``explode`` of per-target structs, no shuffle."""
+    labels = [f"p{int(q * 100)}" for q in quantiles]
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("Component"), *[F.col(f"{t}_{lbl}").alias(lbl) for lbl in labels])
+        for t in targets]))
+    return wide.select(index_col, rows.alias("_r")).select(index_col, "_r.*")
+
+
+def quantile_curve_wide(wide: DataFrame, index_col: str, targets: list[str],
+                        quantiles: list[float]) -> DataFrame:
+    """P7 from the wide layout: one row per (row, p##) with a column per
+    target, in numeric quantile order -- narrow, no shuffle."""
+    order = sorted(quantiles, key=lambda q: int(q * 100))
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(f"p{int(q * 100)}").alias("Quantile"),
+                 *[F.col(f"{t}_p{int(q * 100)}").alias(t) for t in targets])
+        for q in order]))
+    return wide.select(index_col, rows.alias("_r")).select(index_col, "_r.*")
+
+
 def format_predictions(long: DataFrame, index_col: str, quantiles: list[float]) -> DataFrame:
     """One row per (row, target) named ``Component``, one column per p##."""
     labels = [f"p{int(q * 100)}" for q in quantiles]

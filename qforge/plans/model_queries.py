@@ -161,18 +161,18 @@ def quantile_crossings(spark, sf):
 def format_predictions(spark, sf):
     """One row per (row, target) with a column per quantile."""
     fc = trained(spark, sf)
-    long = fc.predict(joined(spark, sf), "long", keep=KEY)
-    long = long.withColumn("row_id", F.concat_ws("-", *KEY))
-    return S.format_predictions(long.drop(*KEY), "row_id", QUANTILES)
+    rows = joined(spark, sf).withColumn("row_id", F.concat_ws("-", *KEY))
+    wide = fc.predict(rows, "wide", keep=["row_id"])
+    return S.format_predictions_wide(wide, "row_id", ["l_extendedprice"], QUANTILES)
 
 
 @query("quantile_curve")
 def quantile_curve(spark, sf):
     """One row per p## with a column per target."""
     fc = trained(spark, sf)
-    long = fc.predict(joined(spark, sf), "long", keep=KEY)
-    long = long.withColumn("row_id", F.concat_ws("-", *KEY))
-    return S.quantile_curve(long.drop(*KEY), "row_id", ["l_extendedprice"])
+    rows = joined(spark, sf).withColumn("row_id", F.concat_ws("-", *KEY))
+    wide = fc.predict(rows, "wide", keep=["row_id"])
+    return S.quantile_curve_wide(wide, "row_id", ["l_extendedprice"], QUANTILES)
 
 
 @query("model_schema")

@@ -129,3 +129,24 @@ def test_performance_summary_doc(spark, tmp_path):
     IO.export_metrics_json(doc, out, spark)
     text = spark.read.text(out).collect()[0][0]
     assert json.loads(text)["preprocessing_metrics"]["preprocessing_data_cleaning_time"]["total"] == 4.0
+
+
+def test_wide_pivots_match_shuffle_pivots(spark):
+    rows = [(f"r{i}", t, q, float(i * 10 + q * 100 + (5 if t == "B" else 0)))
+            for i in range(4) for t in ("A", "B") for q in (0.1, 0.5, 0.9)]
+    long = spark.createDataFrame(rows, "rid string, target string, quantile double, prediction double")
+    wide = long.groupBy("rid").pivot("target").agg(*[F.first(F.when(F.col("quantile") == q, F.col("prediction")),
+                                                               ignorenulls=True).alias(f"p{int(q * 100)}")
+                                                      for q in (0.1, 0.5, 0.9)])
+    for t in ("A", "B"):
+        for q in (10, 50, 90):
+            wide = wide.withColumnRenamed(f"{t}_p{q}", f"{t}_p{q}")
+    a = sorted(map(tuple, S.format_predictions(long, "rid", [0.1, 0.5, 0.9]).select(
+        "rid", "Component", "p10", "p50", "p90").collect()))
+    b = sorted(map(tuple, S.format_predictions_wide(wide, "rid", ["A", "B"], [0.1, 0.5, 0.9]).select(
+        "rid", "Component", "p10", "p50", "p90").collect()))
+    assert a == b
+    c = sorted(map(tuple, S.quantile_curve(long, "rid", ["A", "B"]).select("rid", "Quantile", "A", "B").collect()))
+    d = sorted(map(tuple, S.quantile_curve_wide(wide, "rid", ["A", "B"], [0.1, 0.5, 0.9]).select(
+        "rid", "Quantile", "A", "B").collect()))
+    assert c == d
