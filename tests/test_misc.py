@@ -48,3 +48,36 @@ def test_read_stream_single_file_and_run(spark, tmp_path):
     assert s.isStreaming
     out = run_available(s.withColumn("w", F.col("v") + 1), "unit", root=str(tmp_path / "runs"))
     assert out.count() == 50 and out.agg(F.sum("w")).collect()[0][0] == sum(2 * i + 1 for i in range(50))
+
+
+def test_classify_columns_rules(spark):
+    from qforge.operators import infer as I
+    rows = [(i, f"name {i}", float(100 + i % 7), ["NY", "SF"][i % 2], None if i % 3 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "emp_id long, full_name string, salary double, city string, rare double")
+    roles = I.classify_columns(df)
+    assert roles["targets"] == ["salary"]
+    assert "emp_id" in roles["ignore"] and "full_name" in roles["ignore"] and "rare" in roles["ignore"]
+    assert roles["column_types"]["city"] == "location" and "city" in roles["features"]
+
+
+def test_legacy_config_layout():
+    from qforge.config import ForecastConfig
+    cfg = ForecastConfig.from_dict({
+        "mappings": {"levels": {"E3": 0, "E4": 1}, "location_targets": {"New York, NY": 1}},
+        "model": {"targets": ["BaseSalary"], "features": [{"name": "Level_Enc", "monotone_constraint": 1}]}})
+    assert cfg.ranked_cols == {"Level": "levels"} and cfg.proximity_cols == ["Location"]
+    assert cfg.quantiles == [0.1, 0.25, 0.5, 0.75, 0.9] and cfg.cv["nfold"] == 5
+
+
+def test_tune_writes_best_params(spark, comp_df, gazetteer):
+    from qforge.config import FeatureSpec, ForecastConfig
+    from qforge.operators.forecast import QuantileForecaster
+    cfg = ForecastConfig(targets=["BaseSalary"], quantiles=[0.5],
+                         features=[FeatureSpec("Level_Enc", 1), FeatureSpec("YearsOfExperience", 1)],
+                         mappings={"levels": {"E3": 0, "E4": 1, "E5": 2, "E6": 3, "E7": 4}, "location_targets": {}},
+                         ranked_cols={"Level": "levels"}, ref_date="2023-01-01")
+    fc = QuantileForecaster(cfg, gazetteer)
+    best, table = fc.tune(comp_df.limit(800), n_trials=2, nfold=2, num_boost_round=3, early_stopping_rounds=2)
+    rows = table.collect()
+    assert len(rows) == 2 and all(r.score > 0 for r in rows)
+    assert fc.cfg.training["max_depth"] == best.max_depth and 0.01 <= fc.cfg.training["eta"] <= 0.3
