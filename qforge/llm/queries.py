@@ -13,6 +13,7 @@ from .mixture_raking import mixture_frame
 from .quality_cascade import quality_frame
 from .simhash_bktree import hex_fingerprint, simhash_components
 from .string_tiling import leaked_pairs
+from .window_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,12 @@ def op6(spark, sf_dir):
     return shard_frame(table(spark, sf_dir, "documents"))
 
 
+@query("op8_window_doubling")
+def op8(spark, sf_dir):
+    """Words left when windows of 35 words that occur twice are removed."""
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query("op9_mixture_raking")
 def op9(spark, sf_dir):
     """Probability and draw of each document for tempered source, language and topic shares."""

@@ -184,10 +184,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialize(shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(
         _links(radius), "a bigint, b bigint"))
     roots = connected_components(links)
+    linked = fps.join(roots.withColumnRenamed("v", "fp"), "fp")
+    named = linked.groupBy("root").agg(F.min("least").alias("component"))
+    comp = linked.join(named, "root").select("fp", "component")
     # fingerprints without a link are their own component
-    own = fps.join(roots.withColumnRenamed("v", "fp"), "fp", "left")
-    named = own.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component"))
-    comp = own.join(named, "root", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    comp = fps.join(comp, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return prints.join(comp, "fp").select("id", "fp", "component")
 
 
