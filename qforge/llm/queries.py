@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .attention_lm import score_documents
 from .common import prepare, table
+from .language_mixture import identify_languages
 from .minimax_shards import shard_frame
 from .mixture_raking import mixture_frame
 from .quality_cascade import quality_frame
@@ -39,6 +41,23 @@ def op1(spark, sf_dir):
     return pairs.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def _remainder(n: int):
+    """crc32 of the id's text modulo ``n`` is 1; a null id counts as not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == 1, F.lit(False))
+
+
+@query("op2_language_mixture")
+def op2(spark, sf_dir):
+    """Language of every text by a mixture over its words."""
+    return identify_languages(table(spark, sf_dir, "documents"), _remainder(3))
+
+
+@query("op4_attention_lm")
+def op4(spark, sf_dir):
+    """Base and attention-model log probability of every text."""
+    return score_documents(table(spark, sf_dir, "documents"), _remainder(5))
+
+
 @query("op5_simhash_bktree")
 def op5(spark, sf_dir):
     """SimHash fingerprints and components at two bits."""

@@ -127,8 +127,9 @@ def _keys(text: Column) -> list[Column]:
 def _repeated(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows ``(k1, k2, at, *names)`` whose names occur at two places, as ``(k1, k2, at[])``."""
     place = F.xxhash64("k1", "k2", "at")
-    twice = rows.groupBy(*names).agg(F.min(place).alias("lo"), F.max(place).alias("hi")) \
-        .filter("lo <> hi").select(*names)
+    # written, so that both sides of the join are plain exchanges and a hot name can be split
+    twice = materialize(rows.groupBy(*names).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+                        .filter("lo <> hi").select(*names))
     return rows.join(twice, names).groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
 
 
