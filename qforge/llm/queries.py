@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .attention_lm import score_documents
 from .common import prepare, table
+from .feistel_pii import pseudonymize
 from .language_mixture import identify_languages
+from .license_cosine import derived_path, scan_licenses
 from .minimax_shards import shard_frame
 from .mixture_raking import mixture_frame
 from .quality_cascade import quality_frame
@@ -52,6 +54,13 @@ def op2(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"), _remainder(3))
 
 
+@query("op3_license_cosine")
+def op3(spark, sf_dir):
+    """Licence of every document, from its own text or its directories."""
+    docs = table(spark, sf_dir, "documents")
+    return scan_licenses(docs.withColumn("path", derived_path(F.col("doc_id"))))
+
+
 @query("op4_attention_lm")
 def op4(spark, sf_dir):
     """Base and attention-model log probability of every text."""
@@ -72,6 +81,12 @@ def op6(spark, sf_dir):
     return shard_frame(table(spark, sf_dir, "documents"))
 
 
+@query("op7_feistel_pii")
+def op7(spark, sf_dir):
+    """Texts with format-preserving pseudonyms."""
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
 @query("op8_window_doubling")
 def op8(spark, sf_dir):
     """Words left when windows of 35 words that occur twice are removed."""
