@@ -118,17 +118,18 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+#: Fixed values: (dollars from which the style holds, factor, decimals, suffix).
+COST_STYLES = ((float("-inf"), 1000, 2, " (millicents)"), (0.01, 1, 4, ""), (1.0, 1, 2, ""))
+
+
 @F.pandas_udf(T.StringType())
-def _format_cost_udf(c: "pd.Series") -> "pd.Series":
-    def fmt(x):
-        if x is None or x != x:
-            return None
-        if x < 0.01:
-            return f"${x * 1000:.2f} (millicents)"
-        if x < 1.0:
-            return f"${x:.4f}"
-        return f"${x:.2f}"
-    return c.map(fmt)
+def _cost_text(dollars: "pd.Series") -> "pd.Series":
+    out = dollars.astype(object).where(dollars.notna(), None)
+    edges = [style[0] for style in COST_STYLES] + [float("inf")]
+    for (low, factor, places, suffix), high in zip(COST_STYLES, edges[1:]):
+        hit = (dollars >= low) & ((dollars < high) | (high == float("inf")))
+        out[hit] = [f"${v:.{places}f}{suffix}" for v in dollars[hit] * factor]
+    return out
 
 
 def format_cost(c: str | Column) -> Column:
@@ -139,7 +140,7 @@ def format_cost(c: str | Column) -> Column:
     decimal form half-up (2.335 -> 2.34) while the reference rounds the
     binary value (2.33).
     """
-    return _format_cost_udf(col_of(c).cast("double"))
+    return _cost_text(col_of(c).cast("double"))
 
 
 def estimate_tokens(text: str | Column) -> Column:

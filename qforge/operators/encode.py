@@ -80,8 +80,13 @@ class RankedEncoder(_Stage):
         if not m:
             return F.lit(UNKNOWN_CODE).cast("int")
         lit_map = F.create_map(*[x for k, v in m.items() for x in (F.lit(str(k)), F.lit(int(v)))])
-        key = c if isinstance(dtype, T.StringType) else F.lit(None).cast("string")
-        return F.coalesce(F.try_element_at(lit_map, key), F.lit(UNKNOWN_CODE)).cast("int")
+        return F.coalesce(F.try_element_at(lit_map, self._key(c, dtype)), F.lit(UNKNOWN_CODE)).cast("int")
+
+    def _key(self, c: Column, dtype: T.DataType) -> Column:
+        """Lookup key: a non-string value matches no string key unless the encoder casts."""
+        if self._spec().get("cast") or isinstance(dtype, T.StringType):
+            return c.cast("string")
+        return F.lit(None).cast("string")
 
     def _transform(self, df: DataFrame) -> DataFrame:
         m = self.mapping()
@@ -90,7 +95,8 @@ class RankedEncoder(_Stage):
         spark = df.sparkSession
         table = spark.createDataFrame([(str(k), int(v)) for k, v in m.items()], "__k string, __v int")
         # the mapping is configuration: its size is known, so broadcasting it is bounded
-        joined = df.join(F.broadcast(table), F.col(self._in()) == F.col("__k"), "left")
+        key = self._key(F.col(self._in()), df.schema[self._in()].dataType)
+        joined = df.join(F.broadcast(table), key == F.col("__k"), "left")
         return joined.withColumn(self._out(), F.coalesce(F.col("__v"), F.lit(UNKNOWN_CODE)).cast("int")) \
             .drop("__k", "__v")
 
@@ -301,7 +307,7 @@ class LabelEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsW
         col = self._in()
         levels = distinct_levels(df, col, self._spec().get("max_levels", 100_000))
         return RankedEncoder(inputCol=col, outputCol=self._out(),
-                             spec=json.dumps({"mapping": {v: i for i, v in enumerate(levels)}}))
+                             spec=json.dumps({"mapping": {v: i for i, v in enumerate(levels)}, "cast": True}))
 
 
 class OneHotEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -332,7 +338,7 @@ class OneHotModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritab
         col = self._in()
         if col not in df.columns:
             return df
-        return df.withColumns({f"{self._out()}_{lvl}": (F.col(col) == F.lit(lvl)).cast("int")
+        return df.withColumns({f"{self._out()}_{lvl}": F.col(col).cast("string").eqNullSafe(F.lit(lvl)).cast("int")
                                for lvl in self._spec()["levels"]})
 
 

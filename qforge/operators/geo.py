@@ -26,7 +26,6 @@ from ..functions.columns import haversine_km
 METRO_POPULATION = {1: 5_000_000, 2: 2_000_000, 3: 500_000, 4: 100_000}
 DEFAULT_ZONE = 4
 DEFAULT_POPULATION = 100_000
-BROADCAST_MAX_ROWS = 1_000_000
 
 # WGS-84 ellipsoid
 _A = 6378137.0
@@ -126,9 +125,13 @@ def nearest_zone(lat: Column, lon: Column, points: list[tuple[str, float, float,
 
 
 def geocode(df: DataFrame, col: str, gazetteer: DataFrame) -> DataFrame:
-    """Distinct names of ``col`` with (lat, lon) from the gazetteer, NULL if unknown."""
+    """Distinct names of ``col`` with (lat, lon) from the gazetteer, NULL if unknown.
+
+    A name that the gazetteer has more than once takes its smallest (lat, lon).
+    """
     names = df.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    return names.join(gazetteer.select("name", "lat", "lon"), "name", "left")
+    places = gazetteer.groupBy("name").agg(F.min(F.struct("lat", "lon")).alias("at")).select("name", "at.lat", "at.lon")
+    return names.join(places, "name", "left")
 
 
 def location_zones(df: DataFrame, col: str, targets: dict[str, int], gazetteer: DataFrame,
@@ -139,12 +142,6 @@ def location_zones(df: DataFrame, col: str, targets: dict[str, int], gazetteer:
     return g.withColumn("zone", nearest_zone(F.col("lat"), F.col("lon"), pts, max_km, method).cast("int"))
 
 
-def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the rows (the size check)."""
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
 def attach_zone(df: DataFrame, col: str, zones: DataFrame, out_col: str) -> DataFrame:
     """Join the per-name zones back; non-strings / unknown names -> 4.
 
@@ -168,4 +165,4 @@ def metro_population(zone: Column) -> Column:
 
 
 __all__ = ["vincenty_km", "nearest_zone", "geocode", "location_zones", "attach_zone",
-           "metro_population", "target_points", "maybe_broadcast"]
+           "metro_population", "target_points"]

@@ -81,3 +81,22 @@ def test_proximity_zones(spark, gazetteer):
 def test_vincenty():
     d = geo.vincenty_km([40.7128], [-74.0060], [37.7749], [-122.4194])[0]
     assert d == pytest.approx(4138.0, rel=0.01)
+
+
+def test_label_codes_of_integers_and_one_hot_of_nulls(spark):
+    from qforge.operators.encode import LabelEncoder, OneHotEncoder
+    for n in (5, 1500):  # literal map and joined table
+        df = spark.range(n).selectExpr("id + 10000 as k")
+        out = LabelEncoder.create("k").fit(df).transform(df).orderBy("k").collect()
+        assert [r["k_Label"] for r in out] == list(range(n))
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "c string")
+    got = OneHotEncoder.create("c").fit(df).transform(df).collect()
+    assert [(r["c_a"], r["c_b"]) for r in got] == [(1, 0), (0, 0), (0, 1)]
+
+
+def test_repeated_gazetteer_names_do_not_repeat_rows(spark):
+    from qforge.operators.geo import geocode
+    df = spark.createDataFrame([("X",), ("Y",)], "city string")
+    gaz = spark.createDataFrame([("X", 2.0, 1.0), ("X", 1.0, 5.0)], "name string, lat double, lon double")
+    got = sorted((r["name"], r["lat"], r["lon"]) for r in geocode(df, "city", gaz).collect())
+    assert got == [("X", 1.0, 5.0), ("Y", None, None)]
