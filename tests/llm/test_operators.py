@@ -187,6 +187,52 @@ def test_attention_gradients_and_fast_path():
     assert abs(total - 1) < 1e-6
 
 
+@pytest.mark.parametrize("band", [5, 6])  # 28 ids: six bands, the last not full, or five of which the last holds four
+def test_attention_bands(band):
+    rng = np.random.default_rng(1)
+    counts = np.zeros(300)
+    counts[:60] = rng.integers(1, 100, 60)
+    m = attention_lm.AttentionModel(counts, known=48, frequent=12, middle=40, band=band)
+    for n in m.p:
+        m.p[n] = m.p[n].astype(np.float64) + (0.3 * rng.standard_normal(m.p[n].shape) if n in ("U", "U2") else 0)
+    x, v, t, _ = m.windows(*stacked([list(rng.integers(0, 70, 90)), [3]]))
+    g = m.gradients(x, v, t)
+    loss = lambda: -m.log_probs(x, v, t).sum() / (t >= 0).sum()
+    for n in m.NAMES:
+        for _ in range(4):
+            at = tuple(int(rng.integers(0, s)) for s in m.p[n].shape)
+            keep, sides = m.p[n][at], []
+            for step in (1e-6, -1e-6):  # small enough not to cross a kink of the rectifier
+                m.p[n][at] = keep + step
+                sides.append(loss())
+            m.p[n][at] = keep
+            assert abs((sides[0] - sides[1]) / 2e-6 - g[n][at]) < 2e-8
+    total = 0.0
+    for k in range(300):
+        one = t[:1].copy()
+        one[0, 0] = k
+        total += math.exp(m.log_probs(x[:1], v[:1], one)[0, 0])
+    assert abs(total - 1) < 1e-6
+    m.tables()
+    got = np.concatenate(list(m.score_blocks(*stacked([list(rng.integers(0, 70, 1)) for _ in range(700)]))))
+    assert len(got) == 700 and np.isfinite(got).all()
+    m.tk = m.tk * 1e4  # weights that overflow without their maximum taken off
+    assert all(np.isfinite(part).all() for part in m.score_blocks(*stacked([list(rng.integers(0, 70, 90))])))
+
+
+def test_subwords_of_joined_words():
+    import tiktoken
+    sub = attention_lm.Subwords(attention_lm.VOCAB_PATH)
+    plain = tiktoken.Encoding("plain", pat_str=r"[\s\S]+", mergeable_ranks=sub.encoding._mergeable_ranks, special_tokens={})
+    words = ["hello", "naïve", "été,", "日本語", "x" * 450, "<|endoftext|>", "a\u00a0b", "#*$"]
+    ids, length = sub.words([w.encode() for w in words])
+    ends = np.cumsum(length)
+    for w, a, b in zip(words, ends - length, ends):
+        cut = [(" " + w)[k:k + 200] for k in range(0, len(w) + 1, 200)]
+        assert list(ids[a:b]) == [i for c in cut for i in plain.encode_ordinary(c)]
+    assert [len(a) for a in sub.words([])] == [0, 0]
+
+
 def test_op4_base_and_held_out_gain(spark, texts, monkeypatch):
     got = rows_of(QUERIES["op4_attention_lm"](spark, SF001))
     counts = Counter()
