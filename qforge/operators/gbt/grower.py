@@ -571,7 +571,8 @@ class Grower:
         for g, members in by_group.items():
             if g in self.groups:
                 continue
-            folds = [m for m in members if m.spec.fold >= 0]
+            # a fold that no row falls in has no curve: the others decide
+            folds = [m for m in members if m.spec.fold >= 0 and m.valid_curve]
             max_rounds = max(m.spec.max_rounds for m in members)
             if not folds:
                 if rnd_done >= max_rounds:

@@ -54,32 +54,34 @@ def validate_table(spark: SparkSession, path: str,
 
     zero bytes -> "File is empty"; no data rows -> "CSV contains no data
     rows"; fewer than 2 columns -> "CSV must have at least 2 columns";
-    malformed rows -> "Failed to parse CSV: ...".
+    malformed rows -> "Failed to parse CSV: ...".  Without a schema the types
+    are inferred first; then a row with more fields than the header is
+    malformed, and one with fewer is filled with nulls.
     """
     size = _path_size(spark, path)
     if size == 0:
         return Validation(False, "File is empty", None)
     try:
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        if schema is not None:
-            with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT_COL, T.StringType())])
-            reader = reader.schema(with_corrupt).option("columnNameOfCorruptRecord", CORRUPT_COL)
-        else:
-            reader = reader.option("inferSchema", True)
-        df = reader.csv(path)
-        data_cols = [c for c in df.columns if c != CORRUPT_COL]
+        fields = (schema or reader.option("inferSchema", True).csv(path).schema).fields
+        with_corrupt = T.StructType(list(fields) + [T.StructField(CORRUPT_COL, T.StringType())])
+        df = reader.schema(with_corrupt).option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path)
+        data_cols = [f.name for f in fields]
         if len(data_cols) == 0:
             return Validation(False, "File is empty", None)
         if df.isEmpty():
             return Validation(False, "CSV contains no data rows", None)
         if len(data_cols) < 2:
             return Validation(False, "CSV must have at least 2 columns", None)
-        if CORRUPT_COL in df.columns:
-            bad = df.filter(F.col(CORRUPT_COL).isNotNull()).limit(1).collect()
-            if bad:
-                return Validation(False, f"Failed to parse CSV: malformed row {bad[0][CORRUPT_COL]!r}", None)
-            df = df.drop(CORRUPT_COL)
-        return Validation(True, None, df)
+        malformed = F.col(CORRUPT_COL).isNotNull()
+        if schema is None:
+            # one more field than the header has, if the row goes that far
+            wider = ", ".join(f"c{i} string" for i in range(len(fields) + 1))
+            malformed &= F.from_csv(F.col(CORRUPT_COL), wider)[f"c{len(fields)}"].isNotNull()
+        bad = df.filter(malformed).select(CORRUPT_COL, *data_cols).limit(1).collect()
+        if bad:
+            return Validation(False, f"Failed to parse CSV: malformed row {bad[0][CORRUPT_COL]!r}", None)
+        return Validation(True, None, df.drop(CORRUPT_COL))
     except Exception as exc:  # parse errors surface as analysis/runtime errors
         return Validation(False, f"Failed to parse CSV: {exc}", None)
 

@@ -184,6 +184,15 @@ def test_degenerate_inputs(spark):
     assert all(t.n_nodes == 1 for m in res.model_set.models for t in m.trees)
 
 
+def test_folds_without_rows_leave_cv_to_the_others(spark):
+    # keys that fall into two of five folds at most
+    df = spark.createDataFrame([(i % 2, float(i % 2), float(i % 2)) for i in range(60)], "id long, x double, y double")
+    res = fit_models(df, ["y"], ["x"], [0.5], [0], GrowParams(max_depth=2), nfold=5, num_boost_round=3,
+                     early_stopping_rounds=2, key_cols=["id"], max_bin=8)
+    assert len(res.best) == 1 and 1 <= res.best[0][4] <= 3
+    assert res.cv.count() > 0
+
+
 def test_expression_and_arrow_scoring_agree(spark):
     df = _step_frame(spark, 1000)
     res = fit_models(df, ["y"], ["x", "z"], [0.25, 0.75], [1, 0], GrowParams(max_depth=3), nfold=1,

@@ -22,6 +22,13 @@ def test_validate_table_messages(spark, tmp_path):
     assert ok.ok and ok.df.count() == 2
 
 
+def test_validate_table_malformed_rows_without_a_schema(spark, tmp_path):
+    wide = S.validate_table(spark, _write(tmp_path, "wide.csv", "a,b\n1,x\n2,y,z\n3,w\n"))
+    assert not wide.ok and wide.error.startswith("Failed to parse CSV") and "2,y,z" in wide.error
+    short = S.validate_table(spark, _write(tmp_path, "short.csv", "a,b,c\n1,x,\n2\n"))
+    assert short.ok and [tuple(r) for r in short.df.orderBy("a").collect()] == [(1, "x", None), (2, None, None)]
+
+
 def test_read_table_and_json(spark, tmp_path):
     p = _write(tmp_path, "t.csv", "Level,Salary\nE3,100\nE4,150\n")
     df = S.read_table(spark, p)
