@@ -253,6 +253,18 @@ def test_op4_base_and_held_out_gain(spark, texts, monkeypatch):
     assert sum(got[d]["score"] for d in held) > 0.97 * sum(start[d]["score"] for d in held)
 
 
+def test_lm_trains_on_every_training_row(spark, texts):
+    docs = spark.createDataFrame(list(texts.items())[:60], "doc_id bigint, text string")
+    train = F.col("doc_id") % 4 != 1
+    words = docs.filter(train).select(F.col("text").alias("t")).mapInArrow(attention_lm._word_counts, "w binary, n bigint") \
+        .groupBy("w").agg(F.sum("n").alias("n"))
+    # a corpus said to be so large that each round takes a third of it
+    model = attention_lm.fit_model(docs, train, "doc_id", "text", words, 1_500_000, attention_lm.VOCAB_PATH)
+    sub = attention_lm.Subwords(attention_lm.VOCAB_PATH)
+    size = sub.texts([r["text"] for r in docs.filter(train).collect()])[1]
+    assert model.seen == (-(-size // attention_lm.STRIDE)).sum()
+
+
 def test_lm_odd_rows_and_cold_words(odd_docs, no_docs):
     held = F.coalesce(F.col("doc_id") == 8, F.lit(False))
     full = attention_lm.score_documents(odd_docs, held).collect()
