@@ -265,6 +265,26 @@ def test_lm_trains_on_every_training_row(spark, texts):
     assert model.seen == (-(-size // attention_lm.STRIDE)).sum()
 
 
+def test_lm_scores_are_one_mixture(odd_docs, monkeypatch):
+    start = attention_lm.AttentionModel(np.zeros(attention_lm.Subwords(attention_lm.VOCAB_PATH).size))
+    monkeypatch.setattr(attention_lm, "fit_model", lambda *a: start)
+    docs = odd_docs.filter("doc_id is not null and doc_id != 7")
+    held = F.col("doc_id").isin(3, 6)
+    rows = docs.select("doc_id", "text", held.alias("held")).collect()
+    counts = Counter(w for r in rows if not r["held"] for w in [*attention_lm.text_words(r["text"]), None])
+    total, sub, u = sum(counts.values()), attention_lm.Subwords(attention_lm.VOCAB_PATH), attention_lm.UNIGRAM
+    want = {}
+    for r in rows:
+        words = attention_lm.text_words(r["text"])
+        ids, length = sub.words(words)
+        n = [*length, 1]  # uniform over the subwords
+        want[r["doc_id"]] = sum(math.log10((1 - u) * sub.size ** -float(k) + u * counts[w] / total)
+                                for k, w in zip(n, [*words, None]))
+    for hot in (0, 2, 1000):
+        for r in attention_lm.score_documents(docs, held, hot_words=hot).collect():
+            assert abs(r["score"] - want[r["doc_id"]]) < 1e-4 * abs(want[r["doc_id"]])
+
+
 def test_lm_odd_rows_and_cold_words(odd_docs, no_docs):
     held = F.coalesce(F.col("doc_id") == 8, F.lit(False))
     full = attention_lm.score_documents(odd_docs, held).collect()
