@@ -5,7 +5,9 @@ template by the cosine of their TF-IDF vectors; the best template at or above
 ``min_cosine`` is the file's own licence.  Only windows near a template's
 anchor terms are computed: without any of them the cosine cannot reach the
 threshold (Cauchy-Schwarz), so nothing is missed and whole texts are covered.
-Document frequencies of the template terms come from all files.
+Document frequencies of all terms are counted over all files.  A scan first
+keeps the windows that would reach the threshold if their other terms were in
+every file; a join with the frequencies of those terms then gives the cosine.
 
 A file without an own licence takes the one of its nearest ancestor directory
 (its own directory first) that holds a licence file: directories are paired
@@ -26,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +63,7 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str], frequency: dict[str, int], files: int, min_cosine: float):
         self.min_cosine, self.files = min_cosine, files
         self.idf = {t: math.log((files + 1) / (frequency.get(t, 0) + 1)) + 1 for x in templates.values() for t in terms(x)}
-        self.rare = math.log(files + 1) + 1  # idf of a term that no template has
+        self.rare = math.log(files + 1) + 1  # idf of a term that no file has
         self.vectors, self.length, self.anchors = {}, {}, {}
         for name in sorted(templates):
             seq = terms(templates[name])
@@ -76,47 +79,89 @@ class TemplateIndex:
             for t in chosen:
                 self.anchors.setdefault(t, []).append(name)
 
-    def best(self, text: str | None) -> tuple[str | None, float]:
+    def windows(self, text: str | None) -> Iterator[tuple[str, Counter]]:
+        """Template name and term counts of every window near an anchor of the template."""
         seq = terms(text)
         near: dict[str, set[int]] = {}
         for i, t in enumerate(seq):
             for name in self.anchors.get(t, ()):
                 n = self.length[name]
                 near.setdefault(name, set()).update(range(max(0, i - n + 1), min(i, max(len(seq) - n, 0)) + 1))
-        found = (None, 0.0)
         for name in sorted(near):
-            vector, n = self.vectors[name], self.length[name]
             for start in sorted(near[name]):
-                tf = Counter(seq[start:start + n])
-                dot = sum(vector.get(t, 0.0) * k * self.idf.get(t, self.rare) for t, k in tf.items())
-                cosine = dot / math.sqrt(sum((k * self.idf.get(t, self.rare)) ** 2 for t, k in tf.items()))
-                if cosine >= self.min_cosine and cosine > found[1] + 1e-12:
-                    found = (name, min(cosine, 1.0))
+                yield name, Counter(seq[start:start + self.length[name]])
+
+    def parts(self, name: str, tf: Counter) -> tuple[float, float, dict[str, int]]:
+        """Product with the template, squared norm of the template terms, counts of the other terms."""
+        vector = self.vectors[name]
+        own = {t: k * self.idf[t] for t, k in tf.items() if t in self.idf}
+        return (sum(vector.get(t, 0.0) * v for t, v in own.items()), sum(v * v for v in own.values()),
+                {t: k for t, k in tf.items() if t not in self.idf})
+
+    def best(self, text: str | None) -> tuple[str | None, float]:
+        """Best template if no file had the other terms."""
+        found = (None, 0.0)
+        for name, tf in self.windows(text):
+            dot, own, other = self.parts(name, tf)
+            cosine = dot / math.sqrt(own + sum((k * self.rare) ** 2 for k in other.values()))
+            if cosine >= self.min_cosine and cosine > found[1] + 1e-12:
+                found = (name, min(cosine, 1.0))
         return found
 
+    def candidates(self, text: str | None) -> list[dict]:
+        """Distinct windows that reach the threshold if every file has the other terms (idf 1, the least)."""
+        found = {}
+        for name, tf in self.windows(text):
+            dot, own, other = self.parts(name, tf)
+            if dot >= (self.min_cosine - 1e-9) * math.sqrt(own + sum(k * k for k in other.values())):
+                found[name, dot, own, frozenset(other.items())] = None
+        return [{"name": n, "dot": d, "own": o, "other": [{"term": t, "k": k} for t, k in sorted(x)]} for n, d, o, x in found]
 
-def _document_frequency(vocabulary: frozenset):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for part in slices(batches, "t"):
-            for t in part.column("t").to_pylist():
-                counts.update(vocabulary.intersection(terms(t)))
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-    return run
+
+def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the files that have each term."""
+    counts: Counter = Counter()
+
+    def flush(c):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
+
+    for part in slices(batches, "t"):
+        for t in part.column("t").to_pylist():
+            counts.update(set(terms(t)))
+            if len(counts) > 300_000:
+                yield flush(counts)
+                counts = Counter()
+    yield flush(counts)
+
+
+_WINDOWS = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("own", pa.float64()),
+                               ("other", pa.list_(pa.struct([("term", pa.string()), ("k", pa.int64())])))]))
 
 
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index, number = sent.value, TaskContext.get().partitionId() << 40
         for part in slices(batches, "t"):
-            found = [index.best(t) for t in part.column("t").to_pylist()]
+            found = [index.candidates(t) for t in part.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("path"), pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], ["id", "path", "own", "cosine"])
+                [part.column("id"), part.column("path"), pa.array(range(number, number + len(found)), pa.int64()),
+                 pa.array(found, _WINDOWS)], ["id", "path", "row", "windows"])
+            number += len(found)
     return run
 
 
+def _best_windows(scanned: DataFrame, frequency: DataFrame, files: int, min_cosine: float) -> DataFrame:
+    """``(row, own, cosine)`` of the rows with a window at or above ``min_cosine``."""
+    windows = scanned.select("row", F.posexplode("windows").alias("at", "x")).select("row", "at", "x.*")
+    other = windows.select("row", "at", F.explode("other").alias("x")).select("row", "at", "x.term", "x.k")
+    idf = F.log((F.lit(files) + 1) / (F.col("n") + 1)) + 1
+    other = other.join(frequency, "term").groupBy("row", "at").agg(F.sum((F.col("k") * idf) ** 2).alias("rest"))
+    cosine = F.col("dot") / F.sqrt(F.col("own") + F.coalesce("rest", F.lit(0.0)))
+    found = windows.drop("other").join(other, ["row", "at"], "left").withColumn("cosine", cosine).filter(F.col("cosine") >= min_cosine)
+    first = F.min(F.struct((-F.round("cosine", 12)).alias("down"), "name", F.least("cosine", F.lit(1.0)).alias("cosine")))
+    return found.groupBy("row").agg(first.alias("x")).select("row", F.col("x.name").alias("own"), "x.cosine")
+
+
 def _directory(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
@@ -126,14 +171,18 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """Per file: id, path, license, cosine, origin (header, inherited, none) and the directory it came from."""
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("t"))
-    vocabulary = frozenset(t for x in templates.values() for t in terms(x))
-    counts = rows.select("t").mapInArrow(_document_frequency(vocabulary), "term string, n bigint") \
-        .groupBy("term").agg(F.sum("n").alias("n")).collect()
-    index = TemplateIndex(templates, {r[0]: r[1] for r in counts}, files.count(), min_cosine)
+    vocabulary = sorted({t for x in templates.values() for t in terms(x)})
+    frequency = materialize(rows.select("t").mapInArrow(_document_frequency, "term string, n bigint")
+                            .groupBy("term").agg(F.sum("n").alias("n")))
+    counts = frequency.filter(F.col("term").isin(vocabulary)).collect()
+    n_files = files.count()
+    index = TemplateIndex(templates, {r[0]: r[1] for r in counts}, n_files, min_cosine)
     kind = files.schema[id_col].dataType.simpleString()
-    scanned = materialize(rows.mapInArrow(_scan(spark.sparkContext.broadcast(index)),
-                                          f"id {kind}, path string, own string, cosine double")
-                          .withColumn("dir", _directory(F.col("path"))))
+    scanned = materialize(rows.mapInArrow(
+        _scan(spark.sparkContext.broadcast(index)), f"id {kind}, path string, row bigint, "
+        "windows array<struct<name:string,dot:double,own:double,other:array<struct<term:string,k:bigint>>>>"))
+    best = _best_windows(scanned, frequency, n_files, min_cosine)
+    scanned = materialize(scanned.drop("windows").join(best, "row", "left").drop("row").withColumn("dir", _directory(F.col("path"))))
     licensed = scanned.filter(F.regexp_replace("path", "^.*/", "").rlike(LICENSE_FILE) & F.col("own").isNotNull())
     licensed = licensed.groupBy("dir").agg(F.max_by("own", F.struct("cosine", "own")).alias("inherited"))
     # each directory with itself and all its ancestors, the deepest licensed one wins

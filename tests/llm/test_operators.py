@@ -146,6 +146,20 @@ def test_license_anchor_windows_miss_nothing(texts):
         assert (own == 0.0 and best < 0.85) or abs(own - best) < 1e-9
 
 
+def test_license_other_terms_weigh_by_their_frequency(spark):
+    header = "is licensed under Apache License, Version 2.0"
+    rows = [(i, f"a{i}/f", "it is a text") for i in range(300)] + [(300, "b/f", header), (301, "c/f", header.replace("is", "zyx", 1))]
+    files = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = rows_of(license_cosine.scan_licenses(files))
+    df = Counter(t for r in rows for t in set(license_cosine.terms(r[2])))
+    idf = lambda t: math.log((len(rows) + 1) / (df[t] + 1)) + 1
+    a, b = ({t: idf(t) for t in license_cosine.terms(x)} for x in (header, license_cosine.TEMPLATES["Apache-2.0"]))
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = sum(a[t] * b[t] for t in a.keys() & b.keys()) / norm(a) / norm(b)
+    assert want > 0.85 and got[300]["license"] == "Apache-2.0" and abs(got[300]["cosine"] - want) < 1e-9
+    assert got[301]["license"] is None and got[0]["license"] is None
+
+
 def test_op3_covers_the_table(spark):
     got = QUERIES["op3_license_cosine"](spark, SF001)
     assert got.count() == 200 and got.filter("origin = 'header'").count() > 0
