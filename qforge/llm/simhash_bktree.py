@@ -178,7 +178,12 @@ def _links(radius: int):
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = 3, radius: int = 2, hot: int = HOT_SHARD) -> DataFrame:
     """``(id, fp, component)`` per document; ``component`` the smallest id reachable."""
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle))
+    return _components(materialize(fingerprints(docs, id_col, text_col, shingle)), radius, hot) \
+        .select("id", "fp", "component")
+
+
+def _components(prints: DataFrame, radius: int, hot: int) -> DataFrame:
+    """``prints`` with the ``component`` of its fingerprint and ``root``, a fingerprint that tells components apart."""
     fps = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")))
     shards = _sharded(fps.select("fp"), radius, hot)
     links = materialize(shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(
@@ -186,10 +191,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links)
     linked = fps.join(roots.withColumnRenamed("v", "fp"), "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
-    comp = linked.join(named, "root").select("fp", "component")
+    comp = linked.join(named, "root").select("fp", "root", "component")
     # fingerprints without a link are their own component
-    comp = fps.join(comp, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(comp, "fp").select("id", "fp", "component")
+    comp = fps.join(comp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"),
+                                               F.coalesce("component", "least").alias("component"))
+    return prints.join(comp, "fp")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -198,19 +204,31 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id.
+    """One row of each component that has an id: the smallest id, of its texts the smallest fingerprint.
 
-    Of rows that repeat an id one stays.  Rows with a null id cannot be told
-    apart by id: they stay unless their component has a document with an id.
+    Rows are told apart by id and text, so a row goes only if it is linked to
+    the one kept: rows that share an id but are not linked stay, and rows with
+    a null id stay unless their component has a document with an id.
     """
-    comp = simhash_components(docs, id_col, text_col, shingle, radius)
-    gone = materialize(comp.filter(F.col("component").isNotNull() & ~F.col("id").eqNullSafe(F.col("component")))
-                       .select(F.col("id").alias("__gone")).distinct())
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    twice = materialize(comp.groupBy("id").count().filter("count > 1 and id is not null")
-                        .select(F.col("id").alias("__twice")))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, F.col(id_col) == F.col("__twice"), "left_anti")
-    again = kept.join(twice, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    h = F.xxhash64(text_col)
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), h.alias("h")).alias("key"), F.col(text_col).alias("text"))
+    prints = fingerprints(keyed, "key", "text", shingle).select("id.*", "fp")
+    comp = materialize(_components(materialize(prints), radius, HOT_SHARD).filter(F.col("component").isNotNull()))
+    least = F.col("id").eqNullSafe(F.col("component"))
+    twice = materialize(comp.filter(least).groupBy("id", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "h")).alias("kept")).filter("n > 1").select("id", "root", "kept.h"))
+    gone = comp.filter(~least).select("id", "h")
+    repeated = not twice.isEmpty()
+    if repeated:
+        other = twice.withColumnRenamed("h", "kept")
+        gone = gone.unionByName(comp.filter(least).join(other, ["id", "root"]).filter("h != kept").select("id", "h"))
+    gone = materialize(gone.distinct().select(F.col("id").alias("__gone"), F.col("h").alias("__gone_h")))
+    kept = docs.withColumn("__h", h)
+    kept = kept.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__h") == F.col("__gone_h")), "left_anti")
+    if not repeated:
+        return kept.drop("__h")
+    twice = twice.select(F.col("id").alias("__twice"), F.col("h").alias("__twice_h")).distinct()
+    same = (F.col(id_col) == F.col("__twice")) & (F.col("__h") == F.col("__twice_h"))
+    once = kept.join(twice, same, "left_anti")
+    again = kept.join(twice, same, "left_semi").dropDuplicates([id_col, "__h"])
+    return once.unionByName(again).drop("__h")

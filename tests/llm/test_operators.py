@@ -382,6 +382,17 @@ def test_simhash_odd_rows(odd_docs, no_docs):
     assert simhash_bktree.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_remove_linked_rows_only(spark):
+    a, b, c = (" ".join(item(seed, 60)) for seed in (41, 42, 43))
+    rows = [(1, a, "x"), (None, a, "x"), (None, "clean words of no id", "x"), (None, "clean words of no id", "x"),
+            (5, b, "x"), (5, c, "x"), (7, b, "x"), (4, c.upper(), "x"), (8, b + " ", "x"), (8, " ".join(item(44, 60)), "x"),
+            (9, "one two", "x"), (9, "one two", "x"), (9, "ONE two", "x"), (9, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = sorted((r["doc_id"] or -1, (r["text"] or "").lower()) for r in simhash_bktree.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(1, a), (-1, "clean words of no id"), (-1, "clean words of no id"), (5, b), (4, c),
+                           (8, " ".join(item(44, 60))), (9, "one two"), (9, "")])
+
+
 # 6 --------------------------------------------------------------------------
 def slow_capacity(sizes, shards):
     def fits(c):
