@@ -15,7 +15,8 @@ DataFrame aggregations, a written table per sweep.
 Defined cases: a null category is the category ``(null)``; a null or empty
 text has no words and counts as one token, so that it belongs to a cell with
 weight; rows with equal id and text are drawn alike; targets without tokens
-are ignored and the others rescaled; an empty table gives an empty result.
+are ignored and the others rescaled; a category that explicit targets leave
+out has share zero; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ def _rake_cells(cells: DataFrame, targets: dict[str, dict[str, float]], budget:
         step = cells.withColumn("old", F.col("p"))
         for m in MARGINS:
             now = step.groupBy(m).agg(F.sum(F.col("tokens") * F.col("p")).alias("now"))
-            factor = now.join(goals[m], m).select(m, F.when(
-                F.col("now") > 0, F.col("share") * whole / F.col("now")).otherwise(1.0).alias("factor"))
+            factor = now.join(goals[m], m, "left").select(m, F.when(
+                F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * whole / F.col("now")).otherwise(1.0).alias("factor"))
             step = step.join(factor, m, "left").withColumn(
                 "p", F.least(F.lit(1.0), F.col("p") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
         step = materialize(step)

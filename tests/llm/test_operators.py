@@ -564,6 +564,15 @@ def test_driver_and_table_paths_agree(spark):
         assert abs(r["probability"] - many[k]["probability"]) < 1e-5
 
 
+def test_partial_targets_on_both_paths(spark):
+    docs = spark.createDataFrame([(i, "some words here", "ab"[i % 2], "xy"[i // 2 % 2]) for i in range(40)],
+                                 "doc_id bigint, text string, source string, lang string")
+    targets = {"source": {"a": 1.0}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"prose": 1.0}}
+    for cells in (50_000, 0):
+        p = {(r["source"], r["probability"] > 0) for r in mixture_raking.mixture_frame(docs, targets, driver_cells=cells).collect()}
+        assert p == {("a", True), ("b", False)}
+
+
 def test_mixture_odd_rows(odd_docs, no_docs):
     got = mixture_raking.mixture_frame(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(0 <= r["probability"] <= 1 for r in got)
