@@ -10,6 +10,13 @@ separators, letter case and lengths stay, check digits are right again if
 they were, dates stay dates.  A permutation is one-to-one, so equal values
 get equal pseudonyms in every document and different values different ones.
 
+A phone number is its country code (ITU prefixes; national layouts of ten
+digits are of country 1) and national digits, a date its day, so one value in
+two layouts has one pseudonym.  A number with trunk 0 has no known country
+and is linked to its like only.  Dates keep their hundred years (1970-2069
+and so on, which a two-digit year belongs to) and whether their day is above
+12, so that they read in the same order.
+
 Everything happens inside a row: no shuffle, no state.
 
 Defined cases: a null text stays null with zero counts; text without a
@@ -22,7 +29,10 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,22 +42,37 @@ from .common import slices
 
 KEY = b"replace-this-key"
 KINDS = ("email", "iban", "secret", "ip", "date", "card", "ssn", "phone")
+#: Month names by language, full and short.
+_MONTHS = [x.split() for x in (
+    "january february march april may june july august september october november december",
+    "jan feb mar apr may jun jul aug sep oct nov dec",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre")]
+_MONTH = "|".join(sorted({m for names in _MONTHS for m in names} | {"sept"}, key=lambda m: (-len(m), m)))
 _PATTERN = re.compile(
     r"(?P<email>[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<secret>\b(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b)"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
-    r"|(?P<date>(?<!\d)(?:\d{4}([-/.])\d{2}\6\d{2}|\d{2}([-/.])\d{2}\7\d{4})(?!\d))"
+    r"|(?P<date>(?<!\d)(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\d)"
+    r"|(?<![\d./-])(?:\d{1,2}(?P<s3>[-/])\d{1,2}(?P=s3)\d{2}|\d{2}\.\d{2}\.\d{2})(?![\d/-]|\.\d)"
+    rf"|(?<![\d.])\d{{1,2}}(?:st|nd|rd|th|\.)?[ -](?:of |de )?(?i:{_MONTH})\.?,?[ -](?:de )?\d{{4}}(?!\d)"
+    rf"|\b(?i:{_MONTH})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-    r"|\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d.]*\d))"
+    r"|(?:\+|(?<![\d.])00(?=[1-9]\d{0,2}[ .-]))\d{1,3}[ .-]?(?:\(0\) ?)?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d.]*\d)"
+    r"|(?<![\d.+-])(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}(?![\d-]|\.\d)"
+    r"|(?<![\d.+/-])(?=(?:[ ()/-]*\d){9,12}(?![ /-]?\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{2,8}(?:[ -]\d{2,4}){0,4}(?![\d/-]|\.\d))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))")
 #: Alphabets that stay within themselves.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
               "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])),
               "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)])))
 _CLASS = {c: a for a in _ALPHABETS for c in a}
-_DAY0, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
+#: ITU country codes of one and two digits; all others have three.
+_SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 "
+                         "65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes, rounds: int = 8) -> int:
@@ -128,29 +153,91 @@ def _ip(value: str, key: bytes) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
+@lru_cache(maxsize=128)
+def _days(block: int, late: bool) -> array:
+    """Ordinals of the days of a hundred years, those up to the 12th of a month or those after."""
+    first, end = dt.date(max(1, 100 * block - 30), 1, 1).toordinal(), dt.date(min(9999, 100 * block + 69), 12, 31).toordinal()
+    return array("l", (n for n in range(first, end + 1) if (dt.date.fromordinal(n).day > 12) == late))
+
+
+def _permuted_day(year: int, month: int, day: int, key: bytes) -> dt.date | None:
+    try:
+        at = dt.date(year, month, day).toordinal()
+    except ValueError:
+        return None
+    block, late = (year + 30) // 100, day > 12
+    days = _days(block, late)
+    return dt.date.fromordinal(days[permute(bisect_left(days, at), len(days), key, b"date%d%d" % (block, late))])
+
+
+def _named_date(value: str, name: re.Match, key: bytes) -> str | None:
+    """A date with the name of its month."""
+    word = name.group()
+    low = "sep" if word.lower() == "sept" else word.lower()
+    number = {m.start(): m for m in re.finditer(r"\d+", value)}
+    year, day = max(number), min(number)
+    # names shared by languages: the language of the other words cannot be known, the first is taken
+    names = next(x for x in _MONTHS if low in x)
+    new = _permuted_day(int(number[year].group()), names.index(low) + 1, int(number[day].group()), key)
+    if new is None:
+        return None
+    month = names[new.month - 1]
+    month = month.upper() if word.isupper() else month.title() if word[0].isupper() else month
+    text = f"{new.day:02d}" if number[day].group()[0] == "0" else str(new.day)
+    end = number[day].end()
+    suffix = re.match(r"st|nd|rd|th", value[end:])
+    if suffix:
+        text += "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        end += 2
+    parts = sorted([(day, end, text), (*name.span(), month), (year, number[year].end(), f"{new.year:04d}")])
+    out, at = "", 0
+    for a, b, x in parts:
+        out, at = out + value[at:a] + x, b
+    return out + value[at:]
+
+
 def _date(value: str, key: bytes) -> str | None:
     """Year first, else day first if that is a date, else month first."""
+    if name := re.search(rf"(?i:{_MONTH})", value):
+        return _named_date(value, name, key)
     sep = re.search(r"\D", value).group()
-    parts = [int(x) for x in value.split(sep)]
-    for order in ((0, 1, 2),) if parts[0] > 999 else ((2, 1, 0), (2, 0, 1)):
-        try:
-            day = dt.date(*(parts[i] for i in order))
-        except ValueError:
+    given = value.split(sep)
+    parts = [int(x) for x in given]
+    for order in ((0, 1, 2),) if len(given[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
+        year, month, day = (parts[i] for i in order)
+        if short := len(given[order[0]]) == 2:
+            year += 2000 if year < 70 else 1900
+        new = _permuted_day(year, month, day, key)
+        if new is None:
             continue
-        at = (day - _DAY0).days
-        if not 0 <= at < _DAYS:
-            return None
-        # a day-first date must stay one that reads day first, a month-first one that does not
-        while True:
-            at = permute(at, _DAYS, key, b"date")
-            new = _DAY0 + dt.timedelta(at)
-            if order != (2, 0, 1) or new.day > 12:
-                break
-        text = {0: f"{new.year:04d}", 1: f"{new.month:02d}", 2: f"{new.day:02d}"}
+        wide = 2 if all(len(given[i]) == 2 for i in order[1:]) else 1
+        text = [f"{new.year % 100:02d}" if short else f"{new.year:04d}", f"{new.month:0{wide}d}", f"{new.day:0{wide}d}"]
         return sep.join(text[order.index(i)] for i in range(3))
     return None
 
 
+def _phone(value: str, key: bytes) -> str | None:
+    """Permute the national digits under their country code."""
+    at = [i for i, c in enumerate(value) if c.isdigit()]
+    digits = "".join(value[i] for i in at)
+    if value[0] == "+" or digits.startswith("00"):
+        skip = 0 if value[0] == "+" else 2
+        n = next((n for n in (1, 2) if digits[skip:skip + n] in _SHORT_CODES), 3)
+        code, skip = digits[skip:skip + n], skip + n
+        if (trunk := value.find("(0)")) >= 0 and at[skip] == trunk + 1:
+            skip += 1
+    elif digits[0] == "0":
+        code, skip = "", 1
+    else:
+        code, skip = "1", len(digits) - 10
+    if skip >= len(digits):
+        return None
+    new = list(value)
+    for i, c in zip(at[skip:], _characters(digits[skip:], key, f"phone{code}")):
+        new[i] = c
+    return "".join(new)
+
+
 def _email(value: str, key: bytes) -> str:
     local, _, domain = value.rpartition("@")
     host, dot, top = domain.rpartition(".")
@@ -163,7 +250,7 @@ _REPLACE = {
     "email": _email, "iban": _iban, "ip": _ip, "date": _date, "card": _card,
     "secret": lambda v, k: _characters(v, k, "hex", _HEX if v == v.lower() else _UPPER_HEX),
     "ssn": lambda v, k: _characters(v, k, "ssn"),
-    "phone": lambda v, k: v[:(n := re.match(r"\+\d{1,3}", v).end())] + _characters(v[n:], k, "phone"),
+    "phone": _phone,
 }
 
 

@@ -477,6 +477,28 @@ def test_pseudonyms_keep_formats():
     assert all(0 <= int(x) < 256 for x in ip.split(".")) and set(secret) <= set("0123456789abcdef")
 
 
+def test_layouts_of_one_value_stay_linked():
+    def new(text, kind):
+        out, n = feistel_pii.pseudonymize_text(f"on {text} x")
+        assert n[kind] == 1 and out != f"on {text} x", text
+        return out[3:-2]
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    us = {digits(new(t, "phone"))[-10:] for t in (
+        "+1 (555) 123-4567", "+15551234567", "(555) 123-4567", "555-123-4567", "1-555-123-4567", "555.123.4567")}
+    assert len(us) == 1
+    german = {digits(new(t, "phone"))[-10:] for t in ("+49 30 12345678", "+49 (0)30 12345678", "+493012345678", "0049 30 12345678")}
+    assert len(german) == 1 and new("030 12345678", "phone")[:1] == "0"
+    days = {new("2021-03-14", "date"), "-".join(f"{int(x):02d}" for x in new("14.3.2021", "date").split(".")[::-1])}
+    assert len(days) == 1
+    day = dt.datetime.strptime(days.pop(), "%Y-%m-%d")
+    for text, form in (("3/14/2021", "%m/%d/%Y"), ("14/03/2021", "%d/%m/%Y"), ("March 14, 2021", "%B %d, %Y"), ("14 Mar 2021", "%d %b %Y")):
+        assert dt.datetime.strptime(new(text, "date"), form) == day
+    assert new("3/14/21", "date") == f"{day.month}/{day.day}/{day.year % 100:02d}"
+    assert new("14. März 2021", "date").endswith(str(day.year)) and new("May 3rd, 1815", "date")
+    for text in ("2/30/2021", "99/99/99", "1.2.10", "07-2021"):
+        assert feistel_pii.pseudonymize_text(text)[0] == text
+
+
 def test_op7_links_equal_values(spark, texts):
     got = rows_of(QUERIES["op7_feistel_pii"](spark, SF001))
     assert len(got) == len(texts)
