@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention_lm import score_documents
+from .best_position import search_documents
 from .common import prepare, table
 from .feistel_pii import pseudonymize
 from .language_mixture import identify_languages
@@ -17,6 +18,7 @@ from .mixture_raking import mixture_frame
 from .quality_cascade import quality_frame
 from .simhash_bktree import hex_fingerprint, simhash_components
 from .string_tiling import leaked_pairs
+from .token_alignment import align_tokenizers
 from .window_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +127,32 @@ FROM f
 def op10(spark, sf_dir):
     """Base features and the cascade's verdict of each document."""
     return quality_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op11_best_position", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, unnest(list_distinct(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+d AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY r, term),
+x AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+      FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c),
+m AS (SELECT r, doc_id, 10 + (90 * n * docs) // total AS m FROM d, c),
+s AS (SELECT q.i, q.item_id, m.r, m.doc_id, sum(x.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+      FROM q JOIN p ON p.term = q.term JOIN x ON x.term = q.term JOIN m ON m.r = p.r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def op11(spark, sf_dir):
+    """The ten best documents of each benchmark item by impact lists and best positions."""
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_shared_cuts")
+def op12(spark, sf_dir):
+    """Groups of both tokenizers' tokens between shared cuts and the corpus counts of linked ids."""
+    return align_tokenizers(table(spark, sf_dir, "documents"), digest=True)
