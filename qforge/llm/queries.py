@@ -16,6 +16,7 @@ from .license_cosine import derived_path, scan_licenses
 from .minimax_shards import shard_frame
 from .mixture_raking import mixture_frame
 from .quality_cascade import quality_frame
+from .signature_trees import jaccard_components
 from .simhash_bktree import hex_fingerprint, simhash_components
 from .string_tiling import leaked_pairs
 from .token_alignment import align_tokenizers
@@ -156,3 +157,29 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     """Groups of both tokenizers' tokens between shared cuts and the corpus counts of linked ids."""
     return align_tokenizers(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op13_signature_trees", r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+g AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+             END AS g FROM t),
+-- equal sets are one vertex
+k AS MATERIALIZED (SELECT r, doc_id, len(g)::BIGINT AS n, g, dense_rank() OVER (ORDER BY list_sort(g)) AS v FROM g),
+s AS MATERIALIZED (SELECT v, n, unnest(g) AS x FROM (SELECT DISTINCT ON (v) v, n, g FROM k)),
+m AS MATERIALIZED (SELECT v, n, x FROM (SELECT *, count(*) OVER (PARTITION BY x) AS c FROM s) WHERE c > 1),
+e AS MATERIALIZED (SELECT a.v AS a, b.v AS b FROM m a JOIN m b ON a.x = b.x AND a.v <> b.v
+                   AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      GROUP BY a.v, b.v, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+c AS (SELECT DISTINCT v AS v, v AS u FROM k WHERE n > 0 UNION SELECT c.v, e.b FROM c JOIN e ON e.a = c.u),
+l AS (SELECT v, min(doc_id) AS least FROM k GROUP BY v),
+o AS (SELECT c.v, min(l.least) AS component FROM c JOIN l ON l.v = c.u GROUP BY c.v)
+SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE o.component END AS component_id
+FROM k LEFT JOIN o ON o.v = k.v
+""")
+def op13(spark, sf_dir):
+    """Components of documents whose sets of four-word shingles have 85 % of their union in common."""
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
