@@ -11,9 +11,10 @@ slice share last, by how many they are, all others first by hash: a passage
 that very many documents hold is then among the first shingles only of
 documents that have little else.  The counts are taken from all documents;
 they make the search faster and cannot change its result.  Sets with a first
-shingle in common are candidates (each is joined to the smallest of them),
-and the connected components of candidates are families: every link lies
-inside one family.
+shingle in common are chained in the order of their sizes, and a chain breaks
+where the next size is too large for a link; equal sizes are first joined to
+one of them, by a partial aggregation.  The connected components of these
+chains are families: every link lies inside one family.
 
 A family is cut into blocks of bounded size, sets with the same smallest
 hash together.  Each block is searched with its family's first block; then
@@ -26,7 +27,8 @@ traversed against itself: a pair of nodes goes on only if the largest
 overlap its bitmaps allow reaches what the smallest sizes need, if the size
 ranges are compatible, and if not all below is one component already.  Pairs
 of sets that come through are compared exactly.  A task reports for each set
-the first set of its component, never all pairs.
+the first set of its component, never all pairs.  Sets are made anew from
+the texts where they are needed: a text takes less room than its shingles.
 
 Defined cases: null texts and texts without words have no shingles and link
 with nothing (each its own component); a text with fewer words than a
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -95,16 +97,17 @@ def _set_rows(shingle: int):
             shared, rest = n > 1, [None] * (part.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
+                 pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()),
                  pa.array([value[shared].view(np.int64)] + rest, pa.list_(pa.int64())),
-                 pa.array([n[shared]] + rest, pa.list_(pa.int64()))], ["id", "h", "n", "v", "shared", "times"])
+                 pa.array([n[shared]] + rest, pa.list_(pa.int64()))], ["id", "h", "n", "v", "m", "shared", "times"])
     return run
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, h, n, v, shared[], times[])``: hash of the text, size and key of its set, shared shingles of its slice."""
+    """``(id, h, n, v, m, shared[], times[])``: hash of the text; size, key and smallest hash of its set; shared shingles of its slice."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(
-        _set_rows(shingle), f"id {kind}, h bigint, n bigint, v bigint, shared array<bigint>, times array<bigint>")
+        _set_rows(shingle), f"id {kind}, h bigint, n bigint, v bigint, m bigint, shared array<bigint>, times array<bigint>")
 
 
 def frequent_shingles(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +141,27 @@ def _first_rows(frequent, shingle: int, percent: int):
         for part in slices(batches, "t"):
             sets = {set_key(s): s for s in (shingle_set(t, shingle) for t in part.column("t").to_pylist())}
             found = [first_shingles(s, frequent.value, percent) for s in sets.values()]
+            times = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64)),
-                 pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(f) for f in found]))], ["h", "v"])
+                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), times)),
+                 pa.array(np.repeat(np.array([len(s) for s in sets.values()], np.int64), times))], ["x", "v", "n"])
     return run
 
 
 def families(docs: DataFrame, sets: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
              percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
-    """``(v, family)`` of the sets that share a first shingle with another set."""
+    """``(v, family)`` of the sets that share a first shingle with a set of a fitting size."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(sets, most))
     rows = materialize(docs.select(F.col(text_col).alias("t")).mapInArrow(
-        _first_rows(frequent, shingle, percent), "h bigint, v bigint"))
-    shared = materialize(rows.groupBy("h").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a <> z").select("h", "a"))
-    edges = rows.join(shared, "h").filter("a <> v").select("a", F.col("v").alias("b")).distinct()
-    return connected_components(edges).withColumnRenamed("root", "family")
+        _first_rows(frequent, shingle, percent), "x bigint, v bigint, n bigint"))
+    shared = materialize(rows.groupBy("x").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a <> z").select("x"))
+    rows = materialize(rows.join(shared, "x"))
+    sized = materialize(rows.groupBy("x", "n").agg(F.min("v").alias("a")))
+    equal = rows.join(sized, ["x", "n"]).filter("a <> v").select("a", F.col("v").alias("b"))
+    before = Window.partitionBy("x").orderBy("n")
+    chain = sized.select("a", F.lag("a").over(before).alias("b"), "n", F.lag("n").over(before).alias("less"))
+    chain = chain.filter((100 * F.col("less") >= percent * F.col("n")) & (F.col("a") != F.col("b"))).select("a", "b")
+    return connected_components(equal.unionByName(chain).distinct()).withColumnRenamed("root", "family")
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -255,18 +264,7 @@ class SignatureTree:
         return np.array([find(v) for v in range(len(up))])
 
 
-def _chosen_rows(shingle: int):
-    """Each set of the slice once, with its smallest hash: sets with much in common mostly share it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t"):
-            sets = {set_key(s): s for s in (shingle_set(t, shingle) for t in part.column("t").to_pylist()) if len(s)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sets), pa.int64()), pa.array([s[:1].view(np.int64)[0] for s in sets.values()], pa.int64()),
-                 pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64()))], ["v", "m", "s"])
-    return run
-
-
-def _search_rows(percent: int):
+def _search_rows(shingle: int, percent: int):
     """The stars of each run of equal ``task``; rows are ordered by (task, m, v)."""
     def stars(v: list[int], label: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         v = np.array(v, np.int64)
@@ -281,35 +279,39 @@ def _search_rows(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, ([], [], [])
-        for batch in batches:
-            sets = batch.column("s")
-            for i, (own, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("task", "v", "label")))):
+        for part in slices(batches, "t"):
+            for own, v, label, text in zip(*(part.column(c).to_pylist() for c in ("task", "v", "label", "t"))):
                 if own != task and rows[0]:
                     yield stars(*rows)
                     rows = ([], [], [])
                 task = own
-                for column, value in zip(rows, (*row, sets[i].values.to_numpy().view(np.uint64))):
-                    column.append(value)
+                if rows[0] and rows[0][-1] == v:
+                    continue  # a copy
+                found = shingle_set(text, shingle)
+                if set_key(found) == v:  # else only the hash of the text is the same
+                    for column, value in zip(rows, (v, label, found)):
+                        column.append(value)
         if rows[0]:
             yield stars(*rows)
     return run
 
 
-def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Links inside each task of ``rows(task, v, m, label, s)``."""
-    return materialize(rows.select("task", "v", "m", "label", "s").repartition("task").sortWithinPartitions("task", "m", "v")
-                       .mapInArrow(_search_rows(percent), "a bigint, b bigint"))
+def _searched(texts: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links inside each task of ``rows(task, v, m, label, h)``; ``texts(h, t)``."""
+    rows = texts.join(rows.select("task", "v", "m", "label", "h"), "h").drop("h")
+    return materialize(rows.repartition("task").sortWithinPartitions("task", "m", "v").mapInArrow(
+        _search_rows(shingle, percent), "a bigint, b bigint"))
 
 
 def _blocked(members: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
-    """``members(v, family, m, s)`` with ``block`` from 0 and the number of ``blocks`` of the family."""
-    load = lambda: F.greatest(F.count(F.lit(1)) / block_sets, F.sum(F.size("s")) / block_shingles)
-    spread = members.groupBy("family").agg(F.ceil(load()).alias("spread"))
+    """``members(v, family, m, n, h)`` with ``block`` from 0 and the number of ``blocks`` of the family."""
+    load = F.greatest(F.count(F.lit(1)) / block_sets, F.sum("n") / block_shingles)
+    spread = members.groupBy("family").agg(F.ceil(load).alias("spread"))
     # sets with one smallest hash stay together while they fit
     near = members.join(spread.filter("spread > 1"), "family").withColumn("near", F.pmod(F.xxhash64("m"), "spread"))
-    parts = near.groupBy("family", "near").agg(F.ceil(load()).alias("parts"))
+    parts = near.groupBy("family", "near").agg(F.ceil(load).alias("parts"))
     near = near.join(parts, ["family", "near"]).select("family", "v", "near", F.pmod(F.xxhash64("v"), "parts").alias("part"))
-    names = materialize(near.select("family", "near", "part").distinct())
+    names = near.select("family", "near", "part").distinct()
     count = names.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("near", "part"))).alias("all"))
     places = count.select("family", F.size("all").alias("blocks"), F.posexplode("all").alias("block", "x")).select(
         "family", "blocks", "block", "x.near", "x.part")
@@ -317,28 +319,30 @@ def _blocked(members: DataFrame, block_sets: int, block_shingles: int) -> DataFr
     return members.join(placed, ["family", "v"], "left").fillna({"blocks": 1, "block": 0})
 
 
-def _summary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """OR of the sets of each run of one block inside a batch."""
-    for batch in batches:
-        sets = [x.values.to_numpy().view(np.uint64) for x in batch.column("s")]
-        names = list(zip(batch.column("family").to_pylist(), batch.column("block").to_pylist()))
-        start = [i for i, x in enumerate(names) if i == 0 or x != names[i - 1]]
-        bitmap = _bitmaps(sets, SUMMARY_BITS)
-        size = np.array([len(s) for s in sets], np.int64)
-        extra = np.maximum.reduceat(size - np.bitwise_count(bitmap).sum(1, dtype=np.int64), start)
-        words = np.bitwise_or.reduceat(bitmap, start, axis=0).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([names[i][k] for i in start], t) for k, t in ((0, pa.int64()), (1, pa.int32()))), pa.array(extra),
-             pa.array(list(words), pa.list_(pa.int64()))], ["family", "block", "extra", "words"])
+def _summary_rows(shingle: int):
+    """OR of the sets of each run of one block inside a slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            sets = [shingle_set(t, shingle) for t in part.column("t").to_pylist()]
+            names = list(zip(part.column("family").to_pylist(), part.column("block").to_pylist()))
+            start = [i for i, x in enumerate(names) if i == 0 or x != names[i - 1]]
+            bitmap = _bitmaps(sets, SUMMARY_BITS)
+            size = np.array([len(s) for s in sets], np.int64)
+            extra = np.maximum.reduceat(size - np.bitwise_count(bitmap).sum(1, dtype=np.int64), start)
+            words = np.bitwise_or.reduceat(bitmap, start, axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([names[i][k] for i in start], t) for k, t in ((0, pa.int64()), (1, pa.int32()))), pa.array(extra),
+                 pa.array(list(words), pa.list_(pa.int64()))], ["family", "block", "extra", "words"])
+    return run
 
 
-def _block_pairs(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(texts: DataFrame, blocks: DataFrame, labels: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``(family, x, y)``: blocks other than the first that may hold a link between two components."""
     rows = blocks.filter("blocks > 2 AND block > 0")
-    state = rows.select("family", "block", "v", F.size("s").alias("n")).join(labels, "v").groupBy("family", "block").agg(
+    state = rows.join(labels, "v").groupBy("family", "block").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("one"), F.max("label").alias("other"))
-    words = rows.select("family", "block", "s").sortWithinPartitions("family", "block").mapInArrow(
-        _summary_rows, "family bigint, block int, extra bigint, words array<bigint>")
+    words = texts.join(rows.select("h", "family", "block"), "h").drop("h").sortWithinPartitions("family", "block").mapInArrow(
+        _summary_rows(shingle), "family bigint, block int, extra bigint, words array<bigint>")
     words = words.select("family", "block", "extra", F.posexplode("words")).groupBy("family", "block", "pos").agg(
         F.max("extra").alias("extra"), F.bit_or("col").alias("word"))
     words = words.groupBy("family", "block").agg(F.max("extra").alias("extra"), F.transform(F.array_sort(F.collect_list(
@@ -353,24 +357,23 @@ def _block_pairs(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFram
         "family", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
 
 
-def family_links(members: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS,
-                 block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``(a, b)``: links that connect the sets of ``members(v, family, m, s)`` as far as links connect them."""
+def family_links(texts: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
+                 block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``(a, b)``: links that connect the sets of ``members(v, family, m, n, h)`` as far as links connect them."""
     blocks = materialize(_blocked(members, block_sets, block_shingles))
     # the first block of a family goes with each of the others
     tasks = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))) \
         .otherwise(F.array("block"))
     alone = blocks.withColumn("label", F.col("v")).withColumn("task", F.explode(tasks))
-    links = _searched(alone.withColumn("task", F.xxhash64("family", "task")), percent)
+    links = _searched(texts, alone.withColumn("task", F.xxhash64("family", "task")), shingle, percent)
     if blocks.filter("blocks > 2").isEmpty():
         return links
     found = connected_components(links)
-    labels = blocks.select("v").join(found, "v", "left").select("v", F.coalesce("root", "v").alias("label"))
-    pairs = materialize(_block_pairs(blocks, labels, percent))
-    name = F.xxhash64("family", "x", "y").alias("task")
-    wanted = pairs.select(name, "family", F.explode(F.array("x", "y")).alias("block"))
+    labels = materialize(blocks.select("v").join(found, "v", "left").select("v", F.coalesce("root", "v").alias("label")))
+    pairs = materialize(_block_pairs(texts, blocks, labels, shingle, percent))
+    wanted = pairs.select(F.xxhash64("family", "x", "y").alias("task"), "family", F.explode(F.array("x", "y")).alias("block"))
     rows = blocks.join(wanted, ["family", "block"]).join(labels, "v")
-    return links.unionByName(_searched(rows, percent))
+    return links.unionByName(_searched(texts, rows, shingle, percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -378,19 +381,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``(id, n, component)`` per document: size of its set, the smallest id reachable by links."""
     sets = materialize(shingle_sets(docs, id_col, text_col, shingle))
-    family = materialize(families(docs, sets, text_col, shingle, percent, frequent))
+    family = families(docs, sets, text_col, shingle, percent, frequent)
     # one text stands for all of its set
-    chosen = materialize(sets.join(family, "v").groupBy("v").agg(F.min("h").alias("h")).select("h").distinct())
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(chosen, "h", "left_semi")
-    members = texts.select("t").mapInArrow(_chosen_rows(shingle), "v bigint, m bigint, s array<bigint>").dropDuplicates(["v"])
-    links = family_links(materialize(members.join(family, "v")), percent, block_sets, block_shingles)
-    roots = connected_components(links)
+    members = sets.join(family, "v").groupBy("v", "family").agg(F.min("h").alias("h"), F.min("m").alias("m"), F.min("n").alias("n"))
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    roots = connected_components(family_links(texts, members, shingle, percent, block_sets, block_shingles))
     copies = sets.filter("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    copies = copies.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    named = copies.groupBy("root").agg(F.min("least").alias("component"))
-    # sets of one document without a link are left out
-    component = materialize(copies.filter("copies > 1 OR root <> v").unionByName(
-        copies.filter("copies = 1 AND root = v").join(roots.select("root").distinct(), "root", "left_semi"))
-        .join(named, "root").select("v", "component", F.lit(True).alias("found")))
+    copies = copies.join(roots, "v", "left")
+    named = copies.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("component"))
+    # sets of one document without a link keep its id
+    copies = copies.filter("copies > 1 OR root IS NOT NULL").select("v", F.coalesce("root", "v").alias("root"))
+    component = materialize(copies.join(named, "root").select("v", "component", F.lit(True).alias("found")))
     return sets.join(component, "v", "left").select(
         "id", "n", F.when(F.col("found"), F.col("component")).otherwise(F.col("id")).alias("component"))
