@@ -4,14 +4,17 @@ A document is the set of its distinct word shingles (64-bit hashes).  Equal
 sets are one vertex, named by 64 bits of hash, so a group of copies of any
 size is one set.  Two sets link when ``percent`` of their union is common.
 
-Sets that link share one of their first ``n - least + 1`` shingles in any
-order that all sets have in common (``least``: the smallest overlap that
-links a set of ``n``).  The order used puts shingles that several sets of a
-slice share last, by how many they are, all others first by hash: a passage
-that very many documents hold is then among the first shingles only of
-documents that have little else.  The counts are taken from all documents;
+Put in an order that all sets have in common, sets that link also have
+neighbours in common: a shingle that only one of two sets has parts at most
+two pairs of neighbours of that set and one of the other.  If ``broken`` is
+the most pairs that can be lost so, one of the first ``broken + 1`` pairs of
+neighbours of each set is a first pair of the other.  Pairs are hardly ever
+shared by chance, as single shingles are in a large corpus.  The order puts
+shingles that several sets of a slice share last, by how many they are, all
+others first by hash: a passage that very many documents hold is then in the
+first pairs only of documents that have little else.  The counts are taken from all documents;
 they make the search faster and cannot change its result.  Sets with a first
-shingle in common are chained in the order of their sizes, and a chain breaks
+pair in common are chained in the order of their sizes, and a chain breaks
 where the next size is too large for a link; equal sizes are first joined to
 one of them, by a partial aggregation.  The connected components of these
 chains are families: every link lies inside one family.
@@ -122,8 +125,8 @@ def frequent_shingles(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray
     return h[order], rank[order]
 
 
-def first_shingles(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The shingles of which every linked set shares one; none if only an equal set can link."""
+def first_pairs(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Hashes of the pairs of neighbours of which every linked set shares one; none if only an equal set can link."""
     n = len(s)
     if 100 * n < percent * (n + 1):
         return s[:0]
@@ -132,15 +135,18 @@ def first_shingles(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], perce
     if len(known):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         order = np.where(known[at] == s, rank[at], 0)
-    least = -(-percent * n // 100)
-    return s[np.lexsort((s, order))[:n - least + 1]]
+    # most shingles that only this set has, and then most that only the other has
+    own = (100 - percent) * n // 100
+    broken = 2 * own + 100 * (n - own) // percent - n
+    first = s[np.lexsort((s, order))[:broken + 2]]
+    return (first[:-1] * _MUL + first[1:]) * _MIX
 
 
 def _first_rows(frequent, shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets = {set_key(s): s for s in (shingle_set(t, shingle) for t in part.column("t").to_pylist())}
-            found = [first_shingles(s, frequent.value, percent) for s in sets.values()]
+            found = [first_pairs(s, frequent.value, percent) for s in sets.values()]
             times = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), times)),
@@ -150,7 +156,7 @@ def _first_rows(frequent, shingle: int, percent: int):
 
 def families(docs: DataFrame, sets: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
              percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
-    """``(v, family)`` of the sets that share a first shingle with a set of a fitting size."""
+    """``(v, family)`` of the sets that share a first pair with a set of a fitting size."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(sets, most))
     rows = materialize(docs.select(F.col(text_col).alias("t")).mapInArrow(
         _first_rows(frequent, shingle, percent), "x bigint, v bigint, n bigint"))
@@ -379,7 +385,9 @@ def family_links(texts: DataFrame, members: DataFrame, shingle: int = SHINGLE, p
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        percent: int = PERCENT, frequent: int = FREQUENT, block_sets: int = BLOCK_SETS,
                        block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``(id, n, component)`` per document: size of its set, the smallest id reachable by links."""
+    """``(id, n, component)`` per document: size of its set, the smallest id reachable by links; ``percent`` from 70."""
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be from 70 to 100: below, small sets that link may have no neighbours in common")
     sets = materialize(shingle_sets(docs, id_col, text_col, shingle))
     family = families(docs, sets, text_col, shingle, percent, frequent)
     # one text stands for all of its set

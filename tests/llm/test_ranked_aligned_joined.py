@@ -267,7 +267,7 @@ def test_signature_tree_finds_the_components():
         assert got.tolist() == root
 
 
-def test_first_shingles_share_one_in_any_order():
+def test_first_pairs_share_one_in_any_order():
     rng = np.random.default_rng(8)
     for _ in range(400):
         n = int(rng.integers(5, 60))
@@ -276,4 +276,4 @@ def test_first_shingles_share_one_in_any_order():
         known = np.sort(rng.choice(x, len(x) // 2, replace=False))
         frequent = known, rng.permutation(len(known)).astype(np.int32) + 1
         if st.linked(x, y) and not np.array_equal(x, y):
-            assert np.intersect1d(st.first_shingles(x, frequent), st.first_shingles(y, frequent)).size
+            assert np.intersect1d(st.first_pairs(x, frequent), st.first_pairs(y, frequent)).size
