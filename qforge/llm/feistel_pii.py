@@ -51,7 +51,7 @@ _MONTHS = [x.split() for x in (
     "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre")]
 _MONTH = "|".join(sorted({m for names in _MONTHS for m in names} | {"sept"}, key=lambda m: (-len(m), m)))
 _PATTERN = re.compile(
-    r"(?P<email>[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<secret>\b(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b)"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
@@ -59,11 +59,11 @@ _PATTERN = re.compile(
     r"|(?<![\d./-])(?:\d{1,2}(?P<s3>[-/])\d{1,2}(?P=s3)\d{2}|\d{2}\.\d{2}\.\d{2})(?![\d/-]|\.\d)"
     rf"|(?<![\d.])\d{{1,2}}(?:st|nd|rd|th|\.)?[ -](?:of |de )?(?i:{_MONTH})\.?,?[ -](?:de )?\d{{4}}(?!\d)"
     rf"|\b(?i:{_MONTH})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?!\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
+    r"|(?P<ssn>(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-]))"
     r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
     r"|(?:\+|(?<![\d.])00(?=[1-9]\d{0,2}[ .-]))\d{1,3}[ .-]?(?:\(0\) ?)?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d.]*\d)"
     r"|(?<![\d.+-])(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}(?![\d-]|\.\d)"
-    r"|(?<![\d.+/-])(?=(?:[ ()/-]*\d){9,12}(?![ /-]?\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{2,8}(?:[ -]\d{2,4}){0,4}(?![\d/-]|\.\d))"
+    r"|(?<![\d.+/-])(?=\(?0)(?=(?:[ ()/-]{0,3}\d){9,12}(?![ /-]?\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{2,8}(?:[ -]\d{2,4}){0,4}(?![\d/-]|\.\d))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))")
 #: Alphabets that stay within themselves.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -108,6 +108,16 @@ def _characters(text: str, key: bytes, tweak: str, alphabets=None) -> str:
     return "".join(reversed(out))
 
 
+def _ssn(value: str, key: bytes) -> str:
+    """Area 001-899 without 666, group 01-99, serial 0001-9999: valid numbers among themselves."""
+    area, group, serial = map(int, value.split("-"))
+    area -= 1 + (area > 666)
+    new = permute((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, b"ssn")
+    new, serial = divmod(new, 9999)
+    area, group = divmod(new, 99)
+    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+
+
 def luhn_digit(digits: str) -> str:
     """Check digit of ``digits``."""
     total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
@@ -249,7 +259,7 @@ _UPPER_HEX = {c: a for a in ("0123456789ABCDEF",) for c in a}
 _REPLACE = {
     "email": _email, "iban": _iban, "ip": _ip, "date": _date, "card": _card,
     "secret": lambda v, k: _characters(v, k, "hex", _HEX if v == v.lower() else _UPPER_HEX),
-    "ssn": lambda v, k: _characters(v, k, "ssn"),
+    "ssn": _ssn,
     "phone": _phone,
 }
 

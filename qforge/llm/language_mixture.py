@@ -21,6 +21,7 @@ one; an empty table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ PER_LANGUAGE = 2000
 BUCKETS = 1 << 18
 PENALTY, ROUNDS = 2.0, 12
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are no letters: numeric signs such as fractions and superscripts.
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMERIC}]+")
 
 
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

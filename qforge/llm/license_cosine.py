@@ -163,7 +163,8 @@ def _best_windows(scanned: DataFrame, frequency: DataFrame, files: int, min_cosi
 
 
 def _directory(path: Column) -> Column:
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    """The folder of a path, the empty string for the root; a null path has none."""
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unsigned_unit, words
+from .common import free_names, materialize, unsigned_unit, words
 
 MARGINS = ("source", "lang", "topic")
 DRIVER_CELLS = 50_000
@@ -148,8 +148,8 @@ def sample_mixture(docs: DataFrame, targets=None, budget: float = 0.5, alpha: fl
     """The sampled rows of ``docs``, all columns unchanged."""
     described = _described(docs, text_col, source_col, lang_col, topic)
     fitted, few = calibrate(_cells(docs.select(*described)), targets, budget, alpha, driver_cells=driver_cells)
-    fitted = fitted.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("p").alias("__p"))
-    keyed = docs.select("*", *[c.alias(f"__{m}") for c, m in zip(described, MARGINS)],
-                        _draw(id_col, text_col, seed).alias("__u"))
-    kept = keyed.join(F.broadcast(fitted) if few else fitted, [f"__{m}" for m in MARGINS]).filter("__u < __p")
+    *own, p, u = free_names(docs, *MARGINS, "p", "u")
+    fitted = fitted.select(*[F.col(m).alias(o) for m, o in zip(MARGINS, own)], F.col("p").alias(p))
+    keyed = docs.select("*", *[c.alias(o) for c, o in zip(described, own)], _draw(id_col, text_col, seed).alias(u))
+    kept = keyed.join(F.broadcast(fitted) if few else fitted, own).filter(F.col(u) < F.col(p))
     return kept.select(*docs.columns)

@@ -6,18 +6,19 @@ size is one set.  Two sets link when ``percent`` of their union is common.
 
 Put in an order that all sets have in common, sets that link also have
 neighbours in common: a shingle that only one of two sets has parts at most
-two pairs of neighbours of that set and one of the other.  If ``broken`` is
-the most pairs that can be lost so, one of the first ``broken + 1`` pairs of
-neighbours of each set is a first pair of the other.  Pairs are hardly ever
-shared by chance, as single shingles are in a large corpus.  The order puts
+two pairs of neighbours of that set and one of the other. If ``broken`` is the
+most pairs that can be lost so, one of the first ``broken + 1`` pairs of
+neighbours of each set is a first pair of the other. Pairs are hardly ever
+shared by chance, as single shingles are in a large corpus. The order puts
 shingles that several sets of a slice share last, by how many they are, all
 others first by hash: a passage that very many documents hold is then in the
-first pairs only of documents that have little else.  The counts are taken from all documents;
-they make the search faster and cannot change its result.  Sets with a first
-pair in common are chained in the order of their sizes, and a chain breaks
-where the next size is too large for a link; equal sizes are first joined to
-one of them, by a partial aggregation.  The connected components of these
-chains are families: every link lies inside one family.
+first pairs only of documents that have little else. The counts are taken from
+all documents; they make the search faster and cannot change its result. Sets
+with a first pair in common are chained in the order of their sizes, and a
+chain breaks where the next size is too large for a link; of equal sizes a
+slice passes on one set and joins the others to it before anything is
+shuffled. The connected components of these chains are families: every link
+lies inside one family.
 
 A family is cut into blocks of bounded size, sets with the same smallest
 hash together.  Each block is searched with its family's first block; then
@@ -143,14 +144,27 @@ def first_pairs(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent:
 
 
 def _first_rows(frequent, shingle: int, percent: int):
+    """``(x, n, v)``: first pair, size and set, one set of each size a slice; ``(v, null, v, u)``: sets joined in the slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets = {set_key(s): s for s in (shingle_set(t, shingle) for t in part.column("t").to_pylist())}
             found = [first_pairs(s, frequent.value, percent) for s in sets.values()]
             times = [len(f) for f in found]
+            x = np.concatenate(found).view(np.int64)
+            v = np.repeat(np.fromiter(sets, np.int64, len(sets)), times)
+            n = np.repeat(np.array([len(s) for s in sets.values()], np.int64), times)
+            order = np.lexsort((v, n, x))
+            x, n, v = x[order], n[order], v[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (n[1:] != n[:-1])
+            first = np.flatnonzero(new)
+            u = v[first][np.cumsum(new) - 1]
+            joined = np.unique(np.stack([v, u], 1)[(~new) & (u != v)], axis=0)
+            pair = np.arange(len(first) + len(joined)) >= len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), times)),
-                 pa.array(np.repeat(np.array([len(s) for s in sets.values()], np.int64), times))], ["x", "v", "n"])
+                [pa.array(np.r_[x[first], joined[:, 0]]), pa.array(np.r_[n[first], joined[:, 0]], mask=pair),
+                 pa.array(np.r_[v[first], joined[:, 0]]), pa.array(np.r_[v[first], joined[:, 1]], mask=~pair)],
+                ["x", "n", "v", "u"])
     return run
 
 
@@ -158,16 +172,13 @@ def families(docs: DataFrame, sets: DataFrame, text_col: str = "text", shingle:
              percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
     """``(v, family)`` of the sets that share a first pair with a set of a fitting size."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(sets, most))
-    rows = materialize(docs.select(F.col(text_col).alias("t")).mapInArrow(
-        _first_rows(frequent, shingle, percent), "x bigint, v bigint, n bigint"))
-    shared = materialize(rows.groupBy("x").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a <> z").select("x"))
-    rows = materialize(rows.join(shared, "x"))
-    sized = materialize(rows.groupBy("x", "n").agg(F.min("v").alias("a")))
-    equal = rows.join(sized, ["x", "n"]).filter("a <> v").select("a", F.col("v").alias("b"))
-    before = Window.partitionBy("x").orderBy("n")
-    chain = sized.select("a", F.lag("a").over(before).alias("b"), "n", F.lag("n").over(before).alias("less"))
-    chain = chain.filter((100 * F.col("less") >= percent * F.col("n")) & (F.col("a") != F.col("b"))).select("a", "b")
-    return connected_components(equal.unionByName(chain).distinct()).withColumnRenamed("root", "family")
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(
+        _first_rows(frequent, shingle, percent), "x bigint, n bigint, v bigint, u bigint")
+    before = Window.partitionBy("x").orderBy("n", "v")
+    chain = rows.select("v", "u", "n", F.lag("v").over(before).alias("last"), F.lag("n").over(before).alias("less"))
+    near = F.when(100 * F.col("less") >= percent * F.col("n"), F.col("last"))
+    edges = chain.select(F.col("v").alias("a"), F.coalesce("u", near).alias("b")).filter("a <> b")
+    return connected_components(edges.distinct()).withColumnRenamed("root", "family")
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import free_names, materialize, slices
 from .components import connected_components
 
 #: Members from which a shard is split by further blocks.
@@ -222,13 +222,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if repeated:
         other = twice.withColumnRenamed("h", "kept")
         gone = gone.unionByName(comp.filter(least).join(other, ["id", "root"]).filter("h != kept").select("id", "h"))
-    gone = materialize(gone.distinct().select(F.col("id").alias("__gone"), F.col("h").alias("__gone_h")))
-    kept = docs.withColumn("__h", h)
-    kept = kept.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__h") == F.col("__gone_h")), "left_anti")
+    own, gone_id, gone_h = free_names(docs, "h", "gone", "gone_h")
+    gone = materialize(gone.distinct().select(F.col("id").alias(gone_id), F.col("h").alias(gone_h)))
+    kept = docs.withColumn(own, h)
+    kept = kept.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_h)), "left_anti")
     if not repeated:
-        return kept.drop("__h")
-    twice = twice.select(F.col("id").alias("__twice"), F.col("h").alias("__twice_h")).distinct()
-    same = (F.col(id_col) == F.col("__twice")) & (F.col("__h") == F.col("__twice_h"))
+        return kept.drop(own)
+    twice = twice.select(F.col("id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
+    same = (F.col(id_col) == F.col(gone_id)) & (F.col(own) == F.col(gone_h))
     once = kept.join(twice, same, "left_anti")
-    again = kept.join(twice, same, "left_semi").dropDuplicates([id_col, "__h"])
-    return once.unionByName(again).drop("__h")
+    again = kept.join(twice, same, "left_semi").dropDuplicates([id_col, own])
+    return once.unionByName(again).drop(own)
