@@ -118,29 +118,51 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-#: Fixed values: (dollars from which the style holds, factor, decimals, suffix).
-COST_STYLES = ((float("-inf"), 1000, 2, " (millicents)"), (0.01, 1, 4, ""), (1.0, 1, 2, ""))
+#: Below the first price costs are shown in millicents, below the second with four decimals.
+MILLICENTS_BELOW, CENTS_FROM = 0.01, 1.0
 
 
-@F.pandas_udf(T.StringType())
-def _cost_text(dollars: "pd.Series") -> "pd.Series":
-    out = dollars.astype(object).where(dollars.notna(), None)
-    edges = [style[0] for style in COST_STYLES] + [float("inf")]
-    for (low, factor, places, suffix), high in zip(COST_STYLES, edges[1:]):
-        hit = (dollars >= low) & ((dollars < high) | (high == float("inf")))
-        out[hit] = [f"${v:.{places}f}{suffix}" for v in dollars[hit] * factor]
-    return out
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once (a lambda variable is not copied into every use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def format_cost(c: str | Column) -> Column:
-    """M6: below $0.01 in millicents, below $1 with 4 dp, else 2 dp.
+def _halves(x: Column) -> tuple[Column, Column]:
+    """``x`` as the sum of two doubles of 26 bits each."""
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def fixed_decimals(value: Column, places: int) -> Column:
+    """``value`` with ``places`` decimals, rounded by its exact binary value (a tie to the even digit).
 
-    Formatting is a display step on small usage tables; it runs as an
-    Arrow-batched helper because JVM ``format_string`` rounds the shortest
-    decimal form half-up (2.335 -> 2.34) while the reference rounds the
-    binary value (2.33).
+    ``format_string`` rounds the shortest decimal form instead (2.335 gives
+    2.34, although the double lies below 2.335).  Here the product with the
+    power of ten is held as a double and its rounding error, both exact.
     """
-    return _cost_text(col_of(c).cast("double"))
+    scale = F.lit(float(10 ** places))
+
+    def digits(size: Column, near: Column) -> Column:
+        (a, b), (c, d) = _halves(size), _halves(scale)
+        error = ((a * c - near) + a * d + b * c) + b * d
+        over = (near - F.floor(near) - 0.5) + error
+        return F.floor(near) + F.when((over > 0) | ((over == 0) & (F.floor(near) % 2 == 1)), 1).otherwise(0)
+
+    def text(n: Column) -> Column:
+        whole, rest = (n / 10 ** places).cast("long"), F.pmod(n, F.lit(10 ** places))
+        return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), places, "0"))
+
+    shown = bound(F.abs(value), lambda size: bound(size * scale, lambda near: bound(digits(size, near), text)))
+    return F.concat(F.when(value < 0, "-").otherwise(""), shown)
+
+
+def format_cost(c: str | Column) -> Column:
+    """M6: a price in dollars as text: millicents, four or two decimals by its size."""
+    dollars = col_of(c).cast("double")
+    return (F.when(dollars < MILLICENTS_BELOW, F.concat(F.lit("$"), fixed_decimals(dollars * 1000, 2), F.lit(" (millicents)")))
+            .when(dollars < CENTS_FROM, F.concat(F.lit("$"), fixed_decimals(dollars, 4)))
+            .otherwise(F.concat(F.lit("$"), fixed_decimals(dollars, 2))))
 
 
 def estimate_tokens(text: str | Column) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.columns import nan_to_null
@@ -33,26 +33,65 @@ class FitResult:
     n_rows: int
 
 
+#: Copies of one row that a single task writes out.
+COPIES_PER_TASK = 1 << 16
+
+
+def with_row_keys(df: DataFrame, key: str = "row_key", copies_per_task: int = COPIES_PER_TASK) -> DataFrame:
+    """The rows of ``df`` with a key of their own that does not depend on how they are dealt out.
+
+    Rows are counted by content (a partial aggregation) and written out again
+    as copies 0, 1, ... of their content; the key hashes content and number.
+    Equal rows cannot be told apart, so it does not matter which is which.
+    Contents with many copies are first cut into ranges of copies that go to
+    different tasks.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(copies_per_task).cast("long"))
+    few = counted.filter(F.col("_copies") <= copies_per_task).withColumn("_first", F.lit(0).cast("long"))
+    many = counted.filter(F.col("_copies") > copies_per_task).withColumn("_first", F.explode(starts))
+    ranges = few.unionByName(many.repartition(F.xxhash64(*df.columns, "_first")))
+    last = F.least(F.col("_copies"), F.col("_first") + copies_per_task) - 1
+    rows = ranges.withColumn("_copy", F.explode(F.sequence("_first", last)))
+    return rows.select(*df.columns, F.xxhash64(*df.columns, "_copy").alias(key))
+
+
+def cv_folds(df: DataFrame, nfold: int, key_cols: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """T-7: the rows of ``df`` with ``row_key`` and their ``fold`` in 0..nfold-1, as training deals them."""
+    keyed = df.withColumn("row_key", F.xxhash64(*key_cols)) if key_cols else with_row_keys(df)
+    return keyed.withColumn("fold", fold_of(F.col("row_key"), nfold, seed))
+
+
+def fold_of(key: Column, nfold: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(nfold)).cast("int")
+
+
 def training_frame(df: DataFrame, targets: list[str], features: list[str], weight_col: str | None,
                    key_cols: list[str] | None, nfold: int, seed: int, max_bin: int,
                    partitions: int | None = None, keep_source: bool = False):
-    """Project, key, fold and bin the rows; returns (frame, cuts, n, scales)."""
+    """Project, key, fold and bin the rows; returns (frame, cuts, n, scales).
+
+    Folds and samples follow a key of the row: ``key_cols`` if given (rows of
+    one key then stay together), else a key of its own for each row.
+    """
     spark = df.sparkSession
     string_feats = [f for f in features if df.schema[f].dataType.typeName() == "string"]
     if string_feats:
         raise ValueError(f"string columns cannot be model features (encode them first): {string_feats}")
-    keys = key_cols or [c for c in dict.fromkeys(features + targets + ([weight_col] if weight_col else []))]
-    rk = F.xxhash64(*[F.col(c) for c in keys])
-    cols = {"_rk": rk}
+    cols = {}
     for t, name in enumerate(targets):
         cols[f"_y{t}"] = nan_to_null(F.col(name).cast("double"))
     cols["_w"] = (F.coalesce(nan_to_null(F.col(weight_col).cast("double")), F.lit(1.0))
                   if weight_col else F.lit(1.0))
+    if key_cols:
+        cols["_rk"] = F.xxhash64(*[F.col(c) for c in key_cols])
     base = df.select(*features, *[v.alias(k) for k, v in cols.items()])
     base = base.filter(F.greatest(*[F.col(f"_y{t}").isNull().cast("int") for t in range(len(targets))]) == 0) \
         if len(targets) > 1 else base.filter(F.col("_y0").isNotNull())
+    if not key_cols:
+        base = with_row_keys(base, "_rk")
     k = max(int(nfold or 1), 1)
-    base = base.withColumn("_fold", F.pmod(F.xxhash64(F.col("_rk"), F.lit(seed)), F.lit(k)).cast("int"))
+    base = base.withColumn("_fold", fold_of(F.col("_rk"), k, seed))
     # the cut sketches and the binning both read the projected rows: keep
     # them once instead of recomputing the upstream plan (joins, encoders)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
@@ -179,7 +218,7 @@ def sample_params(n_trials: int, seed: int = 42, base: GrowParams | None = None)
 def tune(df: DataFrame, target: str, features: list[str], quantiles: list[float],
          constraints: list[int] | None = None, n_trials: int = 20, nfold: int = 3,
          num_boost_round: int = 100, early_stopping_rounds: int = 10, weight_col: str | None = None,
-         seed: int = 42, base: GrowParams | None = None, max_bin: int = 256):
+         seed: int = 42, base: GrowParams | None = None, max_bin: int = 256, key_cols: list[str] | None = None):
     """T-13: first target only; quantile 0.5 if listed else the first.
 
     All trials x folds grow in the same passes; the score of a trial is the
@@ -188,7 +227,7 @@ def tune(df: DataFrame, target: str, features: list[str], quantiles: list[float]
     q = 0.5 if 0.5 in quantiles else quantiles[0]
     trials = sample_params(n_trials, seed, base)
     res = fit_models(df, [target], features, [q], constraints, trials, nfold, num_boost_round,
-                     early_stopping_rounds, weight_col, None, max_bin, seed, with_final=False)
+                     early_stopping_rounds, weight_col, key_cols, max_bin, seed, with_final=False)
     rows = sorted(res.best, key=lambda r: (r[5], r[3]))
     best_trial = rows[0][3]
     spark = df.sparkSession
@@ -200,4 +239,4 @@ def tune(df: DataFrame, target: str, features: list[str], quantiles: list[float]
     return trials[best_trial], table, res
 
 
-__all__ = ["fit_models", "tune", "FitResult", "sample_params", "training_frame"]
+__all__ = ["fit_models", "tune", "cv_folds", "with_row_keys", "FitResult", "sample_params", "training_frame"]

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import ensure_checkpoint_dir
-from .trees import (RES_BUCKETS, Tree, best_split, child_bounds, leaf_quantiles,
+from .trees import (RES_BUCKETS, Split, Tree, best_split, child_bounds, leaf_quantiles,
                     project_monotone, residual_bucket, route, uniform01)
 
 # per-task dense histogram budget (bytes) and cells collected per pass;
@@ -54,6 +54,8 @@ DRIVER_PARTIAL_CELLS = 1_000_000
 # parent histograms kept on the driver for sibling subtraction (cells)
 SUBTRACT_CELLS = 8_000_000
 HIST_SCHEMA = "kind int, cell long, a double, b double, c double"
+SPLIT_SCHEMA = ("model int, slot int, feature int, gain double, split_bin int, default_left boolean, w_left double, "
+                "w_right double, cover_left double, cover_right double, cover double")
 LEAF_SCHEMA = "cell long, sw double, mn double, mx double, swr double"
 KIND_HIST, KIND_VALID, KIND_TRAIN = 0, 1, 2
 
@@ -237,10 +239,13 @@ class Grower:
         return rk + ["_fold", "_w"] + [f"_y{t}" for t in range(self.T)] + ["_bins"]
 
     def _level_pass(self, frame: DataFrame, chunk: list[ModelState], depth: int, rnd: int,
-                    with_loss: bool, trees: dict[int, Tree], build: dict[int, list[int]] | None = None):
+                    with_loss: bool, trees: dict[int, Tree], build: dict[int, list[int]] | None = None,
+                    allowed: dict[int, np.ndarray] | None = None):
         """Histograms of the ``build`` nodes of each model (default: its whole
         frontier at ``depth``) and, with ``with_loss``, the pinball losses of
-        the current predictions.  Returns ({model: {node: (3, F, B1)}}, losses)."""
+        the current predictions.  Returns ({model: {node: (3, F, B1)}}, losses);
+        with ``allowed`` (features of each model) the splits are chosen by the
+        executors, and the first part is {model: {node: (cover, Split or None)}}."""
         F_, B1, T_ = self.F, self.B1, self.T
         seed = self.seed
         plan = []
@@ -350,7 +355,9 @@ class Grower:
 
         needed = self._base_cols(chunk) + ["_pred"]
         partials = frame.select(*needed).mapInArrow(fn, HIST_SCHEMA)
-        if self._partitions(frame) * max(off, 1) <= DRIVER_PARTIAL_CELLS:
+        if allowed is not None:
+            return self._distributed_splits(partials, plan, offsets, built_nodes, trees, allowed, with_loss)
+        if self._few_cells(frame, off):
             # few tasks x few cells: the partial histograms are smaller than a
             # shuffle stage's overhead, so they are summed on the driver
             res = partials.toPandas().groupby(["kind", "cell"], as_index=False)[["a", "b", "c"]].sum()
@@ -378,6 +385,81 @@ class Grower:
                 hists[p[0]] = {node: dense[:, i] for i, node in enumerate(built_nodes[p[0]])}
         return hists, losses
 
+    def _few_cells(self, frame: DataFrame, cells: int) -> bool:
+        return self._partitions(frame) * max(cells, 1) <= DRIVER_PARTIAL_CELLS
+
+    def _distributed_splits(self, partials: DataFrame, plan, offsets, built_nodes, trees, allowed, with_loss: bool):
+        """Best split of every node of a level, chosen in the executors.
+
+        Returns ({model: {node: (cover, Split or None)}}, losses).
+        """
+        F_, B1, constraints = self.F, self.B1, self.constraints
+        params = {st.spec.model_id: st.spec.params for st in self.models}
+        starts = np.asarray(offsets, np.int64)
+        nodes = [[(trees[p[0]].lower[n], trees[p[0]].upper[n]) for n in built_nodes[p[0]]] if p[8] else [] for p in plan]
+        wanted = [(p[0], params[p[0]], allowed[p[0]] if p[8] else None) for p in plan]
+
+        def choose(it):
+            """Best split of each run of cells of one (model, node, feature)."""
+            held = None
+            for batch in it:
+                part = np.stack([_np(batch, "cell", np.int64).astype(np.float64), *(_np(batch, c, np.float64) for c in "ab")])
+                held = part if held is None else np.concatenate([held, part], axis=1)
+                group = held[0].astype(np.int64) // B1
+                cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+                if cut:
+                    yield emit(held[:, :cut])
+                    held = held[:, cut:]
+            if held is not None and held.shape[1]:
+                yield emit(held)
+
+        def emit(part):
+            cells = part[0].astype(np.int64)
+            group = cells // B1
+            rows = []
+            for lo, hi in zip(*(lambda s: (s, np.append(s[1:], len(group))))(np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))):
+                g, h = np.zeros((1, B1)), np.zeros((1, B1))
+                bins = cells[lo:hi] % B1
+                g[0, bins], h[0, bins] = part[1, lo:hi], part[2, lo:hi]
+                k = int(np.searchsorted(starts, cells[lo], side="right")) - 1
+                while not nodes[k]:  # models without nodes at this level share an offset
+                    k -= 1
+                slot, feature = divmod((cells[lo] - starts[k]) // B1, F_)
+                mid, p, usable = wanted[k]
+                cover = h.sum()
+                found = best_split(g, h, usable[feature:feature + 1], constraints[feature:feature + 1], *nodes[k][slot],
+                                   p.reg_lambda, p.alpha, p.min_child_weight, p.gamma) if cover > 0 else None
+                rows.append((mid, int(slot), int(feature), *((found.gain, found.split_bin, found.default_left, found.weight_left,
+                             found.weight_right, found.cover_left, found.cover_right) if found else (None,) * 7), float(cover)))
+            names = [x.split()[0] for x in SPLIT_SCHEMA.split(", ")]
+            kinds = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+            types = [kinds[x.split()[1]] for x in SPLIT_SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        summed = partials.groupBy("kind", "cell").agg(*[F.sum(c).alias(c) for c in "abc"])
+        if with_loss:  # read twice: the losses and the splits
+            summed = summed.persist(StorageLevel.MEMORY_AND_DISK)
+        group = F.floor(F.col("cell") / B1)
+        per_feature = (summed.filter(F.col("kind") == KIND_HIST).select("cell", "a", "b").repartition(group)
+                       .sortWithinPartitions("cell").mapInArrow(choose, SPLIT_SCHEMA))
+        # the largest gain wins, of equal gains missing left and then the first feature; each feature has the node's whole weight
+        best = F.max(F.struct(F.col("gain").isNotNull().alias("found"), "gain", "default_left", (-F.col("feature")).alias("first"),
+                              *[F.col(c) for c in ("split_bin", "w_left", "w_right", "cover_left", "cover_right")]))
+        rows = per_feature.groupBy("model", "slot").agg(F.max("cover").alias("cover"), best.alias("best")).collect()
+        self.jobs += 1
+        splits: dict[int, dict[int, tuple]] = {}
+        for r in rows:
+            b = r["best"]
+            split = Split(-1, -b["first"], b["split_bin"], b["default_left"], b["gain"], b["w_left"], b["w_right"],
+                          b["cover_left"], b["cover_right"]) if b["found"] else None
+            splits.setdefault(r["model"], {})[built_nodes[r["model"]][r["slot"]]] = (r["cover"], split)
+        losses = {}
+        if with_loss:
+            for r in summed.filter(F.col("kind") != KIND_HIST).collect():
+                losses.setdefault(plan[r["cell"]][0], [None, None])[0 if r["kind"] == KIND_VALID else 1] = np.array([r["a"], r["b"], r["c"]])
+            summed.unpersist()
+        return splits, losses
+
     def _leaf_pass(self, frame: DataFrame, chunk: list[ModelState], trees: dict[int, Tree], rnd: int,
                    with_pred: bool = True):
         F_, T_ = self.F, self.T
@@ -476,9 +558,16 @@ class Grower:
             build, derive = self._plan_subtraction(growing, trees, depth, parent_hist)
             level_hist: dict[int, dict[int, np.ndarray]] = {}
             for chunk in _split_models(growing, self.F, self.B1, 2 ** depth, self.rows_per_task):
-                hists, ls = self._level_pass(frame, chunk, depth, rnd, with_loss,
-                                             {st.spec.model_id: trees[st.spec.model_id] for st in chunk},
-                                             build)
+                own = {st.spec.model_id: trees[st.spec.model_id] for st in chunk}
+                cells = sum(len(own[m].frontier(depth)) for m in own) * self.F * self.B1
+                if not self._few_cells(frame, cells):
+                    splits, ls = self._level_pass(frame, chunk, depth, rnd, with_loss, own, None, rng_cols)
+                    losses.update(ls)
+                    for mid, found in splits.items():
+                        for node in sorted(found):
+                            self._apply_split(own[mid], node, *found[node])
+                    continue
+                hists, ls = self._level_pass(frame, chunk, depth, rnd, with_loss, own, build)
                 losses.update(ls)
                 for st in chunk:
                     mid = st.spec.model_id
@@ -533,17 +622,19 @@ class Grower:
             if node not in hist:
                 continue
             G, H = hist[node][0], hist[node][1]
-            if H[0].sum() <= 0:
-                continue
-            tree.cover[node] = float(H[0].sum())
+            cover = float(H[0].sum())
             sp = best_split(G, H, allowed, self.constraints, tree.lower[node], tree.upper[node],
-                            p.reg_lambda, p.alpha, p.min_child_weight, p.gamma)
-            if sp is None:
-                continue
-            c = int(self.constraints[sp.feature])
-            bl, br = child_bounds(sp, c, tree.lower[node], tree.upper[node])
-            tree.add_children(node, sp.feature, sp.split_bin, sp.default_left, sp.gain, bl, br,
-                              sp.cover_left, sp.cover_right)
+                            p.reg_lambda, p.alpha, p.min_child_weight, p.gamma) if cover > 0 else None
+            self._apply_split(tree, node, cover, sp)
+
+    def _apply_split(self, tree: Tree, node: int, cover: float, sp: Split | None) -> None:
+        if cover <= 0:
+            return
+        tree.cover[node] = cover
+        if sp is None:
+            return
+        bl, br = child_bounds(sp, int(self.constraints[sp.feature]), tree.lower[node], tree.upper[node])
+        tree.add_children(node, sp.feature, sp.split_bin, sp.default_left, sp.gain, bl, br, sp.cover_left, sp.cover_right)
 
     def _base_scores(self, frame: DataFrame):
         stumps = {st.spec.model_id: Tree() for st in self.models}

@@ -14,6 +14,7 @@ from ..functions.columns import pinball
 from ..operators import analysis as V
 from ..operators import score as S
 from ..operators.forecast import QuantileForecaster, best_round
+from ..operators.gbt.fit import cv_folds
 from ..operators.stats import exact_quantiles
 from .registry import load, query
 
@@ -53,6 +54,23 @@ def trained(spark, sf) -> QuantileForecaster:
     return _MEMO[key]
 
 
+@query("cv_folds", oracle="""
+SELECT l_quantity, l_discount, l_tax, count(*) AS row_count, count(*) AS distinct_keys, true AS folds_even
+FROM lineitem GROUP BY ALL
+""")
+def cv_folds_q(spark, sf):
+    """T-7: copies of one row have keys of their own and are dealt evenly over the folds.
+
+    Even: no fold has more than a third of the copies and six standard deviations.
+    """
+    rows = cv_folds(load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax"), 3)
+    content = ["l_quantity", "l_discount", "l_tax"]
+    per_fold = rows.groupBy(*content, "fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_key").alias("keys"))
+    out = per_fold.groupBy(*content).agg(F.sum("n").alias("row_count"), F.sum("keys").alias("distinct_keys"), F.max("n").alias("most"))
+    even = F.col("most") <= F.col("row_count") / 3 + 6 * F.sqrt(F.col("row_count") * 2 / 9)
+    return out.withColumn("folds_even", even).drop("most")
+
+
 @query("pinball_constant", oracle="""
 WITH q AS (SELECT quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.5) AS p50,
                   quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem)

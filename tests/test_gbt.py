@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from qforge.operators.gbt import grower as GR
 from qforge.operators.gbt import trees as TR
-from qforge.operators.gbt.fit import fit_models, training_frame
+from qforge.operators.gbt.fit import cv_folds, fit_models, training_frame, with_row_keys
 from qforge.operators.gbt.grower import Grower, GrowParams, make_specs
 from qforge.operators.gbt.binning import n_bins
 from qforge.operators.gbt.trees import Tree
@@ -201,3 +202,40 @@ def test_expression_and_arrow_scoring_agree(spark):
     a = res.model_set.predict(probe, "long", keep=["id"], engine="expr").orderBy("id", "quantile").toPandas()
     b = res.model_set.predict(probe, "long", keep=["id"], engine="arrow").orderBy("id", "quantile").toPandas()
     assert np.allclose(a.prediction, b.prediction)
+
+
+def test_copies_of_a_row_are_dealt_to_all_folds(spark):
+    rows = spark.range(80_000).select((F.col("id") % 20).alias("x"), F.lit(1.5).alias("y"))
+    for parts, chunk in ((1, 1 << 16), (7, 100)):
+        dealt = cv_folds(rows.repartition(parts), 5)
+        assert dealt.select("row_key").distinct().count() == dealt.count() == 80_000
+        per = dealt.groupBy("x", "fold").count().collect()
+        assert len(per) == 100 and all(abs(r["count"] - 800) < 160 for r in per)
+        keys = {r[0] for r in with_row_keys(rows.repartition(parts), copies_per_task=chunk).select("row_key").collect()}
+        assert len(keys) == 80_000
+        first = keys if parts == 1 else first
+        assert keys == first  # whatever the partitions and ranges
+
+
+def test_hot_row_content_is_spread_over_partitions(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") < 45_000, 0).otherwise(F.col("id")).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    frame, _, n, _ = training_frame(rows, ["y"], ["x"], None, None, 5, 42, 32, partitions=8)
+    sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert n == 50_000 and len(sizes) == 8 and max(sizes) < 1.1 * 50_000 / 8
+    frame.unpersist()
+
+
+@pytest.mark.parametrize("constraints,colsample", [([1, 0], 1.0), ([0, -1], 1.0), ([0, 0], 0.5)])
+def test_splits_of_the_executors_equal_those_of_the_driver(spark, monkeypatch, constraints, colsample):
+    df = _step_frame(spark, 1500)
+    kw = dict(constraints=constraints, params=GrowParams(max_depth=4, colsample_bytree=colsample), nfold=2, num_boost_round=4,
+              early_stopping_rounds=None, key_cols=["id"], max_bin=16)
+    want = fit_models(df, ["y"], ["x", "z"], [0.2, 0.7], **kw)
+    monkeypatch.setattr(GR, "DRIVER_PARTIAL_CELLS", 0)
+    got = fit_models(df, ["y"], ["x", "z"], [0.2, 0.7], **kw)
+    for a, b in zip(want.model_set.models, got.model_set.models):
+        assert [t.feature for t in a.trees] == [t.feature for t in b.trees]
+        assert [t.split_bin for t in a.trees] == [t.split_bin for t in b.trees]
+        assert all(np.allclose(x.value, y.value) and np.allclose(x.cover, y.cover) for x, y in zip(a.trees, b.trees))
+    assert np.allclose([r["test_quantile_mean"] for r in want.cv.orderBy("model", "round").collect()],
+                       [r["test_quantile_mean"] for r in got.cv.orderBy("model", "round").collect()])

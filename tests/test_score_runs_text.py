@@ -150,3 +150,21 @@ def test_wide_pivots_match_shuffle_pivots(spark):
     d = sorted(map(tuple, S.quantile_curve_wide(wide, "rid", ["A", "B"], [0.1, 0.5, 0.9]).select(
         "rid", "Quantile", "A", "B").collect()))
     assert c == d
+
+
+def test_costs_round_by_the_exact_binary_value(spark):
+    values = [i / 1000 for i in range(3000)] + [i / 8 for i in range(200)] + [2.335, 1.005, 123456.785, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    want = [f"${v * 1000:.2f} (millicents)" if v < 0.01 else f"${v:.4f}" if v < 1 else f"${v:.2f}" for v in values]
+    assert [r[0] for r in df.select(format_cost("v")).collect()] == want
+
+
+def test_role_lists_of_free_text(spark):
+    cases = [("Targets: [pay, 'stock']\nFeatures: level; city\nignored: id", (["pay", "stock"], ["level", "city"], ["id"])),
+             ("The target is clear!\ntarget pay\nfeatures [a,\n b]", (["pay"], ["a", "b"], [])),
+             ("ignore id", ([], [], [])), ("FEATURES:\n  Years Of Work, City\nrest.", ([], ["Years Of Work", "City"], [])),
+             ("Features [open", ([], [], [])), ("", ([], [], [])), (None, ([], [], []))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", H.extract_roles_from_text("t").alias("r")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert tuple(list(got[i][k]) for k in ("targets", "features", "ignore")) == want, cases[i]
