@@ -13,14 +13,16 @@ import json
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import feature as ml
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import date_epoch_micros, literal_epoch_micros
 from . import geo
+from .stats import global_row_number
 
 UNKNOWN_CODE = -1
 # above this many keys a mapping becomes a broadcast join instead of a map literal
@@ -101,13 +103,63 @@ class RankedEncoder(_Stage):
             .drop("__k", "__v")
 
 
+# -- models with tables ---------------------------------------------------------
+class _TableWriter(DefaultParamsWriter):
+    """Parameters as usual, and the model's table as Parquet next to them."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        if self.instance.table is not None:
+            self.instance.table.write.parquet(f"{path}/table")
+
+
+class _TableReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        if model._spec().get("has_table"):
+            model.table = SparkSession.active().read.parquet(f"{path}/table")
+        return model
+
+
+class _TableModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted stage that looks its input up in a table of any size (an equi-join)."""
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, spec=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self.table: DataFrame | None = None
+
+    @classmethod
+    def fitted(cls, inputCol: str, outputCol: str, spec: dict, table: DataFrame | None):
+        model = cls(inputCol=inputCol, outputCol=outputCol, spec=json.dumps({**spec, "has_table": table is not None}))
+        model.table = table
+        return model
+
+    def write(self):
+        return _TableWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _TableReader(cls)
+
+    def _looked_up(self, df: DataFrame, key: Column, name: str, value: str, out: str) -> DataFrame:
+        """``df`` with ``value`` of the table's row whose ``name`` is ``key`` (names are unique) as ``out``.
+
+        No hint: adaptive execution broadcasts the table if it is measured to
+        be small, and splits frequent keys of the shuffle join if it is not.
+        """
+        table = self.table.select(F.col(name).alias("__key"), F.col(value).alias("__value"))
+        return df.join(table, key == F.col("__key"), "left").withColumn(out, F.col("__value")).drop("__key", "__value")
+
+
 # -- E2/E3/E4 ----------------------------------------------------------------
 class LocationZoneEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
     """Zone of the nearest target city.
 
-    ``fit`` computes zones for the distinct values of the column (J1 over a
-    gazetteer); the model joins them back.  ``kind`` = "zone" (E2, E3) or
-    "population" (E4).
+    ``fit`` ties the targets to a gazetteer: every place of it has a zone
+    (J1 over a spatial index), whether the fitted data name it or not.
+    ``kind`` = "zone" (E2, E3) or "population" (E4).
     """
 
     @keyword_only
@@ -121,58 +173,36 @@ class LocationZoneEncoder(Estimator, _JsonParams, DefaultParamsReadable, Default
         return self
 
     def _fit(self, df: DataFrame):
-        s = self._spec()
-        col = self._in()
-        if col not in df.columns or self.gazetteer is None:
-            zones = df.sparkSession.createDataFrame([], "name string, zone int")
-        else:
-            zones = geo.location_zones(df, col, s.get("targets", {}), self.gazetteer,
-                                       s.get("max_km", 50.0), s.get("method", "geodesic"))
-            zones = zones.select("name", "zone")
-        rows = None
-        if s.get("materialize", True):  # small tables become a map literal, else a join
-            rows = zones.limit(MAP_LITERAL_MAX + 1).collect()
-            if len(rows) > MAP_LITERAL_MAX:
-                rows = None
-        model = LocationZoneModel(inputCol=col, outputCol=self._out(), spec=json.dumps(
-            {**s, "zones": {r["name"]: int(r["zone"]) for r in rows} if rows is not None else None}))
-        model.zones_frame = None if rows is not None else zones
-        return model
+        model = LocationZoneModel.fitted(self._in(), self._out(), self._spec(), None)
+        return model.setGazetteer(self.gazetteer) if self.gazetteer is not None else model
 
     @staticmethod
     def create(col: str, targets: dict, max_km: float = 50.0, kind: str = "zone", suffix: str = "_Enc",
-               method: str = "geodesic", materialize: bool = True):
+               method: str = "geodesic"):
         return LocationZoneEncoder(inputCol=col, outputCol=f"{col}{suffix}", spec=json.dumps(
-            {"targets": targets, "max_km": max_km, "kind": kind, "method": method,
-             "materialize": materialize}))
+            {"targets": targets, "max_km": max_km, "kind": kind, "method": method}))
 
 
-class LocationZoneModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
-    @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, spec=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-        self.zones_frame = None
+class LocationZoneModel(_TableModel):
+    """Zones of all places of the gazetteer; unknown names and values that are no strings get the default zone."""
 
-    def _value(self, zone: Column) -> Column:
-        if self._spec().get("kind") == "population":
-            return geo.metro_population(zone)
-        return zone.cast("int")
+    def setGazetteer(self, gazetteer: DataFrame):
+        s = self._spec()
+        self.table = geo.zones_of_places(geo.gazetteer_places(gazetteer), s.get("targets", {}), s.get("max_km", 50.0),
+                                         s.get("method", "geodesic")).select("name", "zone")
+        self._set(spec=json.dumps({**s, "has_table": True}))
+        return self
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        col = self._in()
+        col, out = self._in(), self._out()
         if col not in df.columns:
             return df
-        zones = self._spec().get("zones")
-        if zones is not None:  # fitted table is small: a map literal, no join
-            if not zones:
-                return df.withColumn(self._out(), self._value(F.lit(geo.DEFAULT_ZONE)))
-            m = F.create_map(*[x for k, v in zones.items() for x in (F.lit(k), F.lit(v))])
-            key = F.col(col) if isinstance(df.schema[col].dataType, T.StringType) else F.lit(None).cast("string")
-            zone = F.coalesce(F.try_element_at(m, key), F.lit(geo.DEFAULT_ZONE))
-            return df.withColumn(self._out(), self._value(zone))
-        out = geo.attach_zone(df, col, self.zones_frame, "__zone_tmp")
-        return out.withColumn(self._out(), self._value(F.col("__zone_tmp"))).drop("__zone_tmp")
+        if self.table is None or not isinstance(df.schema[col].dataType, T.StringType):
+            found = df.withColumn(out, F.lit(geo.DEFAULT_ZONE))
+        else:
+            found = self._looked_up(df, df[col], "name", "zone", out)
+        zone = F.coalesce(F.col(out), F.lit(geo.DEFAULT_ZONE)).cast("int")
+        return found.withColumn(out, geo.metro_population(zone) if self._spec().get("kind") == "population" else zone)
 
 
 # -- E5/E6 -------------------------------------------------------------------
@@ -291,8 +321,14 @@ class NumericPassthrough(_Stage):
 
 
 # -- E10/E11 -----------------------------------------------------------------
+def level_codes(df: DataFrame, col: str) -> DataFrame:
+    """``(level, code)``: the distinct values of ``col`` as text with their place in alphabetical order."""
+    levels = df.select(F.col(col).cast("string").alias("level")).filter(F.col("level").isNotNull()).distinct()
+    return global_row_number(levels, ["level"], "code")
+
+
 class LabelEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Alphabetical codes 0..k-1 (NULL / unseen -> -1)."""
+    """Alphabetical codes 0..k-1 (NULL / unseen -> -1), for any number of levels."""
 
     @keyword_only
     def __init__(self, inputCol=None, outputCol=None, spec=None):
@@ -300,18 +336,28 @@ class LabelEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsW
         self._set(**self._input_kwargs)
 
     @staticmethod
-    def create(col: str, max_levels: int = 100_000):
-        return LabelEncoder(inputCol=col, outputCol=f"{col}_Label", spec=json.dumps({"max_levels": max_levels}))
+    def create(col: str):
+        return LabelEncoder(inputCol=col, outputCol=f"{col}_Label", spec=json.dumps({}))
 
     def _fit(self, df: DataFrame):
-        col = self._in()
-        levels = distinct_levels(df, col, self._spec().get("max_levels", 100_000))
-        return RankedEncoder(inputCol=col, outputCol=self._out(),
-                             spec=json.dumps({"mapping": {v: i for i, v in enumerate(levels)}, "cast": True}))
+        return LabelModel.fitted(self._in(), self._out(), self._spec(), level_codes(df, self._in()))
+
+
+class LabelModel(_TableModel):
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if self._in() not in df.columns:
+            return df
+        found = self._looked_up(df, F.col(self._in()).cast("string"), "level", "code", self._out())
+        return found.withColumn(self._out(), F.coalesce(F.col(self._out()), F.lit(UNKNOWN_CODE)).cast("int"))
 
 
 class OneHotEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
-    """One 0/1 column per level (``{col}_{level}``), alphabetical."""
+    """Alphabetical levels, as one 0/1 column each or, ``vector=True``, as one sparse vector.
+
+    Columns are for few levels: a plan cannot hold any number of them
+    (``max_levels``).  The vector has one place a level, all zero for NULL
+    and unseen values, and takes any number of levels.
+    """
 
     @keyword_only
     def __init__(self, inputCol=None, outputCol=None, spec=None):
@@ -319,13 +365,31 @@ class OneHotEncoder(Estimator, _JsonParams, DefaultParamsReadable, DefaultParams
         self._set(**self._input_kwargs)
 
     @staticmethod
-    def create(col: str, max_levels: int = 1000):
-        return OneHotEncoder(inputCol=col, outputCol=col, spec=json.dumps({"max_levels": max_levels}))
+    def create(col: str, max_levels: int = 1000, vector: bool = False):
+        return OneHotEncoder(inputCol=col, outputCol=f"{col}_Vector" if vector else col,
+                             spec=json.dumps({"max_levels": max_levels, "vector": vector}))
 
     def _fit(self, df: DataFrame):
-        col = self._in()
-        levels = distinct_levels(df, col, self._spec().get("max_levels", 1000))
-        return OneHotModel(inputCol=col, outputCol=self._out(), spec=json.dumps({"levels": levels}))
+        col, s = self._in(), self._spec()
+        if s.get("vector"):
+            codes = level_codes(df, col)
+            return OneHotVectorModel.fitted(col, self._out(), {"size": codes.count()}, codes)
+        return OneHotModel(inputCol=col, outputCol=self._out(),
+                           spec=json.dumps({"levels": distinct_levels(df, col, s.get("max_levels", 1000))}))
+
+
+class OneHotVectorModel(_TableModel):
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if self._in() not in df.columns:
+            return df
+        size, out = self._spec()["size"], self._out()
+        found = self._looked_up(df, F.col(self._in()).cast("string"), "level", "code", out)
+        code = f"{out}__code"
+        # values without a level stand after the last one, and that place is dropped
+        found = found.withColumn(code, F.coalesce(F.col(out), F.lit(size)).cast("double")).drop(out)
+        last = df.sparkSession.range(1).select(F.lit(float(size)).alias(code))
+        spread = ml.OneHotEncoder(inputCols=[code], outputCols=[out], dropLast=True).fit(last)
+        return spread.transform(found).drop(code)
 
 
 class OneHotModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -343,11 +407,11 @@ class OneHotModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritab
 
 
 def distinct_levels(df: DataFrame, col: str, max_levels: int) -> list[str]:
-    """Sorted distinct non-null values, refusing more than ``max_levels``."""
+    """Sorted distinct non-null values; more than ``max_levels`` need the vector form."""
     levels = (df.select(F.col(col).cast("string").alias("v")).filter(F.col("v").isNotNull())
               .distinct().orderBy("v").limit(max_levels + 1).collect())
     if len(levels) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
+        raise ValueError(f"{col} has more than {max_levels} levels: use OneHotEncoder.create(col, vector=True)")
     return [r["v"] for r in levels]
 
 

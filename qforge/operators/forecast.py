@@ -9,15 +9,16 @@ experience columns (T19), the fitted encoders and the tree scorer.
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
 from . import clean as C
-from .encode import build_pipeline, weight_stage
+from .encode import SampleWeighterModel, build_pipeline, weight_stage
 from .gbt.fit import fit_models, tune
 from .gbt.grower import GrowParams
 from .gbt.model import ModelSet
@@ -121,7 +122,33 @@ class QuantileForecaster:
 
     # -- persistence ---------------------------------------------------------
     def save(self, path: str, run_id: str) -> None:
-        self.model_set.save(self.cv.sparkSession, path, run_id, self.cfg.to_dict())
+        """Everything ``load`` needs under ``path``, by ``run_id``: model tables and configuration, encoders
+        (with the tables of zones and levels), weighter and the CV curve.  A run that is saved again is replaced."""
+        spark = self.cv.sparkSession
+        self.encoders.write().overwrite().save(f"{path}/encoders/{run_id}")
+        self.weighter.write().overwrite().save(f"{path}/weighter/{run_id}")
+        best = spark.createDataFrame([(run_id, *r) for r in self.best], f"run_id string, {BEST_SCHEMA}")
+        for name, frame in (("cv", self.cv.withColumn("run_id", F.lit(run_id))), ("best", best)):
+            (frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run_id").parquet(f"{path}/{name}"))
+        self.model_set.save(spark, path, run_id, {**self.cfg.to_dict(), "geo_method": self.geo_method})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, run_id: str) -> "QuantileForecaster":
+        """The forecaster saved as ``run_id``, ready to predict.  Raises ``ModelNotFoundError``."""
+        models = ModelSet.load(spark, path, run_id)  # also says whether the run exists
+        of_run = F.col("run_id") == run_id
+        config = json.loads(spark.read.parquet(f"{path}/configs").filter(of_run).first()["config"])
+        out = cls(config, geo_method=config.pop("geo_method", "geodesic"))
+        out.model_set = models
+        out.encoders = PipelineModel.load(f"{path}/encoders/{run_id}")
+        out.weighter = SampleWeighterModel.load(f"{path}/weighter/{run_id}")
+        out.cv = spark.read.parquet(f"{path}/cv").filter(of_run).drop("run_id")
+        out.best = [tuple(r) for r in spark.read.parquet(f"{path}/best").filter(of_run).drop("run_id").orderBy("model", "trial").collect()]
+        return out
+
+
+BEST_SCHEMA = "model string, target string, quantile double, trial int, best_round int, best_score double"
 
 
 def best_round(cv: DataFrame, metric: str = "test_quantile_mean") -> DataFrame:

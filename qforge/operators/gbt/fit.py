@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.columns import nan_to_null
+from ...session import ensure_checkpoint_dir
 from .binning import bin_columns, compute_cuts, n_bins
 from .grower import Grower, GrowParams, binary_array, bins_dtype, make_specs
 from .model import ModelSet, QuantileModel
@@ -89,7 +90,9 @@ def training_frame(df: DataFrame, targets: list[str], features: list[str], weigh
     base = base.filter(F.greatest(*[F.col(f"_y{t}").isNull().cast("int") for t in range(len(targets))]) == 0) \
         if len(targets) > 1 else base.filter(F.col("_y0").isNotNull())
     if not key_cols:
-        base = with_row_keys(base, "_rk")
+        # written once: every pass of the trainer would else carry the plan of the counting
+        ensure_checkpoint_dir(spark)
+        base = with_row_keys(base, "_rk").checkpoint(eager=True)
     k = max(int(nfold or 1), 1)
     base = base.withColumn("_fold", fold_of(F.col("_rk"), k, seed))
     # the cut sketches and the binning both read the projected rows: keep

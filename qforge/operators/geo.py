@@ -6,10 +6,13 @@ nearest target (J1), and the (name -> zone) table is joined back to the
 rows -- broadcast only when its row count is checked to be small,
 otherwise a shuffle join that AQE can split on skewed names.
 
-Targets are configuration (tens of cities), so they enter the plan as a
-literal array: nearest-target search is ``transform`` + ``array_min`` over
-that array, with no join at all.  Ties keep the first target in config
-order (the reference's strict ``<``).
+Nearest targets are found over a spatial index (``nearest_targets``): every
+target is listed under the cells its radius may reach, a point has one cell,
+an equi-join on the cell gives the candidates and a partial minimum the
+nearest.  Cells are bands of latitude cut into pieces of longitude that
+widen towards the poles, so a target has few cells everywhere.
+``nearest_zone`` is the same search as a Column for a handful of literal
+targets.  Ties keep the first target in config order.
 """
 
 from __future__ import annotations
@@ -124,22 +127,85 @@ def nearest_zone(lat: Column, lon: Column, points: list[tuple[str, float, float,
             .otherwise(F.lit(DEFAULT_ZONE)))
 
 
-def geocode(df: DataFrame, col: str, gazetteer: DataFrame) -> DataFrame:
-    """Distinct names of ``col`` with (lat, lon) from the gazetteer, NULL if unknown.
+#: Kilometres of a degree of latitude, from below; margin of spherical against ellipsoidal distances.
+KM_PER_DEGREE, CELL_MARGIN = 110.5, 1.02
+
+
+@F.pandas_udf(T.DoubleType())
+def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    """Ellipsoidal distance of two columns of points."""
+    return pd.Series(vincenty_km(*(x.to_numpy(np.float64, na_value=np.nan) for x in (lat1, lon1, lat2, lon2))))
+
 
-    A name that the gazetteer has more than once takes its smallest (lat, lon).
+def _cell_width(band: Column, height: float) -> Column:
+    """Degrees of longitude of the cells of a band of latitude: at least ``height`` degrees of arc."""
+    edge = F.least(F.greatest(F.abs(band * height), F.abs((band + 1) * height)), F.lit(90.0))
+    return F.least(F.lit(height) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9)), F.lit(360.0))
+
+
+def _cells(lat: Column, lon: Column, band: Column, height: float, reach: int) -> Column:
+    """Cells of a band from ``reach`` before to ``reach`` after the one of ``lon``, around the globe.
+
+    The last cell before the date line may be narrow, and near the poles a
+    target in the next band reaches further: three cells cover both.
     """
+    width = _cell_width(band, height)
+    count = F.ceil(F.lit(360.0) / width)
+    own = F.floor((F.pmod(lon + 180.0, F.lit(360.0))) / width)
+    steps = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
+    return F.array_distinct(F.transform(steps, lambda k: F.pmod(own + k, count)))
+
+
+def nearest_targets(points: DataFrame, targets: DataFrame, max_km: float = 50.0, method: str = "geodesic") -> DataFrame:
+    """``points(name, lat, lon)`` with ``target`` and ``km`` of the nearest of ``targets(target, lat, lon, ord)``.
+
+    Only targets within ``max_km`` (inclusive) count; a point without one, or
+    without coordinates, gets nulls.  Names of points are unique.
+    """
+    height = max(float(max_km), 1e-3) * CELL_MARGIN / KM_PER_DEGREE
+    band = F.floor(F.col("lat") / height)
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    near = targets.filter(known).select("target", "ord", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"),
+                                        F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    near = near.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), F.col("band"), height, 3)))
+    placed = points.filter(known).select("name", "lat", "lon", band.alias("band"))
+    placed = placed.withColumn("cell", _cells(F.col("lat"), F.col("lon"), F.col("band"), height, 0)[0])
+    ends = [F.col(c) for c in ("lat", "lon", "t_lat", "t_lon")]
+    km = geodesic_km(*[c.cast("double") for c in ends]) if method == "geodesic" else haversine_km(*ends)
+    pairs = placed.join(near, ["band", "cell"]).withColumn("km", km).filter(F.col("km") <= float(max_km))
+    best = pairs.groupBy("name").agg(F.min(F.struct("km", "ord", "target")).alias("best"))
+    return points.join(best, "name", "left").select(*points.columns, F.col("best.target").alias("target"), F.col("best.km").alias("km"))
+
+
+def gazetteer_places(gazetteer: DataFrame) -> DataFrame:
+    """``(name, lat, lon)`` with each name once: of repeated names the smallest (lat, lon)."""
+    return gazetteer.filter(F.col("name").isNotNull()).groupBy("name").agg(
+        F.min(F.struct("lat", "lon")).alias("at")).select("name", "at.lat", "at.lon")
+
+
+def zones_of_places(places: DataFrame, targets: dict[str, int], max_km: float = 50.0,
+                    method: str = "geodesic") -> DataFrame:
+    """``places`` with the zone of the nearest configured target; others get the default zone."""
+    spark = places.sparkSession
+    listed = spark.createDataFrame([(n, i, int(z)) for i, (n, z) in enumerate(targets.items())], "target string, ord int, zone int")
+    located = listed.join(places.withColumnRenamed("name", "target"), "target")
+    near = nearest_targets(places, located.drop("zone"), max_km, method)
+    zone = F.coalesce("zone", F.lit(DEFAULT_ZONE)).cast("int").alias("zone")
+    return near.join(F.broadcast(listed.drop("ord")), "target", "left").select(*places.columns, zone)
+
+
+def geocode(df: DataFrame, col: str, gazetteer: DataFrame) -> DataFrame:
+    """Distinct names of ``col`` with (lat, lon) from the gazetteer, NULL if unknown."""
     names = df.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    places = gazetteer.groupBy("name").agg(F.min(F.struct("lat", "lon")).alias("at")).select("name", "at.lat", "at.lon")
-    return names.join(places, "name", "left")
+    return names.join(gazetteer_places(gazetteer), "name", "left")
 
 
 def location_zones(df: DataFrame, col: str, targets: dict[str, int], gazetteer: DataFrame,
                    max_km: float = 50.0, method: str = "geodesic") -> DataFrame:
     """J1 on the distinct values of ``col``: (name, lat, lon, zone)."""
-    pts = target_points(targets, gazetteer)
-    g = geocode(df, col, gazetteer)
-    return g.withColumn("zone", nearest_zone(F.col("lat"), F.col("lon"), pts, max_km, method).cast("int"))
+    names = df.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    zones = zones_of_places(gazetteer_places(gazetteer), targets, max_km, method)
+    return names.join(zones, "name", "left").fillna({"zone": DEFAULT_ZONE})
 
 
 def attach_zone(df: DataFrame, col: str, zones: DataFrame, out_col: str) -> DataFrame:
@@ -164,5 +230,5 @@ def metro_population(zone: Column) -> Column:
     return expr.cast("long")
 
 
-__all__ = ["vincenty_km", "nearest_zone", "geocode", "location_zones", "attach_zone",
+__all__ = ["vincenty_km", "geodesic_km", "nearest_zone", "nearest_targets", "zones_of_places", "gazetteer_places", "geocode", "location_zones", "attach_zone",
            "metro_population", "target_points"]

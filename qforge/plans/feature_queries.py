@@ -257,6 +257,17 @@ def proximity_encode(spark, sf):
     return Pipeline(stages=stages).fit(locs).transform(locs)
 
 
+@query("nearest_targets_geodesic", oracle=f"""
+WITH gaz AS ({_GAZ_SQL})
+SELECT name, lat, lon, name AS target, CAST(0.0 AS DOUBLE) AS km FROM gaz
+""")
+def nearest_targets_geodesic(spark, sf):
+    """Nearest place of each place of the gazetteer by geodesic distance: itself, at 0 km."""
+    gaz = _gazetteer(spark, sf)
+    targets = gaz.withColumn("ord", F.hash("name")).withColumnRenamed("name", "target")
+    return geo.nearest_targets(gaz, targets, ZONE_MAX_KM)
+
+
 @query("geocode_join", oracle=f"""
 WITH gaz AS ({_GAZ_SQL}),
  locs AS (SELECT DISTINCT {_LOC_SQL} AS name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)

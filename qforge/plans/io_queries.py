@@ -94,17 +94,39 @@ def export_metrics(spark, sf):
     return S.read_table(spark, f"{path}/csv", schema="metric_name string, value double", fmt="csv")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", oracle="""
+SELECT c_mktsegment, count(*) AS row_count, count(*) AS same_prediction, CAST(1 AS BIGINT) AS models
+FROM customer GROUP BY c_mktsegment
+""")
 def model_roundtrip(spark, sf):
-    """Persist the trained model set as tables, load it by run id."""
-    from ..operators.gbt.model import ModelSet
-    from .model_queries import trained
-    fc = trained(spark, sf)
+    """A forecaster of customers' balances by city and segment, saved and loaded by run id.
+
+    Every customer lives in a city of its own (as many as customers); it is
+    fitted on those with even keys and must predict all of them the same
+    after loading.
+    """
+    from ..config import FeatureSpec, ForecastConfig
+    from ..operators.forecast import QuantileForecaster
+    key = F.col("c_custkey")
+    rows = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.concat(F.lit("city "), key.cast("string")).alias("city"),
+                                              "c_acctbal")
+    cities = rows.select(F.col("city").alias("name"), (F.lit(30.0) + key % 97 * 0.2).alias("lat"),
+                         (F.lit(-120.0) + key % 101 * 0.5).alias("lon"))
+    segments = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 4}
+    cfg = ForecastConfig(
+        targets=["c_acctbal"], quantiles=[0.5], features=[FeatureSpec("city_Enc", 0), FeatureSpec("c_mktsegment_Enc", 0)],
+        mappings={"levels": {}, "segments": segments, "location_targets": {"city 2": 1, "city 4": 2, "city 6": 3}},
+        ranked_cols={"c_mktsegment": "segments"}, proximity_cols=["city"], max_distance_km=400.0,
+        training={"max_depth": 3}, cv={"num_boost_round": 3, "nfold": 2})
+    fitted = QuantileForecaster(cfg, cities).train(rows.filter(key % 2 == 0), key_cols=["c_custkey"])
     path = _scratch(spark, "models")
-    fc.save(path, "demo-run")
-    ms = ModelSet.load(spark, path, "demo-run")
-    trees, _, _ = ms.tables(spark, "demo-run")
-    return trees
+    fitted.save(path, "demo-run")
+    loaded = QuantileForecaster.load(spark, path, "demo-run")
+    before, after = (f.predict(rows, "long", keep=["c_custkey", "c_mktsegment"]) for f in (fitted, loaded))
+    both = before.join(after.select("c_custkey", F.col("prediction").alias("again")), "c_custkey")
+    return both.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("prediction") == F.col("again")).alias("same_prediction"),
+        F.countDistinct("quantile").alias("models"))
 
 
 @query("log_runs")

@@ -37,8 +37,8 @@ def comp_df(spark):
     n = F.col("id")
     level, day = F.floor(n / 4) % 5, F.floor(n / 20)
     city = F.element_at(F.array(*map(F.lit, ("New York", "Austin", "Seattle", "San Francisco"))), (n % 4 + 1).cast("int"))
-    wave = F.sin(n * 1.7) * 4800.0
-    base = (96_000.0 + 47_500.0 * level) * F.when(city == "New York", 1.22).otherwise(1.0) + wave
+    spread = (F.pmod(F.hash(n), F.lit(97)) - 48) * 110.0
+    base = (96_000.0 + 47_500.0 * level) * F.when(city == "New York", 1.22).otherwise(1.0) + spread
     return spark.range(4000).select(
         F.concat(F.lit("E"), level + 3).alias("Level"), city.alias("Location"),
         F.timestamp_seconds(F.lit(1_640_995_200) + day * 86_400).alias("Date"),

@@ -91,3 +91,18 @@ def test_assemble_finalize_and_optional_checks():
     cfg2 = finalize_config(cfg, {"quantiles": [0.1, 0.9], "location_settings": {"max_distance_km": 25}})
     assert cfg2.quantiles == [0.1, 0.9] and cfg2.max_distance_km == 25
     assert default_hyperparameters()["training"]["eta"] == 0.1
+
+
+def test_forecaster_is_loaded_whole(spark, trained, comp_df, tmp_path):
+    path = str(tmp_path / "runs")
+    trained.save(path, "a")
+    trained.save(path, "a")  # replaced, not doubled
+    loaded = QuantileForecaster.load(spark, path, "a")
+    grid = comp_df.select("Level", "Location", "YearsOfExperience", "YearsAtCompany", "Date").distinct()
+    a, b = (sorted(map(tuple, f.predict(grid, "long").collect()), key=str) for f in (trained, loaded))
+    assert a == b and len(a) == 3 * grid.count()
+    assert loaded.cfg.to_dict() == trained.cfg.to_dict() and loaded.best == trained.best
+    assert loaded.train_report().count() == 3 and loaded.cv.count() == trained.cv.count()
+    assert loaded.transform(comp_df.limit(5), with_weight=True).count() == 5
+    with pytest.raises(ModelNotFoundError):
+        QuantileForecaster.load(spark, path, "missing")
