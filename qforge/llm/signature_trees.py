@@ -14,8 +14,8 @@ shingles that several sets of a slice share last, by how many they are, all
 others first by hash: a passage that very many documents hold is then in the
 first pairs only of documents that have little else. The counts are taken from
 all documents; they make the search faster and cannot change its result. Sets
-with a first pair in common are chained in the order of their sizes, and a
-chain breaks where the next size is too large for a link; of equal sizes a
+with a first pair in common are put in the order of their sizes, and a
+run breaks where the next size is too large for a link; of equal sizes a
 slice passes on one set and joins the others to it before anything is
 shuffled. The connected components of these chains are families: every link
 lies inside one family.
@@ -174,10 +174,13 @@ def families(docs: DataFrame, sets: DataFrame, text_col: str = "text", shingle:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(sets, most))
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(
         _first_rows(frequent, shingle, percent), "x bigint, n bigint, v bigint, u bigint")
-    before = Window.partitionBy("x").orderBy("n", "v")
-    chain = rows.select("v", "u", "n", F.lag("v").over(before).alias("last"), F.lag("n").over(before).alias("less"))
-    near = F.when(100 * F.col("less") >= percent * F.col("n"), F.col("last"))
-    edges = chain.select(F.col("v").alias("a"), F.coalesce("u", near).alias("b")).filter("a <> b")
+    order = Window.partitionBy("x").orderBy("n", "v")
+    less = F.lag("n").over(order)
+    start = F.when(less.isNull() | (100 * less < percent * F.col("n")), F.col("v"))
+    # joined to the first set of its run, so a large group has about one edge a set
+    run = F.last("start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    stars = rows.withColumn("start", start).select(F.col("v").alias("a"), F.coalesce("u", run).alias("b"))
+    edges = stars.filter("a <> b")
     return connected_components(edges.distinct()).withColumnRenamed("root", "family")
 
 
