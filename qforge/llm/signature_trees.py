@@ -17,7 +17,7 @@ all documents; they make the search faster and cannot change its result. Sets
 with a first pair in common are put in the order of their sizes, and a
 run breaks where the next size is too large for a link; of equal sizes a
 slice passes on one set and joins the others to it before anything is
-shuffled. The connected components of these chains are families: every link
+shuffled. The connected components of these runs are families: every link
 lies inside one family.
 
 A family is cut into blocks of bounded size, sets with the same smallest
@@ -318,7 +318,8 @@ def _search_rows(shingle: int, percent: int):
 
 def _searched(texts: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links inside each task of ``rows(task, v, m, label, h)``; ``texts(h, t)``."""
-    rows = texts.join(rows.select("task", "v", "m", "label", "h"), "h").drop("h")
+    # written, so that its size is known when the join with the texts is planned
+    rows = texts.join(materialize(rows.select("task", "v", "m", "label", "h")), "h").drop("h")
     return materialize(rows.repartition("task").sortWithinPartitions("task", "m", "v").mapInArrow(
         _search_rows(shingle, percent), "a bigint, b bigint"))
 
