@@ -57,6 +57,8 @@ from .components import connected_components
 SHINGLE, PERCENT = 4, 85
 #: Shingles whose rank by frequency is broadcast (12 bytes each).
 FREQUENT = 1 << 20
+#: 64-bit words of the table that keeps texts without a candidate out of the shuffle.
+FILTER_WORDS = 1 << 20
 #: Sets and shingles of one block, on average.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Children of a node, 64-bit words compared at a time, bits of a block's summary.
@@ -316,10 +318,24 @@ def _search_rows(shingle: int, percent: int):
     return run
 
 
+def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(h, t)``: the different texts whose hash ``rows(h)`` names, a few others besides.
+
+    A bit table of ``FILTER_WORDS`` words of 64 bits, whatever the number of
+    rows, is broadcast to the scan: the join that follows drops what it lets
+    through in error. Copies are merged before and after the shuffle, so the
+    copies of one text are not all sent to one task.
+    """
+    word, bit = F.pmod("h", F.lit(FILTER_WORDS)), F.expr(f"shiftleft(1L, cast((h div {FILTER_WORDS}) & 63 as int))")
+    marks = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    kept = texts.withColumn("word", word).join(F.broadcast(marks), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return kept.groupBy("h").agg(F.collect_set("t").alias("t")).select("h", F.explode("t").alias("t"))
+
+
 def _searched(texts: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links inside each task of ``rows(task, v, m, label, h)``; ``texts(h, t)``."""
-    # written, so that its size is known when the join with the texts is planned
-    rows = texts.join(materialize(rows.select("task", "v", "m", "label", "h")), "h").drop("h")
+    rows = materialize(rows.select("task", "v", "m", "label", "h"))
+    rows = _wanted(texts, rows).join(rows, "h").drop("h")
     return materialize(rows.repartition("task").sortWithinPartitions("task", "m", "v").mapInArrow(
         _search_rows(shingle, percent), "a bigint, b bigint"))
 
@@ -362,7 +378,7 @@ def _block_pairs(texts: DataFrame, blocks: DataFrame, labels: DataFrame, shingle
     rows = blocks.filter("blocks > 2 AND block > 0")
     state = rows.join(labels, "v").groupBy("family", "block").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("one"), F.max("label").alias("other"))
-    words = texts.join(rows.select("h", "family", "block"), "h").drop("h").sortWithinPartitions("family", "block").mapInArrow(
+    words = _wanted(texts, rows).join(rows.select("h", "family", "block"), "h").drop("h").sortWithinPartitions("family", "block").mapInArrow(
         _summary_rows(shingle), "family bigint, block int, extra bigint, words array<bigint>")
     words = words.select("family", "block", "extra", F.posexplode("words")).groupBy("family", "block", "pos").agg(
         F.max("extra").alias("extra"), F.bit_or("col").alias("word"))
