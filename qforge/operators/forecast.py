@@ -89,14 +89,15 @@ class QuantileForecaster:
         return self
 
     def tune(self, df: DataFrame, n_trials: int = 20, nfold: int = 3, num_boost_round: int = 100,
-             early_stopping_rounds: int = 10, max_bin: int = 256, key_cols: list[str] | None = None):
-        """T-13 on the cleaned frame (T18); best params go into the config."""
+             early_stopping_rounds: int = 10, max_bin: int = 256, key_cols: list[str] | None = None,
+             timeout: float | None = None):
+        """T-13 on the cleaned frame (T18); best params go into the config; ``timeout`` in seconds."""
         cleaned = self.prepare(df, False)
         encoded = self.fit_encoders(cleaned)
         best, table, _ = tune(encoded, self.cfg.targets[0], self.cfg.feature_names(), self.cfg.quantiles,
                               self.cfg.constraints(), n_trials, nfold, num_boost_round,
                               early_stopping_rounds, WEIGHT_COL, 42,
-                              GrowParams.from_dict(self.cfg.training), max_bin, key_cols)
+                              GrowParams.from_dict(self.cfg.training), max_bin, key_cols, timeout)
         self.cfg.training.update({"eta": best.eta, "max_depth": best.max_depth, "alpha": best.alpha,
                                   "subsample": best.subsample, "colsample_bytree": best.colsample_bytree})
         return best, table

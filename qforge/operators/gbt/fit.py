@@ -10,6 +10,9 @@ truncated at the CV best round, so no second training run is needed.
 from __future__ import annotations
 
 import random
+import threading
+import time
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,7 +146,8 @@ def fit_models(df: DataFrame, targets: list[str], features: list[str], quantiles
                nfold: int = 5, num_boost_round: int = 100, early_stopping_rounds: int | None = 10,
                weight_col: str | None = None, key_cols: list[str] | None = None, max_bin: int = 256,
                seed: int = 42, with_final: bool = True, partitions: int | None = None,
-               checkpoint_interval: int = 10, callback=None) -> FitResult:
+               checkpoint_interval: int = 10, callback=None, prepared: tuple | None = None) -> FitResult:
+    """Grow all models on ``df``; ``prepared``, a result of ``training_frame``, stays persisted for further calls."""
     if not targets:
         raise ValueError("at least one target is required")
     _check_labels(quantiles)
@@ -151,17 +155,21 @@ def fit_models(df: DataFrame, targets: list[str], features: list[str], quantiles
     for p in params_list:
         if p.max_depth < 1:
             raise ValueError("max_depth must be >= 1")
-    frame, cuts, n, scales, source = training_frame(df, targets, features, weight_col, key_cols, nfold,
-                                                    seed, max_bin, partitions, keep_source=True)
+    frame, cuts, n, scales, *source = prepared or training_frame(df, targets, features, weight_col, key_cols, nfold,
+                                                                 seed, max_bin, partitions, keep_source=True)
     specs = make_specs(len(targets), quantiles, params_list, nfold, num_boost_round, with_final)
     grower = Grower(frame, len(features), n_bins(cuts), len(targets), constraints or [],
                     specs, scales, seed=seed,
                     early_stopping_rounds=early_stopping_rounds if nfold and nfold > 1 else None,
                     checkpoint_interval=checkpoint_interval, callback=callback)
     grower.rows_per_task = -(-n // max(1, frame.rdd.getNumPartitions()))
-    grower.on_materialised = source.unpersist
-    grower.fit(num_boost_round)
-    frame.unpersist()
+    if source:
+        grower.on_materialised = source[0].unpersist
+    try:
+        grower.fit(num_boost_round)
+    finally:
+        if prepared is None:
+            frame.unpersist()
     ms = ModelSet(list(features), cuts, list(constraints or []) + [0] * (len(features) - len(constraints or [])))
     best_rows, cv_rows = [], []
     trials = len(params_list)
@@ -221,25 +229,84 @@ def sample_params(n_trials: int, seed: int = 42, base: GrowParams | None = None)
 def tune(df: DataFrame, target: str, features: list[str], quantiles: list[float],
          constraints: list[int] | None = None, n_trials: int = 20, nfold: int = 3,
          num_boost_round: int = 100, early_stopping_rounds: int = 10, weight_col: str | None = None,
-         seed: int = 42, base: GrowParams | None = None, max_bin: int = 256, key_cols: list[str] | None = None):
+         seed: int = 42, base: GrowParams | None = None, max_bin: int = 256, key_cols: list[str] | None = None,
+         timeout: float | None = None, trials_per_group: int = 4):
     """T-13: first target only; quantile 0.5 if listed else the first.
 
     All trials x folds grow in the same passes; the score of a trial is the
-    minimum of its CV mean curve.  Returns (best params, trials frame).
+    minimum of its CV mean curve.  Returns (best params, trials frame, fit
+    result with the best trial).
+
+    With a ``timeout`` in seconds, groups of ``trials_per_group`` trials grow
+    one after the other on one binned frame.  At the deadline the running
+    jobs are cancelled and the finished groups decide; TimeoutError if none is.
     """
     q = 0.5 if 0.5 in quantiles else quantiles[0]
     trials = sample_params(n_trials, seed, base)
-    res = fit_models(df, [target], features, [q], constraints, trials, nfold, num_boost_round,
-                     early_stopping_rounds, weight_col, key_cols, max_bin, seed, with_final=False)
-    rows = sorted(res.best, key=lambda r: (r[5], r[3]))
-    best_trial = rows[0][3]
     spark = df.sparkSession
+
+    def grow(part: list[GrowParams], prepared: tuple | None = None) -> FitResult:
+        return fit_models(df, [target], features, [q], constraints, part, nfold, num_boost_round,
+                          early_stopping_rounds, weight_col, key_cols, max_bin, seed, with_final=False,
+                          prepared=prepared)
+
+    if timeout is None:
+        done = [(0, grow(trials))]
+    else:
+        done = []
+        with _Deadline(spark, timeout) as deadline:
+            prepared = training_frame(df, [target], features, weight_col, key_cols, nfold, seed, max_bin)
+            try:
+                for start in range(0, len(trials), trials_per_group):
+                    done.append((start, grow(trials[start:start + trials_per_group], prepared)))
+                    if deadline.passed():
+                        break
+            finally:
+                prepared[0].unpersist()
+        if not done:
+            raise TimeoutError(f"no trial was finished within {timeout} seconds")
+    rows = [(start + r[3], r[4], r[5], res) for start, res in done for r in res.best]
+    best_trial, _, _, best = min(rows, key=lambda r: (r[2], r[0]))
     table = spark.createDataFrame(
-        [(r[3], trials[r[3]].eta, trials[r[3]].max_depth, trials[r[3]].alpha, trials[r[3]].subsample,
-          trials[r[3]].colsample_bytree, r[4], r[5]) for r in res.best],
+        [(t, trials[t].eta, trials[t].max_depth, trials[t].alpha, trials[t].subsample,
+          trials[t].colsample_bytree, best_round, score) for t, best_round, score, _ in rows],
         "trial int, eta double, max_depth int, alpha double, subsample double, "
         "colsample_bytree double, best_round int, score double")
-    return trials[best_trial], table, res
+    return trials[best_trial], table, best
+
+
+class _Deadline:
+    """Cancels the Spark jobs of the block from the deadline on and ends the block without an error.
+
+    Errors before the deadline are passed on.
+    """
+
+    def __init__(self, spark, seconds: float):
+        self.sc, self.seconds, self.tag = spark.sparkContext, seconds, f"qforge-deadline-{uuid.uuid4().hex}"
+
+    def __enter__(self):
+        self.end = time.monotonic() + self.seconds
+        self.over = threading.Event()
+        self.sc.addJobTag(self.tag)
+        self.watch = threading.Thread(target=self._cancel, daemon=True)
+        self.watch.start()
+        return self
+
+    def passed(self) -> bool:
+        return time.monotonic() >= self.end
+
+    def _cancel(self) -> None:
+        # again and again: a job may start between a cancellation and the error it raises
+        wait = self.seconds
+        while not self.over.wait(max(wait, 0.0)):
+            self.sc.cancelJobsWithTag(self.tag)
+            wait = 0.2
+
+    def __exit__(self, kind, error, trace) -> bool:
+        self.over.set()
+        self.watch.join()
+        self.sc.removeJobTag(self.tag)
+        return kind is not None and issubclass(kind, Exception) and self.passed() and "cancel" in str(error).lower()
 
 
 __all__ = ["fit_models", "tune", "cv_folds", "with_row_keys", "FitResult", "sample_params", "training_frame"]

@@ -696,6 +696,17 @@ class Grower:
         frame = self.frame.withColumn(
             "_pred", F.lit(bytearray(np.asarray(base, np.float64).tobytes())).cast("binary"))
         persisted = []
+        try:
+            self._boost(frame, max_rounds, persisted)
+        finally:  # also when the jobs are cancelled
+            for f_ in persisted:
+                f_.unpersist()
+        # groups that never stopped (rounds exhausted without a loss pass)
+        self._check_groups(max_rounds)
+        return self
+
+    def _boost(self, frame: DataFrame, max_rounds: int, persisted: list) -> None:
+        """The rounds; ``persisted`` holds the frames that are kept at the time."""
         for rnd in range(max_rounds + 1):
             active = [st for st in self.models if st.active]
             if not active:
@@ -722,11 +733,6 @@ class Grower:
             persisted.append(frame)
             if len(persisted) > 2:
                 persisted.pop(0).unpersist()
-        for f_ in persisted:
-            f_.unpersist()
-        # groups that never stopped (rounds exhausted without a loss pass)
-        self._check_groups(max_rounds)
-        return self
 
     def _apply_trees(self, frame: DataFrame, trees: dict[int, Tree]) -> DataFrame:
         F_, T_ = self.F, self.T
