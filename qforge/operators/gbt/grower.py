@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import ensure_checkpoint_dir
-from .trees import (RES_BUCKETS, Split, Tree, best_split, child_bounds, leaf_quantiles,
-                    project_monotone, residual_bucket, route, uniform01)
+from .trees import (LEAF_PARTS, Split, Tree, best_split, bracket_part, child_bounds, project_monotone,
+                    quantile_part, residual_bucket, route, uniform01)
 
 # per-task dense histogram budget (bytes) and cells collected per pass;
 # above DENSE_CELLS per model a level pass accumulates only touched cells
@@ -56,7 +56,7 @@ SUBTRACT_CELLS = 8_000_000
 HIST_SCHEMA = "kind int, cell long, a double, b double, c double"
 SPLIT_SCHEMA = ("model int, slot int, feature int, gain double, split_bin int, default_left boolean, w_left double, "
                 "w_right double, cover_left double, cover_right double, cover double")
-LEAF_SCHEMA = "cell long, sw double, mn double, mx double, swr double"
+LEAF_SCHEMA = "leaf long, part double, sw double, mn double, mx double, n long"
 KIND_HIST, KIND_VALID, KIND_TRAIN = 0, 1, 2
 
 
@@ -118,13 +118,20 @@ class GroupResult:
     curve: list
 
 
-def _reduce_cells(cell, sw, mn, mx, swr):
-    """Sum / min / max per cell id with one sort (no per-cell Python)."""
-    order = np.argsort(cell, kind="stable")
-    c = cell[order]
-    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
-    return (c[starts], np.add.reduceat(sw[order], starts), np.minimum.reduceat(mn[order], starts),
-            np.maximum.reduceat(mx[order], starts), np.add.reduceat(swr[order], starts))
+def _reduce_leaves(keys, sw, mn, mx, n):
+    """Sum / min / max / sum per key (of one or two arrays) with one sort (no per-key Python)."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = tuple(x[order] for x in keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return (tuple(x[starts] for x in keys), np.add.reduceat(sw[order], starts), np.minimum.reduceat(mn[order], starts),
+            np.maximum.reduceat(mx[order], starts), np.add.reduceat(n[order], starts))
+
+
+def _merge_leaves(parts):
+    keys, *sums = zip(*parts)
+    return _reduce_leaves(tuple(np.concatenate(x) for x in zip(*keys)), *(np.concatenate(x) for x in sums))
 
 
 def _sum_cells(parts):
@@ -210,7 +217,7 @@ class Grower:
     def __init__(self, frame: DataFrame, n_features: int, n_bins: int, n_targets: int,
                  constraints: list[int], specs: list[ModelSpec], scales: list[float],
                  seed: int = 42, early_stopping_rounds: int | None = 10,
-                 checkpoint_interval: int = 10, callback=None):
+                 checkpoint_interval: int = 10, callback=None, leaf_parts: int = LEAF_PARTS):
         self.spark = frame.sparkSession
         self.frame = frame
         self.F = n_features
@@ -226,6 +233,7 @@ class Grower:
         self.callback = callback or (lambda msg, data=None: None)
         self.groups: dict[int, GroupResult] = {}
         self.jobs = 0
+        self.leaf_parts = leaf_parts
         self.rows_per_task = None  # set by the caller when known (sparse chunk sizing)
 
     # ------------------------------------------------------------------ passes
@@ -460,24 +468,25 @@ class Grower:
             summed.unpersist()
         return splits, losses
 
-    def _leaf_pass(self, frame: DataFrame, chunk: list[ModelState], trees: dict[int, Tree], rnd: int,
-                   with_pred: bool = True):
-        F_, T_ = self.F, self.T
-        seed = self.seed
-        plan, offsets, off = [], [], 0
+    def _leaf_plan(self, chunk: list[ModelState], trees: dict[int, Tree], rnd: int):
+        """What a leaf pass needs of every model, and the number of leaves, which are numbered over all models."""
         index = {st.spec.model_id: i for i, st in enumerate(self.models)}
+        plan, first = [], 0
         for st in chunk:
             sp = st.spec
             tree = trees[sp.model_id]
             leaves = tree.leaves()
-            slot = np.full(tree.n_nodes, -1, np.int64)
-            slot[leaves] = np.arange(len(leaves))
-            plan.append((sp.model_id, sp.target, sp.fold, sp.params.subsample if rnd >= 0 else 1.0,
-                         _salt(seed, sp.model_id, rnd), tree.arrays(), slot, len(leaves),
-                         max(tree.depth), self.scales[sp.target], index[sp.model_id]))
-            offsets.append(off)
-            off += len(leaves) * RES_BUCKETS
-
+            number = np.full(tree.n_nodes, -1, np.int64)
+            number[leaves] = first + np.arange(len(leaves))
+            first += len(leaves)
+            plan.append((sp.target, sp.fold, sp.params.subsample if rnd >= 0 else 1.0, _salt(self.seed, sp.model_id, rnd),
+                         tree.arrays(), number, max(tree.depth), self.scales[sp.target], index[sp.model_id]))
+        return plan, first
+
+    def _leaf_pass(self, frame: DataFrame, chunk: list[ModelState], plan, n_leaves: int, rnd: int, with_pred: bool,
+                   brackets=None):
+        """Sorted ``(leaf, part, weight, smallest, largest, rows)`` of residuals, of those inside ``brackets`` if given."""
+        F_, T_, P = self.F, self.T, self.leaf_parts
         bdt, M = bins_dtype(self.B1), len(self.models)
 
         def fn(it):
@@ -487,51 +496,82 @@ class Grower:
                 if batch.num_rows == 0:
                     continue
                 bins, ys, w, fold, rk, preds = _batch_arrays(batch, F_, T_, bdt, M)
-                for k, (mid, t, mfold, sub, salt, arr, slot, nl, depth, scale, pos) in enumerate(plan):
+                for t, mfold, sub, salt, arr, number, depth, scale, pos in plan:
                     mask = _train_mask(fold, rk, mfold, sub, salt)
                     if not mask.any():
                         continue
                     node = route(arr, bins[mask], depth) if depth > 0 else np.zeros(mask.sum(), np.int64)
                     r = ys[mask, t] - (preds[mask, pos] if with_pred else 0.0)
-                    cell = offsets[k] + slot[node] * RES_BUCKETS + residual_bucket(r, scale)
-                    wm = w[mask]
-                    parts.append(_reduce_cells(cell, wm, r, r, wm * r))
-                    held += len(parts[-1][0])
+                    leaf, wm = number[node], w[mask]
+                    if brackets is None:
+                        keys = (leaf * P + residual_bucket(r, scale, P),)
+                    else:
+                        lo, hi, whole = (x[leaf] for x in brackets)
+                        inside = (r >= lo) & (r <= hi)
+                        leaf, r, wm = leaf[inside], r[inside], wm[inside]
+                        keys = (leaf, bracket_part(r, lo[inside], hi[inside], whole[inside], P))
+                    if len(r):
+                        parts.append(_reduce_leaves(keys, wm, r, r, np.ones(len(r), np.int64)))
+                        held += len(parts[-1][1])
                 if held > 4_000_000:  # keep the buffer bounded
-                    parts = [_reduce_cells(*[np.concatenate(x) for x in zip(*parts)])]
-                    held = len(parts[0][0])
+                    parts = [_merge_leaves(parts)]
+                    held = len(parts[0][1])
             if parts:
-                c, sw, mn, mx, swr = _reduce_cells(*[np.concatenate(x) for x in zip(*parts)])
-                yield _record_batch(cell=c.astype(np.int64), sw=sw, mn=mn, mx=mx, swr=swr)
+                keys, sw, mn, mx, n = _merge_leaves(parts)
+                leaf, part = np.divmod(keys[0], P) if brackets is None else keys
+                yield _record_batch(leaf=leaf.astype(np.int64), part=part.astype(np.float64), sw=sw, mn=mn, mx=mx, n=n)
 
         needed = self._base_cols(chunk if rnd >= 0 else []) + (["_pred"] if with_pred else [])
         partials = frame.select(*needed).mapInArrow(fn, LEAF_SCHEMA)
-        # each task emits at most min(cells, its rows x models) summaries
+        # each task emits at most min(parts, its rows x models) summaries
+        off = n_leaves * P
         bound = self._partitions(frame) * min(max(off, 1), (self.rows_per_task or off) * len(plan))
         if bound <= DRIVER_PARTIAL_CELLS:
-            res = (partials.toPandas().groupby("cell", as_index=False)
-                   .agg(sw=("sw", "sum"), mn=("mn", "min"), mx=("mx", "max"), swr=("swr", "sum")))
+            res = (partials.toPandas().groupby(["leaf", "part"], as_index=False)
+                   .agg(sw=("sw", "sum"), mn=("mn", "min"), mx=("mx", "max"), n=("n", "sum")))
         else:
-            res = (partials.groupBy("cell")
+            res = (partials.groupBy("leaf", "part")
                    .agg(F.sum("sw").alias("sw"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
-                        F.sum("swr").alias("swr")).toPandas())
+                        F.sum("n").alias("n")).toPandas())
         self.jobs += 1
-        cells = res["cell"].to_numpy(np.int64)
-        vals = res[["sw", "mn", "mx", "swr"]].to_numpy(np.float64).reshape(-1, 4)
-        out = {}
-        for k, p in enumerate(plan):
-            size = p[7] * RES_BUCKETS
-            sel = (cells >= offsets[k]) & (cells < offsets[k] + size)
-            local = cells[sel] - offsets[k]
-            leaf_slot, bucket = np.divmod(local, RES_BUCKETS)
-            v = vals[sel]
-            per_leaf = {}
-            leaves = trees[p[0]].leaves()
-            for s_idx, leaf in enumerate(leaves):
-                m = leaf_slot == s_idx
-                per_leaf[leaf] = (bucket[m], v[m, 0], v[m, 1], v[m, 2], v[m, 3])
-            out[p[0]] = per_leaf
-        return out
+        return res.sort_values(["leaf", "part"])
+
+    def _leaf_values(self, frame: DataFrame, chunk: list[ModelState], trees: dict[int, Tree], rnd: int,
+                     with_pred: bool = True) -> dict[int, dict[int, float]]:
+        """T-6: weighted quantile of the residuals of every leaf, per model: one of the residuals themselves.
+
+        The first pass sums weights per bucket and finds the one that holds
+        the quantile.  Further passes look into the chosen buckets alone:
+        at their single values if they hold at most ``leaf_parts`` rows, at
+        as many equal parts of their range otherwise, until one value is left.
+        """
+        plan, n_leaves = self._leaf_plan(chunk, trees, rnd)
+        quantile = np.concatenate([np.full(len(trees[st.spec.model_id].leaves()), st.spec.quantile) for st in chunk])
+        value, before, total = np.zeros(n_leaves), np.zeros(n_leaves), np.zeros(n_leaves)
+        lo, hi, rows = np.full(n_leaves, np.inf), np.full(n_leaves, -np.inf), np.zeros(n_leaves, np.int64)
+        open_leaves, brackets = np.arange(n_leaves), None
+        while len(open_leaves):
+            res = self._leaf_pass(frame, chunk, plan, n_leaves, rnd, with_pred, brackets)
+            sw, mn, mx, n = (res[c].to_numpy() for c in ("sw", "mn", "mx", "n"))
+            starts = np.searchsorted(res["leaf"].to_numpy(), np.arange(n_leaves + 1))
+            left = []
+            for i in open_leaves:
+                a, b = starts[i], starts[i + 1]
+                if brackets is None:
+                    total[i] = sw[a:b].sum()
+                if total[i] <= 0:  # no row, or none with a weight
+                    continue
+                k, before[i] = quantile_part(sw[a:b], before[i], quantile[i] * total[i])
+                value[i], lo[i], hi[i], rows[i] = mn[a + k], mn[a + k], mx[a + k], n[a + k]
+                if lo[i] < hi[i]:
+                    left.append(i)
+            open_leaves = np.asarray(left, np.int64)
+            closed = np.ones(n_leaves, bool)
+            closed[open_leaves] = False
+            lo[closed], hi[closed] = np.inf, -np.inf
+            brackets = (lo, hi, rows <= self.leaf_parts)
+        numbers = {st.spec.model_id: p[5] for st, p in zip(chunk, plan)}
+        return {mid: {leaf: float(value[number[leaf]]) for leaf in trees[mid].leaves()} for mid, number in numbers.items()}
 
     # ------------------------------------------------------------------ driver
     def _grow_round(self, frame: DataFrame, active: list[ModelState], rnd: int):
@@ -579,12 +619,11 @@ class Grower:
             keep = sum(len(v) for v in level_hist.values()) * self.F * self.B1 <= SUBTRACT_CELLS
             parent_hist = level_hist if keep else {}
         # leaf values
-        for chunk in _split_models(active, 1, RES_BUCKETS, 2 ** max_depth):
-            cells = self._leaf_pass(frame, chunk, trees, rnd)
+        for chunk in _split_models(active, 1, self.leaf_parts, 2 ** max_depth):
+            values = self._leaf_values(frame, chunk, trees, rnd)
             for st in chunk:
                 tree = trees[st.spec.model_id]
-                qs = leaf_quantiles(cells[st.spec.model_id], st.spec.quantile)
-                for leaf, val in qs.items():
+                for leaf, val in values[st.spec.model_id].items():
                     tree.value[leaf] = st.spec.params.eta * val
                 project_monotone(tree, self.constraints)
         return trees, losses
@@ -638,11 +677,11 @@ class Grower:
 
     def _base_scores(self, frame: DataFrame):
         stumps = {st.spec.model_id: Tree() for st in self.models}
-        cells = {}
-        for chunk in _split_models(self.models, 1, RES_BUCKETS, 1):
-            cells.update(self._leaf_pass(frame, chunk, stumps, rnd=-1, with_pred=False))
+        values = {}
+        for chunk in _split_models(self.models, 1, self.leaf_parts, 1):
+            values.update(self._leaf_values(frame, chunk, stumps, rnd=-1, with_pred=False))
         for st in self.models:
-            st.base_score = leaf_quantiles(cells[st.spec.model_id], st.spec.quantile).get(0, 0.0)
+            st.base_score = values[st.spec.model_id][0]
 
     def _record_losses(self, losses, rnd_done: int):
         for st in self.models:

@@ -5,7 +5,8 @@
   regularisation, min child weight, missing-value direction and monotone
   constraints (xgboost-style gain, bounds carried to children);
 * ``route``: vectorised traversal of a batch of binned rows;
-* ``leaf_quantiles``: weighted quantile of residuals from bucket summaries;
+* ``quantile_part``, ``bracket_part``: the part of a leaf's residuals that holds a
+  weighted quantile, and the division of such a part into smaller ones;
 * ``project_monotone``: makes the refreshed leaf values respect the
   monotone constraints (left <= mid <= right for +1 splits).
 
@@ -19,15 +20,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-# residual buckets: asinh(r / scale) on an even grid
-RES_BUCKETS = 4096
+# residual buckets of the first leaf pass: asinh(r / scale) on an even grid; later passes refine the one that counts
+LEAF_PARTS = 4096  # does not change the values, only how many passes find them
 RES_SPAN = 30.0  # asinh range covered: |r|/scale up to ~5e12
 
 
-def residual_bucket(r: np.ndarray, scale: float) -> np.ndarray:
+def residual_bucket(r: np.ndarray, scale: float, parts: int) -> np.ndarray:
     u = np.arcsinh(r / scale)
-    b = np.floor((u + RES_SPAN) / (2 * RES_SPAN) * RES_BUCKETS)
-    return np.clip(b, 0, RES_BUCKETS - 1).astype(np.int64)
+    b = np.floor((u + RES_SPAN) / (2 * RES_SPAN) * parts)
+    return np.clip(b, 0, parts - 1).astype(np.int64)
 
 
 @dataclass
@@ -202,31 +203,21 @@ def child_bounds(split: Split, constraint: int, lo: float, hi: float):
     return (mid, hi), (lo, mid)
 
 
-def leaf_quantiles(cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
-                   q: float) -> dict[int, float]:
-    """Weighted q-quantile per leaf from bucket summaries.
+def quantile_part(weights: np.ndarray, before: float, target: float) -> tuple[int, float]:
+    """First of the ordered parts at which ``before`` and the weights so far reach ``target``, and the weight before it.
 
-    ``cells[leaf] = (bucket, sum_w, min_r, max_r, sum_wr)``.  The quantile is
-    the point where the cumulative weight reaches q * total, interpolated
-    linearly inside the bucket between its smallest and largest residual.
+    A sum short of the target by rounding alone has reached it.
     """
-    out = {}
-    for leaf, (bucket, sw, mn, mx, _swr) in cells.items():
-        order = np.argsort(bucket, kind="stable")
-        sw, mn, mx = sw[order], mn[order], mx[order]
-        total = sw.sum()
-        if total <= 0:
-            out[leaf] = 0.0
-            continue
-        target = q * total
-        cum = np.cumsum(sw)
-        k = int(np.searchsorted(cum, target, side="left"))
-        k = min(k, len(cum) - 1)
-        before = cum[k - 1] if k > 0 else 0.0
-        frac = 0.0 if sw[k] <= 0 else (target - before) / sw[k]
-        frac = min(max(frac, 0.0), 1.0)
-        out[leaf] = float(mn[k] + frac * (mx[k] - mn[k]))
-    return out
+    cum = before + np.cumsum(weights)
+    k = min(int(np.searchsorted(cum, target * (1.0 - 1e-12), side="left")), len(cum) - 1)
+    return k, float(cum[k - 1]) if k else before
+
+
+def bracket_part(r: np.ndarray, lo: np.ndarray, hi: np.ndarray, whole: np.ndarray,
+                 parts: int) -> np.ndarray:
+    """The residual itself where ``whole``, else its part of the range from ``lo`` to ``hi`` in ``parts`` equal ones."""
+    part = np.floor((r - lo) / np.where(hi > lo, hi - lo, 1.0) * parts)
+    return np.where(whole, r, np.clip(part, 0, parts - 1))
 
 
 def project_monotone(tree: Tree, constraint: np.ndarray) -> None:

@@ -47,11 +47,38 @@ def test_monotone_projection():
     assert t.value[1] <= t.value[2]
 
 
-def test_leaf_quantile_exact_for_distinct_values():
-    r = np.array([1.0, 2.0, 3.0, 4.0, 100.0])
-    b = TR.residual_bucket(r, 1e-6)
-    cells = {0: (b, np.ones(5), r, r, r)}
-    assert TR.leaf_quantiles(cells, 0.5)[0] == 3.0
+def _weighted_quantile(r, w, q):
+    order = np.argsort(r, kind="stable")
+    cum = np.cumsum(w[order])
+    return r[order][min(np.searchsorted(cum, q * cum[-1] * (1 - 1e-12)), len(r) - 1)]
+
+
+def _leaf_grower(spark, rows, quantiles, scale, parts):
+    frame = spark.createDataFrame(rows, "b int, _y0 double, _w double").repartition(5).select(
+        F.unhex(F.lpad(F.hex("b"), 2, "0")).alias("_bins"), "_y0", "_w", F.lit(0).cast("long").alias("_fold"))
+    specs = make_specs(1, quantiles, [GrowParams()], 0, 1)
+    return Grower(frame, 1, 4, 1, [], specs, [scale], leaf_parts=parts), frame
+
+
+@pytest.mark.parametrize("parts", [4096, 3])
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e9])
+def test_leaf_values_equal_brute_force(spark, scale, parts):
+    """Every leaf, whatever the buckets of the first pass: many rows, equal rows, no weight, one row."""
+    rng = np.random.default_rng(11)
+    y = np.round(np.r_[rng.normal(1000.0, 250.0, 3000), np.full(400, 7.5), rng.normal(-3, 1e-9, 300), 4.0, 5.0], 12)
+    w = np.round(np.r_[rng.uniform(0.5, 2.0, 3000), np.ones(400), rng.uniform(0.0, 2.0, 300), 0.0, 3.0], 3)
+    b = np.r_[rng.integers(1, 3, 3000), np.full(700, 2), 3, 3]
+    quantiles = [0.1, 0.5, 0.9]
+    grower, frame = _leaf_grower(spark, [(int(k), float(v), float(x)) for k, v, x in zip(b, y, w)], quantiles, scale, parts)
+    trees = {}
+    for st in grower.models:
+        t = trees[st.spec.model_id] = Tree()
+        t.add_children(0, 0, 1, True, 1.0, (-np.inf, np.inf), (-np.inf, np.inf), 1.0, 1.0)
+        t.add_children(2, 0, 2, True, 1.0, (-np.inf, np.inf), (-np.inf, np.inf), 1.0, 1.0)
+    got = grower._leaf_values(frame, grower.models, trees, rnd=-1, with_pred=False)
+    for st in grower.models:
+        want = {node: _weighted_quantile(y[b == k], w[b == k], st.spec.quantile) for node, k in ((1, 1), (3, 2), (4, 3))}
+        assert got[st.spec.model_id] == want
 
 
 def _step_frame(spark, n=2000, parts=4):
@@ -132,25 +159,6 @@ def test_weight_two_equals_duplicate(spark):
     assert np.allclose(pa_, pb_)
 
 
-@pytest.mark.parametrize("q", [0.1, 0.5, 0.9])
-def test_leaf_quantile_close_to_exact_weighted_quantile(q):
-    rng = np.random.default_rng(11)
-    r = rng.normal(1000.0, 250.0, 20000)
-    w = rng.uniform(0.5, 2.0, r.size)
-    b = TR.residual_bucket(r, 1e-3)
-    order = np.argsort(b, kind="stable")
-    # one bucket summary per distinct bucket, as the leaf pass emits them
-    ub, starts = np.unique(b[order], return_index=True)
-    sw = np.add.reduceat(w[order], starts)
-    mn = np.minimum.reduceat(r[order], starts)
-    mx = np.maximum.reduceat(r[order], starts)
-    got = TR.leaf_quantiles({0: (ub, sw, mn, mx, sw)}, q)[0]
-    srt = np.argsort(r)
-    cw = np.cumsum(w[srt])
-    exact = r[srt][np.searchsorted(cw, q * cw[-1])]
-    assert abs(got - exact) < 0.002 * abs(exact)
-
-
 def test_sparse_histograms_equal_dense(spark, monkeypatch):
     from qforge.operators.gbt import grower as G
     df = _step_frame(spark, 800)
