@@ -43,6 +43,23 @@ def validate_csv(spark, sf):
                     F.count(F.lit(1)).alias("n_rows"), F.lit(len(v.df.columns)).cast("long").alias("n_columns"))
 
 
+@query("validate_csv_texts", oracle="""
+SELECT true AS ok, CAST(NULL AS VARCHAR) AS error, count(*) AS n_rows, count(*) AS same_text,
+       count(*) FILTER (WHERE contains(text, chr(10))) AS over_lines
+FROM documents
+""")
+def validate_csv_texts(spark, sf):
+    """S2 on a CSV of all documents: quoted texts over many lines come back whole."""
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = _scratch(spark, "documents_csv")
+    S.write_csv(d, path)
+    v = S.validate_table(spark, path, schema=d.schema)
+    both = v.df.select("doc_id", F.coalesce("text", F.lit("")).alias("again")).join(d, "doc_id")
+    return both.agg(F.lit(v.ok).alias("ok"), F.lit(v.error).cast("string").alias("error"), F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(F.col("again") == F.col("text")).alias("same_text"),
+                    F.count_if(F.contains("text", F.lit("\n"))).alias("over_lines"))
+
+
 @query("json_roundtrip", oracle="SELECT * FROM customer")
 def json_roundtrip(spark, sf):
     """S7 write (records, ISO dates) then S3 read."""

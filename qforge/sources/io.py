@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_quotes import check_quotes
+
 CORRUPT_COL = "_corrupt_record"
+#: A quote inside a quoted field is doubled, in files read and written.
+CSV_OPTIONS = {"header": "true", "escape": '"'}
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -27,7 +31,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if fmt == "csv":
         if schema is None:
             reader = reader.option("inferSchema", True)
-        return reader.option("header", True).csv(path)
+        return reader.options(**CSV_OPTIONS).csv(path)
     if fmt == "json":
         return reader.option("multiLine", True).json(path)
     return reader.parquet(path)
@@ -56,13 +60,18 @@ def validate_table(spark: SparkSession, path: str,
     rows"; fewer than 2 columns -> "CSV must have at least 2 columns";
     malformed rows -> "Failed to parse CSV: ...".  Without a schema the types
     are inferred first; then a row with more fields than the header is
-    malformed, and one with fewer is filled with nulls.
+    malformed, and one with fewer is filled with nulls.  A quote that is never
+    closed is malformed; quoted fields may go over line ends.
     """
     size = _path_size(spark, path)
     if size == 0:
         return Validation(False, "File is empty", None)
     try:
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+        quotes = check_quotes(spark, path)
+        if quotes.file is not None:
+            return Validation(False, f"Failed to parse CSV: quote opened in line {quotes.line} is never closed ({quotes.file})", None)
+        # files with a field over several lines cannot be split
+        reader = spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("multiLine", quotes.spans)
         fields = (schema or reader.option("inferSchema", True).csv(path).schema).fields
         with_corrupt = T.StructType(list(fields) + [T.StructField(CORRUPT_COL, T.StringType())])
         df = reader.schema(with_corrupt).option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path)
@@ -77,7 +86,7 @@ def validate_table(spark: SparkSession, path: str,
         if schema is None:
             # one more field than the header has, if the row goes that far
             wider = ", ".join(f"c{i} string" for i in range(len(fields) + 1))
-            malformed &= F.from_csv(F.col(CORRUPT_COL), wider)[f"c{len(fields)}"].isNotNull()
+            malformed &= F.from_csv(F.col(CORRUPT_COL), wider, CSV_OPTIONS)[f"c{len(fields)}"].isNotNull()
         bad = df.filter(malformed).select(CORRUPT_COL, *data_cols).limit(1).collect()
         if bad:
             return Validation(False, f"Failed to parse CSV: malformed row {bad[0][CORRUPT_COL]!r}", None)
@@ -144,8 +153,8 @@ def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header row, no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header row, no index column; quotes inside a field are doubled."""
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def export_metrics_csv(metrics: DataFrame, path: str) -> None:

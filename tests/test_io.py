@@ -3,6 +3,7 @@ import uuid
 
 import pytest
 
+from qforge.sources import csv_quotes as Q
 from qforge.sources import io as S
 
 
@@ -54,3 +55,35 @@ def test_keyed_datasets(spark):
     assert S.get_dataset(spark, key).count() == 3
     assert S.drop_dataset(spark, key) is True
     assert S.get_dataset(spark, key) is None and S.drop_dataset(spark, key) is False
+
+
+def test_quotes_open_at_field_starts_only():
+    cases = {'a,b': (False, True), 'a,"b': (True, False), '"a",b': (False, False), '5" pipe,x': (False, False),
+             '"a""b",c': (False, False), r'"a\"b",c': (False, False), '"': (True, False), '""': (False, True), '': (False, True),
+             'end",x': (False, False), 'end","x': (True, True)}
+    for line, (outside, inside) in cases.items():
+        assert (Q.after_line(line, False)[0], Q.after_line(line, True)[0]) == (outside, inside), line
+
+
+@pytest.mark.parametrize("split_bytes", [40, 1 << 20])
+def test_unterminated_quote_in_a_file_of_many_splits(spark, tmp_path, split_bytes):
+    rows = [f'{i},"line {i}\ngoes on, with ""quotes"" in it",{i}" wide' for i in range(60)]
+    good = "id,text,size\n" + "\n".join(rows) + "\n"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    opening = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        path = _write(tmp_path, "good.csv", good)
+        if split_bytes == 40:
+            assert spark.read.text(path).rdd.getNumPartitions() > 20
+        ok = S.validate_table(spark, path)
+        assert ok.ok and ok.df.count() == 60
+        assert ok.df.filter("id = 7").first()["text"] == 'line 7\ngoes on, with "quotes" in it'
+        cut = "\n".join(good.split("\n")[:81]) + '\n90,"never closed,1\n' + "\n".join(f"{i},x,y" for i in range(50)) + "\n"
+        bad = S.validate_table(spark, _write(tmp_path, "bad.csv", cut))
+        at = cut.split("\n").index('90,"never closed,1') + 1
+        assert not bad.ok and f"quote opened in line {at} is never closed" in bad.error
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opening)
