@@ -8,7 +8,7 @@ from ..config import FeatureSpec, ForecastConfig
 from ..operators import analysis as V
 from ..operators.forecast import QuantileForecaster
 from . import (feature_queries, io_queries, model_queries, ops_queries, profile_queries,  # noqa: F401
-               stream_queries)
+               published_queries, stream_queries)
 from .registry import ORACLES, QUERIES, load, query
 
 

@@ -214,9 +214,9 @@ def _dirty(spark, sf):
 
 
 _VALIDATE_SQL = f"""
-WITH j AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_BAD_PRIORITY} AS pr, {_BAD_QTY} AS qty
+WITH j AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, {_BAD_PRIORITY} AS pr, {_BAD_QTY} AS qty
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
- e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ e AS (SELECT *,
          CASE WHEN pr IS NULL OR pr NOT IN ({", ".join(f"'{k}'" for k in PRIORITY_LEVELS)})
               THEN 'Invalid value for ranked feature ''o_orderpriority'': ''' || coalesce(pr, 'None')
                    || '''. Valid values: {_VALID_LEVELS}' END AS e1,
