@@ -247,3 +247,62 @@ def test_splits_of_the_executors_equal_those_of_the_driver(spark, monkeypatch, c
         assert all(np.allclose(x.value, y.value) and np.allclose(x.cover, y.cover) for x, y in zip(a.trees, b.trees))
     assert np.allclose([r["test_quantile_mean"] for r in want.cv.orderBy("model", "round").collect()],
                        [r["test_quantile_mean"] for r in got.cv.orderBy("model", "round").collect()])
+
+
+def _random_rows(n, values, seed=5):
+    rng = np.random.default_rng(seed)
+    bins = rng.integers(0, values, (n, 2)).astype(np.uint8)
+    return (bins, rng.normal(100.0, 20.0, (n, 1)), rng.uniform(0.5, 2.0, n), rng.integers(0, 3, n),
+            rng.integers(-1 << 62, 1 << 62, n))
+
+
+@pytest.mark.parametrize("values", [4, 250])
+@pytest.mark.parametrize("fold,sub", [(-1, 1.0), (1, 1.0), (2, 0.6)])
+def test_sums_of_a_block_equal_those_of_its_rows(values, fold, sub):
+    """Cells of many rows and of one: gradients, weights, counts and losses by bin vector."""
+    bins, ys, w, of, rk = _random_rows(2000, values)
+    block = GR.Block.of_rows(bins, ys, w, of, rk)
+    code = block.bins[:, 0].astype(int) * 256 + block.bins[:, 1]
+    assert len(np.unique(code)) == len(code) and block.rows.sum() == 2000
+    block.preds = np.stack([np.zeros(len(code)), 95.0 + code % 11], axis=1)
+    mine = bins[:, 0].astype(int) * 256 + bins[:, 1]
+    pred, q = 95.0 + mine % 11, 0.3
+    train = (of != fold) & ((TR.uniform01(rk, 77) < sub) if sub < 1.0 else True)
+    got = block.gradients(0, q, fold, sub, 77, 1)
+    for k, by_row in enumerate((np.where(pred >= ys[:, 0], 1 - q, -q) * w, w, np.ones(2000))):
+        assert np.allclose(got[k], np.bincount(mine, by_row * train, 1 << 16)[code])
+    loss = np.maximum(q * (ys[:, 0] - pred), (q - 1) * (ys[:, 0] - pred)) * w
+    held = (of == fold) & (fold >= 0)
+    assert np.allclose(block.losses(0, q, fold, 1), [[x[m].sum() for x in (loss, w, np.ones(2000))] for m in (held, ~held)])
+
+
+def test_blocks_hold_all_rows_and_few_records(spark, monkeypatch):
+    """Passes read a record a block, however many rows; blocks of any size give the same models."""
+    df = _step_frame(spark, 3000)
+    kw = dict(constraints=[1, 0], params=GrowParams(max_depth=3, subsample=0.7), nfold=3, num_boost_round=4,
+              early_stopping_rounds=None, key_cols=["id"], max_bin=16)
+    frame, cuts, n, scales = training_frame(df, ["y"], ["x", "z"], None, ["id"], 3, 42, 16, partitions=3)
+    g = Grower(frame, 2, n_bins(cuts), 1, [0, 0], make_specs(1, [0.5], [GrowParams(subsample=0.7)], 3, 2), scales)
+    blocks = g._pack(frame).select("_size").collect()
+    assert len(blocks) == 3 and sum(np.frombuffer(b[0], np.int32).sum() for b in blocks) == n == 3000
+    frame.unpersist()
+    want = fit_models(df, ["y"], ["x", "z"], [0.2, 0.7], **kw)
+    monkeypatch.setattr(GR, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(GR, "MIN_CELL_ROWS", 1 << 30)  # no sums kept: every pass reads the rows
+    got = fit_models(df, ["y"], ["x", "z"], [0.2, 0.7], **kw)
+    for a, b in zip(want.model_set.models, got.model_set.models):
+        assert [t.split_bin for t in a.trees] == [t.split_bin for t in b.trees]
+        assert all(np.allclose(x.value, y.value) for x, y in zip(a.trees, b.trees))
+
+
+def test_many_leaves_share_the_buckets_of_a_pass(spark):
+    grower, _ = _leaf_grower(spark, [(1, 1.0, 1.0)], [0.5], 1.0, 4096)
+    assert grower._parts(96) == 4096
+    assert max(grower._parts(n) * n for n in (1, 1000, 12_288)) <= GR.LEAF_CELLS
+
+
+def test_copies_are_written_out_by_several_tasks(spark):
+    """Few contents with many copies each are small before they are written out, and not all one task's work."""
+    rows = spark.range(200_000).select((F.col("id") % 20).alias("x"))
+    sizes = [r["count"] for r in with_row_keys(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) < 150_000
