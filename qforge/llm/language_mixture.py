@@ -39,6 +39,18 @@ PENALTY, ROUNDS = 2.0, 12
 #: Word characters that are no letters: numeric signs such as fractions and superscripts.
 _NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
 _WORD = re.compile(rf"[^\W\d_{_NUMERIC}]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str | None) -> list[str]:
+    """The matches of ``_WORD`` in the lower-cased text.
+
+    Its class of over a thousand signs is slow to match: only runs that hold such a sign are matched with it.
+    """
+    runs = _RUN.findall((text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else _WORD.findall(run))]
 
 
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +73,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "t", 4 << 20):
         text: dict[str, list[str]] = {}
         for lang, t in zip(part.column("lang").to_pylist(), part.column("t").to_pylist()):
-            text.setdefault(lang, []).extend(_WORD.findall((t or "").lower()))
+            text.setdefault(lang, []).extend(_words(t))
         for lang, words in text.items():
             if words:
                 gram, pair, _ = _trigrams(words)
@@ -169,7 +181,7 @@ def _predict_rows(sent, penalty: float, names: list[str]):
             code: list[int] = []
             first, owner = [], []
             for i, t in enumerate(part.column("t").to_pylist()):
-                words = _WORD.findall((t or "").lower())
+                words = _words(t)
                 if words and models.languages:
                     first.append(len(code))
                     owner.append(i)

@@ -636,3 +636,19 @@ def test_rules_are_ranked_by_rejections_per_second(spark):
     ranked = quality_cascade.rank_rules(spark.read.parquet(f"{SF001}/documents.parquet"))
     value = [m["selectivity"] / m["cost"] for m in ranked]
     assert value == sorted(value, reverse=True) and len(ranked) == len(quality_cascade.RULES)
+
+
+def test_words_are_found_without_the_pattern_of_numeric_signs():
+    """Same words as the exact pattern, for every character; plain texts never reach it."""
+    import sys
+    from qforge.llm import language_mixture as LM
+    odd = ["x".join(map(chr, range(a, min(a + 500, 0xD800)))) for a in range(0, 0xD800, 500)]
+    odd += [f"a{chr(c)}b {chr(c)}" for c in range(0xE000, sys.maxunicode, 7)]
+    odd += [None, "", "  ", "12 3", "x\u00bd y\u00b2z \u2167 \u4e00\u4e8c", "e\u0301te\u0301 na\u00efve_foo"]
+    for text in odd:
+        assert LM._words(text) == LM._WORD.findall((text or "").lower())
+    slow, LM._WORD = LM._WORD, None
+    try:
+        assert LM._words("Plain words, d\u00e9j\u00e0 vu 42 \u65e5\u672c") == ["plain", "words", "d\u00e9j\u00e0", "vu", "\u65e5\u672c"]
+    finally:
+        LM._WORD = slow
