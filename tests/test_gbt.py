@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+from qforge.operators.gbt import binning as BN
 from qforge.operators.gbt import grower as GR
 from qforge.operators.gbt import trees as TR
 from qforge.operators.gbt.fit import cv_folds, fit_models, training_frame, with_row_keys
@@ -306,3 +308,41 @@ def test_copies_are_written_out_by_several_tasks(spark):
     rows = spark.range(200_000).select((F.col("id") % 20).alias("x"))
     sizes = [r["count"] for r in with_row_keys(rows).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) < 150_000
+
+
+def test_few_values_need_no_sketch_and_sketches_are_one_a_core(spark, monkeypatch):
+    sketched, merged = [], []
+    sketch, coalesce = BN.F.percentile_approx, DataFrame.coalesce
+    monkeypatch.setattr(BN.F, "percentile_approx", lambda c, *a: sketched.append(c) or sketch(c, *a))
+    monkeypatch.setattr(DataFrame, "coalesce", lambda df, n: merged.append(n) or coalesce(df, n))
+    df = spark.range(6000, numPartitions=40).selectExpr("cast(id % 9 as double) as x", "cast(id as double) as z")
+    cuts, row = BN.compute_cuts(df, ["x", "z"], 16, extra_aggs=[F.count(F.lit(1)).alias("n")])
+    assert row["n"] == 6000 and list(cuts[0]) == [float(i) for i in range(1, 9)]
+    assert len(cuts[1]) == 15 and np.allclose(cuts[1], np.arange(1, 16) * 375, atol=10)
+    assert len(sketched) == 1 and merged == [spark.sparkContext.defaultParallelism]
+
+
+def test_values_are_binned_as_they_are_packed(spark):
+    """No pass of its own bins the rows; blocks of values equal those of rows that are binned before."""
+    assert BN.bin_matrix([np.array([np.nan, -np.inf, -0.0, 0.0, 1.0, 2.5, np.inf]), np.zeros(7)],
+                         [np.array([0.0, 2.0]), np.zeros(0)], np.uint8).T.tolist() == [[0, 1, 2, 2, 2, 3, 3], [1] * 7]
+    df = _step_frame(spark, 500).selectExpr("id", "y", "if(id % 11 = 0, null, x) as x", "if(id % 7 = 0, double('nan'), z) as z")
+    args = (df, ["y"], ["x", "z"], None, ["id"], 3, 42, 8, 3)
+    binned, cuts, _, scales = training_frame(*args)
+    values, _, _, _, source = training_frame(*args, keep_source=True)
+    assert "_bins" not in values.columns and {"_x0", "_x1"} <= set(values.columns)
+    grower = Grower(values, 2, n_bins(cuts), 1, [], make_specs(1, [0.5], [GrowParams()], 3, 1), scales, cuts=cuts)
+    names = ["_bins", "_fold", "_size", "_segs"]
+    rows = [sorted(tuple(bytes(r[c]) for c in names) for r in grower._pack(f).select(*names).collect()) for f in (binned, values)]
+    assert rows[0] == rows[1] and len(rows[0]) == 3
+    binned.unpersist()
+    source.unpersist()
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e9])
+@pytest.mark.parametrize("parts", [3, 64, 4096])
+def test_residual_buckets_never_decrease(scale, parts):
+    r = np.random.default_rng(2).normal(0, 1, 40_000)
+    r = np.sort(np.r_[r, r * 1e-9, r * 1e9, 0.0, -0.0, 1e300, -1e300])
+    got = TR.residual_bucket(r, scale, parts)
+    assert (np.diff(got) >= 0).all() and got[0] >= 0 and got[-1] == parts - 1
