@@ -8,7 +8,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from qforge.operators.gbt import binning as BN
 from qforge.operators.gbt import grower as GR
 from qforge.operators.gbt import trees as TR
-from qforge.operators.gbt.fit import cv_folds, fit_models, training_frame, with_row_keys
+from qforge.operators.gbt.fit import _by_cells, cv_folds, fit_models, training_frame, with_row_keys
 from qforge.operators.gbt.grower import Grower, GrowParams, make_specs
 from qforge.operators.gbt.binning import n_bins
 from qforge.operators.gbt.trees import Tree
@@ -346,3 +346,37 @@ def test_residual_buckets_never_decrease(scale, parts):
     r = np.sort(np.r_[r, r * 1e-9, r * 1e9, 0.0, -0.0, 1e300, -1e300])
     got = TR.residual_bucket(r, scale, parts)
     assert (np.diff(got) >= 0).all() and got[0] >= 0 and got[-1] == parts - 1
+
+
+@pytest.mark.parametrize("miss", [False, True])
+def test_leaf_values_found_by_a_sample_are_exact(spark, monkeypatch, miss):
+    """Ranges from one row in 64: the quantile of all rows, also of leaves too small for it and where the range is wrong."""
+    rng = np.random.default_rng(3)
+    y = np.round(np.r_[rng.normal(1000.0, 250.0, 30_000), rng.normal(-5, 1e-6, 40)], 9)
+    w, b = np.round(rng.uniform(0.0, 2.0, len(y)), 3), np.r_[rng.integers(1, 3, 30_000), np.full(40, 3)]
+    rows = [(int(k), float(v), float(x)) for k, v, x in zip(b, y, w)]
+    grower, frame = _leaf_grower(spark, rows, [0.0, 0.3, 0.9, 1.0], 1e-6, 4096)
+    grower.rows_per_task = GR.SAMPLE_ROWS
+    if miss:
+        monkeypatch.setattr(GR, "_likely_ranges", lambda found, q: (np.full(len(q), 1e6), np.full(len(q), 2e6)))
+    sampled, leaf_pass = [], grower._leaf_pass
+    monkeypatch.setattr(grower, "_leaf_pass", lambda *a, sample=False, **k: sampled.append(sample) or leaf_pass(*a, sample=sample, **k))
+    trees = {}
+    for st in grower.models:
+        t = trees[st.spec.model_id] = Tree()
+        t.add_children(0, 0, 1, True, 1.0, (-np.inf, np.inf), (-np.inf, np.inf), 1.0, 1.0)
+        t.add_children(2, 0, 2, True, 1.0, (-np.inf, np.inf), (-np.inf, np.inf), 1.0, 1.0)
+    got = grower._leaf_values(grower._pack(frame), grower.models, trees, rnd=-1, with_pred=False)
+    assert sampled[0] and not any(sampled[1:])
+    for st in grower.models:
+        want = {node: _weighted_quantile(y[b == k], w[b == k], st.spec.quantile) for node, k in ((1, 1), (3, 2), (4, 3))}
+        assert got[st.spec.model_id] == want
+
+
+def test_rows_of_a_cell_share_a_partition_unless_they_are_many(spark):
+    rows = spark.range(40_000).selectExpr("id as _rk", "cast(if(id % 2 = 0, 0, id % 400) as double) as _x0")
+    at = _by_cells(rows, ["_x0"], 40_000, 8).groupBy("_x0", F.spark_partition_id().alias("p")).count().toPandas()
+    sizes = at.groupby("p")["count"].sum()
+    assert sizes.sum() == 40_000 and len(sizes) == 8 and sizes.max() < 8_000
+    small = at[at["_x0"] > 0].groupby("_x0")["p"].nunique()
+    assert len(small) == 200 and (small > 1).sum() <= 7
