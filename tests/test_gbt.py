@@ -1,5 +1,7 @@
 """Tree grower: brute-force checks, invariants and partition invariance."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +216,17 @@ def test_expression_and_arrow_scoring_agree(spark):
     assert np.allclose(a.prediction, b.prediction)
 
 
+def test_keys_of_folds_are_told_apart_in_more_tasks_where_there_are_more_rows(spark, tmp_path, monkeypatch):
+    from qforge.plans import model_queries
+    rows = spark.range(600).select(*[(F.col("id") % k).cast("double").alias(c) for k, c in ((3, "l_quantity"), (2, "l_discount"), (1, "l_tax"))])
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(model_queries, "KEYS_PER_TASK", 50)
+    out = model_queries.cv_folds_q(spark, str(tmp_path))
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert re.search(r"row_key#\d+L?, 12\), REPARTITION_BY_NUM", plan) and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert sorted(map(tuple, out.collect())) == [(float(x), float(d), 0.0, 100, 100, True) for x in range(3) for d in range(2)]
+
+
 def test_copies_of_a_row_are_dealt_to_all_folds(spark):
     rows = spark.range(80_000).select((F.col("id") % 20).alias("x"), F.lit(1.5).alias("y"))
     for parts, chunk in ((1, 1 << 16), (7, 100)):
