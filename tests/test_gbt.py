@@ -13,6 +13,7 @@ from qforge.operators.gbt import trees as TR
 from qforge.operators.gbt.fit import _by_cells, cv_folds, fit_models, training_frame, with_row_keys
 from qforge.operators.gbt.grower import Grower, GrowParams, make_specs
 from qforge.operators.gbt.binning import n_bins
+from qforge.operators.gbt.model import ModelSet, QuantileModel
 from qforge.operators.gbt.trees import Tree
 
 
@@ -216,6 +217,32 @@ def test_expression_and_arrow_scoring_agree(spark):
     assert np.allclose(a.prediction, b.prediction)
 
 
+def test_more_than_a_few_split_nodes_are_scored_in_arrow(spark):
+    """The expression of many nodes is one method that the JVM interprets."""
+    rng, values = np.random.default_rng(7), [None, float("nan"), -1.0, 0.0, 2.5, 3.0, 9.0]
+    trees = []
+    for _ in range(10):
+        tree = Tree()
+        for depth in range(3):
+            for node in list(tree.frontier(depth)):
+                f = int(rng.integers(0, 2))
+                tree.add_children(node, f, int(rng.integers(1, 5)), bool(rng.integers(0, 2)), 1.0, (-np.inf, np.inf), (-np.inf, np.inf), 1.0, 1.0)
+        for leaf in tree.leaves()[:5]:
+            tree.value[leaf] = float(rng.normal())
+        trees.append(tree)
+    trees.append(Tree())  # no split
+    cuts = [np.array([0.0, 2.0, 3.0, 4.0]), np.array([-1.0, 0.0, 1.0, 5.0])]
+    models = ModelSet(["x", "z"], cuts, [0, 0], [QuantileModel("y_p50", "y", 0.5, 1.0, trees, 11, 0.0)])
+    df = spark.createDataFrame([(i, x, z) for i, (x, z) in enumerate((x, z) for x in values for z in values)], "id long, x double, z double")
+    found = models.predict(df, "wide", keep=["id"])
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "ArrowEvalPython" in plan
+    expected = models.predict(df, "wide", keep=["id"], engine="expr")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    few = ModelSet(["x", "z"], cuts, [0, 0], [QuantileModel("y_p50", "y", 0.5, 1.0, trees[:1], 1, 0.0)]).predict(df, "wide")
+    assert "ArrowEvalPython" not in few._sc._jvm.PythonSQLUtils.explainString(few._jdf.queryExecution(), "simple")
+
+
 def test_keys_of_folds_are_told_apart_in_more_tasks_where_there_are_more_rows(spark, tmp_path, monkeypatch):
     from qforge.plans import model_queries
     rows = spark.range(600).select(*[(F.col("id") % k).cast("double").alias(c) for k, c in ((3, "l_quantity"), (2, "l_discount"), (1, "l_tax"))])
