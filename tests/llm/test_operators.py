@@ -234,6 +234,64 @@ def test_attention_bands(band):
     assert all(np.isfinite(part).all() for part in m.score_blocks(*stacked([list(rng.integers(0, 70, 90))])))
 
 
+@pytest.mark.parametrize("one_band", [False, True])
+def test_attention_gradients_of_all_bands_at_once(monkeypatch, one_band):
+    """Bands without, with few and with all of the targets, against one softmax after the other; no loop over bands."""
+    rng = np.random.default_rng(2)
+    counts = np.zeros(300)
+    counts[:60] = np.arange(60, 0, -1)
+    m = attention_lm.AttentionModel(counts, known=48, frequent=12, middle=40, band=6)
+    for n in m.p:
+        m.p[n] = m.p[n].astype(np.float64) + (0.3 * rng.standard_normal(m.p[n].shape) if n in ("U", "U2") else 0)
+    ids = rng.integers(18, 24, 90) if one_band else rng.integers(0, 30, 90)  # the second band, or none in the last two
+    x, v, t, _ = m.windows(*stacked([list(ids), [3]]))
+    y, want = m._forward(x, v)[0].reshape(-1, attention_lm.WIDTH), t.reshape(-1)
+    u2, c2 = np.zeros_like(m.p["U2"]), np.zeros_like(m.p["c2"])
+    c, share = m.outputs(want)[0], 1 / (want >= 0).sum()
+    for k, rows, place in m.in_bands(c, want):
+        for row, at in zip(rows, place):
+            z = np.exp(y[row] @ m.p["U2"][k] + m.p["c2"][k])
+            z = z / z.sum() - (np.arange(6) == at)
+            u2[k] += share * np.outer(y[row], z)
+            c2[k] += share * z
+    monkeypatch.delattr(attention_lm.AttentionModel, "in_bands")
+    g = m.gradients(x, v, t)
+    assert np.abs(g["U2"] - u2).max() < 1e-7 and np.abs(g["c2"] - c2).max() < 1e-7
+    assert (np.abs(g["c2"]).sum(1) > 0).sum() == (1 if one_band else 3)
+    for n in ("U", "c", "Wk"):  # exponentials that overflow without their maximum taken off
+        m.p[n] = m.p[n] * 1e4
+    assert all(np.isfinite(a).all() for a in m.gradients(x, v, t).values())
+
+
+def test_attention_steps_are_those_of_plain_adam():
+    rng = np.random.default_rng(3)
+    counts = np.zeros(300)
+    counts[:60] = rng.integers(1, 100, 60)
+    m, plain = (attention_lm.AttentionModel(counts, known=40, frequent=12, middle=30) for _ in range(2))
+    groups = [stacked([list(rng.integers(0, 60, int(k))) for k in rng.integers(1, 90, 40)]) for _ in range(2)]
+    assert m.train(iter(groups), 1e-3, 7) == sum((-(-size // attention_lm.STRIDE)).sum() for _, size in groups)
+    order, step = np.random.default_rng(7), 0
+    mean, square = ({n: np.zeros_like(a) for n, a in plain.p.items()} for _ in range(2))
+    for group in groups:
+        x, v, t, _ = plain.windows(*group)
+        for at in np.array_split(order.permutation(len(x)), max(1, len(x) // attention_lm.BATCH)):
+            step += 1
+            for n, grad in plain.gradients(x[at], v[at], t[at]).items():
+                mean[n] = 0.9 * mean[n] + 0.1 * grad
+                square[n] = 0.99 * square[n] + 0.01 * grad * grad
+                plain.p[n] = plain.p[n] - 1e-3 * (mean[n] / (1 - 0.9 ** step)) / (np.sqrt(square[n] / (1 - 0.99 ** step)) + 1e-8)
+    assert step > 4
+    for n in m.NAMES:
+        assert np.abs(m.p[n] - plain.p[n]).max() < 2e-4
+        assert m.p[n].base is not None and m.p[n].base is m.p["E"].base  # parts of one vector, stepped together
+
+
+def test_vocabulary_is_read_once_a_worker(monkeypatch):
+    sub = attention_lm.subwords(attention_lm.VOCAB_PATH)
+    monkeypatch.setattr(attention_lm, "Subwords", None)
+    assert attention_lm.subwords(attention_lm.VOCAB_PATH) is sub
+
+
 def test_subwords_of_joined_words():
     import tiktoken
     sub = attention_lm.Subwords(attention_lm.VOCAB_PATH)
